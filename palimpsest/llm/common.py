@@ -64,6 +64,6 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list |
             if batch.num_rows:
                 columns = work(batch)
                 if columns is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, kind)], schema=kind)
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, kind)], schema=kind)
 
     return df.mapInArrow(run, schema)

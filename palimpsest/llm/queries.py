@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import bpe, mixing, sharding
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
+    "op8_bpe": bpe.op8_bpe,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLE_SQL = {
