@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, sharding
+from . import bpe, ctph, mixing, quality, sharding
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
+    "op4_ctph": ctph.op4_ctph,
+    "op6_quality_rules": quality.op6_quality_rules,
     "op8_bpe": bpe.op8_bpe,
     "op10_mixing": mixing.op10_mixing,
 }
