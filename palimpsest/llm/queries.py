@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, ctph, mixing, pii, quality, sharding
+from . import bpe, ctph, mixing, pii, quality, setsketch, sharding
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op3_pii": pii.op3_pii,
     "op4_ctph": ctph.op4_ctph,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_near_dedup": setsketch.op7_near_dedup,
     "op8_bpe": bpe.op8_bpe,
     "op10_mixing": mixing.op10_mixing,
 }
