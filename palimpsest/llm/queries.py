@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, ctph, mixing, pii, quality, setsketch, sharding
+from . import bpe, ctph, mixing, pii, quality, setsketch, sharding, substrings
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
@@ -11,8 +11,10 @@ QUERIES = {
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_near_dedup": setsketch.op7_near_dedup,
     "op8_bpe": bpe.op8_bpe,
+    "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLE_SQL = {
+    "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_mixing": mixing.ORACLE,
 }
