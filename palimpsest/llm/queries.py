@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, ctph, mixing, pii, quality, setsketch, sharding, substrings
+from . import bpe, ctph, mixing, pages, pii, quality, setsketch, sharding, substrings
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op3_pii": pii.op3_pii,
     "op4_ctph": ctph.op4_ctph,
+    "op5_pages": pages.op5_pages,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_near_dedup": setsketch.op7_near_dedup,
     "op8_bpe": bpe.op8_bpe,
