@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, ctph, mixing, pages, pii, quality, setsketch, sharding, substrings
+from . import bpe, ctph, ctxmix, mixing, pages, pii, quality, setsketch, sharding, substrings
 
 QUERIES = {
+    "op1_lm_scoring": ctxmix.op1_lm_scoring,
     "op2_sharding": sharding.op2_sharding,
     "op3_pii": pii.op3_pii,
     "op4_ctph": ctph.op4_ctph,
