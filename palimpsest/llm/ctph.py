@@ -171,9 +171,10 @@ def op4_ctph(spark, sf_dir):
     by = part.orderBy("_copy", F.col("doc_id").asc_nulls_first(), "text")
     n = F.char_length("text").cast("long")
     quarter = F.expr("n_chars div 4").cast("int")
-    rows = rows.withColumn("n_chars", n).withColumn("_next", F.lead("text").over(by))
+    rows = rows.withColumn("n_chars", n).withColumn("_next", F.lead("text").over(by)).withColumn("_place", F.row_number().over(by))
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring(F.coalesce("_next", F.lit("")), F.lit(1), quarter))
-    rows = rows.select("_bucket", "_copy", "doc_id", "text", "n_chars", edited.alias("edited"))
-    rows = rows.select("*", F.sha2("edited", 256).alias("edited_sha256"), fingerprint("text").alias("fingerprint"), fingerprint("edited").alias("edited_fingerprint"))
-    rows = rows.withColumn("_after", F.lead("fingerprint").over(by)).filter(F.col("_copy") == 0)
+    rows = rows.select("_bucket", "_copy", "_place", "doc_id", "text", "n_chars", edited.alias("edited"))
+    made = (F.sha2("edited", 256).alias("edited_sha256"), fingerprint("text").alias("fingerprint"), fingerprint("edited").alias("edited_fingerprint"))
+    rows = rows.select("_bucket", "_copy", "_place", "doc_id", "n_chars", *made)  # what is shuffled again has no texts
+    rows = rows.withColumn("_after", F.lead("fingerprint").over(part.orderBy("_place"))).filter(F.col("_copy") == 0)
     return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_after")).alias("near_next"))
