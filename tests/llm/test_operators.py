@@ -1,0 +1,344 @@
+"""The corpus operators against brute force, on small tables with nulls, ties, copies and clashing names."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest.llm import bpe, ctph, ctxmix, mixing, pages, pii, quality, setsketch, sharding, substrings
+from palimpsest.llm.components import components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + str(rng.randrange(30)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    out = [prose(rng, rng.randrange(1, 120)) for _ in range(60)]
+    long = prose(rng, 400)
+    words = long.split()
+    for k in range(12):  # near copies, and copies
+        changed = list(words)
+        for _ in range(k * 3):
+            changed[rng.randrange(len(changed))] = "x" + str(rng.random())
+        out += [" ".join(changed)] * (1 + k % 2)
+    passage = prose(rng, 60)
+    out += [prose(rng, 30) + "\n" + passage + "\n" + prose(rng, 30) for _ in range(8)]
+    out += [None, "", " \t\n", "one", "ONE", "one", "ñandú  \r\n é́ 😀 <|endoftext|> it's", passage, "a " * 3000, "z" * 5000, prose(rng, 3000)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(3 * i + 1, t, "en", None if i % 9 == 0 else f"s{'éB2a'[i % 4]}", 0) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def by_id(frame):
+    return {r["doc_id"]: r for r in frame.collect()}
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+# 1
+def test_scores(docs, texts, nothing):
+    got = by_id(ctxmix.scores(docs))
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    train = [words_of(low(t)) for i, t in enumerate(texts) if not held(3 * i + 1)]
+    counts = collections.Counter(w for t in train for w in t)
+    ends, n = len(train), sum(counts.values()) + len(train)
+    v = len(counts) + 1
+    p = lambda c: math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+    for i, t in enumerate(texts):
+        r, w = got[3 * i + 1], words_of(low(t))
+        assert (r.held_out, r.n_tokens, r.train_tokens) == (held(3 * i + 1), len(w) + 1, n)
+        assert r.n_known == 1 + sum(counts[x] > 0 for x in w)
+        assert math.isclose(r.base_score, p(ends) + sum(p(counts[x]) for x in w), rel_tol=1e-9)
+        assert r.score < 0
+    long = [r for i, r in got.items() if r.n_tokens > 30]
+    assert sum(r.score for r in long) > sum(r.base_score for r in long)
+    assert ctxmix.scores(nothing).count() == 0
+
+
+def test_tree_is_a_code():
+    rng = np.random.default_rng(1)
+    code = ctxmix.Code(rng.integers(0, 9, (256, 256)))
+    assert np.allclose([(0.5 ** code.size[b * 256 : b * 256 + 256]).sum() for b in (0, 7, 255)], 1)
+
+
+# 2
+def test_shards(docs, nothing):
+    rows = docs.select("doc_id", F.lit(1).alias("shard"), F.lit("x").alias("extra"))
+    for n in (1, 7, 24, 500):
+        got = sharding.shards(rows, ["doc_id"], n, bucket_rows=13).toPandas()
+        sizes = got.groupby("shard").size().reindex(range(n), fill_value=0)
+        assert sizes.max() - sizes.min() <= 1 and len(got) == docs.count() and set(got["extra"]) == {"x"}
+        assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
+        again = sharding.shards(rows.repartition(5), ["doc_id"], n, bucket_rows=13).toPandas()
+        assert got.sort_values("doc_id").reset_index(drop=True).equals(again.sort_values("doc_id").reset_index(drop=True))
+    assert sharding.shards(nothing, ["doc_id"]).count() == 0
+    same = sharding.shards(docs.select(F.lit(None).cast("long").alias("doc_id")), ["doc_id"], 5).groupBy("shard").count().collect()
+    assert max(r["count"] for r in same) - min(r["count"] for r in same) <= 1
+
+
+def test_hypergeometric_far_beyond_numpy():
+    rng = np.random.default_rng(3)
+    x = [sharding.hypergeometric(rng, 6 * 10**9, 4 * 10**9, 10**6) for _ in range(200)]
+    assert abs(np.mean(x) - 6e5) < 5 * 490 / 14 and 300 < np.std(x) < 700
+
+
+# 3
+def luhn(d):
+    return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base(text):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        out += [(m.start(), 2, m.end())] * (14 <= len(d) <= 19 and luhn(d))
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out)
+
+
+def test_personal_data(spark, nothing):
+    rng = random.Random(7)
+    bits = ["a.b@c-d.example.com", "x@y", "@", "10.0.0.1", "300.1.1.1", "1.2.3.4.5", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (212) 555-7209", "+12", 'token = "abcdef0123456789abcd"', "555 123-4567", "me (at) home.org", "é", "  ", "\n", "a@b.c@d.e", "00000000000000"]
+    texts = [None, ""] + ["".join(rng.choice(bits) + rng.choice(["", " ", "z"]) for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = pii.scanned(rows, ["doc_id"]).cache()
+    for r in found.collect():
+        assert [tuple(s) for s in r.base] == base(texts[r.doc_id] or "")
+        assert all(s.end <= c.start or c.end <= s.start for s in r.base for c in r.found)
+    patterns = pii.accepted(found)
+    joined = rows.join(found, "doc_id").withColumn("spans", pii.all_spans(patterns))
+    for r in joined.withColumn("red", pii.redact(F.col("text"), F.col("spans"))).collect():
+        assert set(map(tuple, r.base)) <= set(map(tuple, r.spans))
+        if r.text is not None and r.base:
+            assert not any(r.text[s.start : s.end] in r.red for s in r.base if s.kind == 0)
+    assert pii.scanned(nothing, ["doc_id"]).count() == 0 and pii.accepted(pii.scanned(nothing, ["doc_id"])) == []
+
+
+def test_reliabilities_are_found():
+    rng = np.random.default_rng(2)
+    counts = collections.Counter()
+    for _ in range(4000):
+        truth = rng.random() < 0.4
+        counts["secret" + "".join("+" if truth == (rng.random() < q) else "-" for q in (0.9, 0.85, 0.8, 0.6, 0.9))] += 1
+    soft = pii.estimate(counts)
+    assert soft["secret+++++"] > 0.95 and soft["secret-----"] < 0.05
+    scores = pii.classifier(soft, counts)
+    assert scores["secret+++++"] > 0.9 and scores["secret-----"] < 0.1
+
+
+# 4
+def test_fingerprints(spark, docs, texts, nothing, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = by_id(ctph.op4_ctph(spark, str(tmp_path)))
+    plain = [t or "" for t in texts]
+    for i, t in enumerate(plain):
+        follow, q = plain[(i + 1) % len(plain)], len(t) // 4
+        edited = t[: len(t) - q] + follow[:q]
+        r = got[3 * i + 1]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert [r.fingerprint, r.edited_fingerprint] == ctph.fingerprints([t, edited])
+        assert 0 <= r.near_next <= 1 and (r.near_next == 1.0) >= (t == follow)
+    assert np.mean([r.near_edited for r in got.values() if r.n_chars > 500]) > 0.5
+    nothing.write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert ctph.op4_ctph(spark, str(tmp_path / "none")).count() == 0
+
+
+# 5
+def test_main_text(spark):
+    article = lambda body: f"<html><head><title>t</title></head><body><nav><a>menu</a></nav><div class='top'><p>Follow us</p></div>{body}<footer>f</footer></body></html>"
+    html = [article(f"<div id='story'><h1>Title {k}</h1><p>Text&nbsp;{k} &lt;b&gt; <b>x</b>y<br>z</p></div>") for k in range(8)]
+    html += [None, "", "no tags & all", "<article><p>a<script>b</script><div class='comments'><p>no</p></div><ul><li>c<li>d</ul></article>", "<p>cut <b"]
+    rows = spark.createDataFrame([(k, f"http://h.example/{k}", h) for k, h in enumerate(html)] + [(99, None, html[0])], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.main_text(rows, ["page_id"]).collect()}
+    assert [got[k] for k in range(8)] == [f"Title {k}\nText {k} <b> xy z" for k in range(8)]
+    assert [got[k] for k in range(8, 13)] == ["", "", "no tags & all", "a\nc\nd", "cut"]
+    assert got[99] == "Follow us\nTitle 0\nText 0 <b> xy z"  # no host, nothing to compare with
+    assert pages.main_text(rows.limit(0), ["page_id"]).count() == 0
+
+
+# 6
+def brute_counts(text):
+    words = words_of(text)
+    wins = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    times = collections.Counter(wins)
+    hit = {j for k, w in enumerate(wins) if times[w] > 1 for j in range(k, k + 3)}
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if words_of(line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(hit)
+
+
+def test_counts_and_rules(spark, docs, texts, nothing):
+    texts = dict(zip(range(1, 3 * len(texts), 3), texts))
+    for r in quality.statistics(docs, ["doc_id"]).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_counts(texts[r.doc_id])
+    for t in ("a b c a b c", "a\na\nb  x\na", "x x x x", "  \x1f y"):
+        assert quality.counts(t)[:5] == brute_counts(t)
+    rng = random.Random(3)
+    rows = [(k, prose(rng, 80) + (" ###" * 40 if k % 4 == 0 else "")) for k in range(400)]
+    stats = quality.statistics(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).cache()
+    labels = spark.createDataFrame([(k, int(k % 4 != 0), 0) for k in range(300)], "doc_id long, quality int, toxic int")
+    rules = quality.fit(stats, labels)
+    kept = {r.doc_id: r.kept for r in quality.judged(stats, rules).collect()}
+    assert rules and all(kept[k] == (k % 4 != 0) for k in range(300, 400))
+    assert quality.fit(stats, labels.limit(0)) == [] and quality.judged(quality.statistics(nothing, ["doc_id"]), []).count() == 0
+
+
+# 7
+def test_near_duplicates(docs, texts, nothing):
+    for k in (2, 5):
+        sets = {}
+        for i, t in enumerate(texts):
+            w = words_of(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+            sets[3 * i + 1] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+        parent = {i: i for i in sets}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a in sets:
+            for b in sets:
+                if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    x, y = sorted((find(a), find(b)))
+                    parent[y] = x
+        got = by_id(setsketch.near_duplicates(docs, shingle=k))
+        assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
+    assert setsketch.near_duplicates(nothing).count() == 0
+
+
+def test_sketches_estimate_and_merge():
+    rng = np.random.default_rng(4)
+    for j in (0.2, 0.5, 0.8, 0.95):
+        both = rng.integers(0, 1 << 63, int(2000 * j), dtype=np.uint64)
+        a, b = (np.concatenate([both, rng.integers(0, 1 << 63, int(1000 * (1 - j)), dtype=np.uint64)]) for _ in range(2))
+        x, y = setsketch.registers(a), setsketch.registers(b)
+        true = len(both) / (len(a) + len(b) - len(both))
+        got = setsketch.estimates(x[None], y[None], np.array([len(a)], float), np.array([len(b)], float))[0]
+        assert abs(got - true) < 0.12
+        assert (setsketch.merged(x, y) == setsketch.registers(np.union1d(a, b))).all()
+
+
+def test_components(spark):
+    chain = [(k, k + 1) for k in range(40)] + [(100, 101), (102, 101), (7, 7), (101, 100)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100}
+
+
+# 8
+def test_tokens(docs, texts, nothing):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    got = by_id(bpe.encode_decode(docs, "text", path, ["doc_id", "lang"]))
+    for i, t in enumerate(texts):
+        ids, r = own.encode(t or "", add_special_tokens=False).ids, got[3 * i + 1]
+        packed = np.array(ids, "<u4").tobytes()
+        assert (r.n_tokens, bytes(r.ids), r.decoded) == (len(ids), packed, own.decode(ids, skip_special_tokens=False))
+        assert r.ids_sha256 == hashlib.sha256(packed).hexdigest() and r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
+    codec = bpe.Codec(bpe.tokenizer_content(path))
+    rng = random.Random(8)
+    for _ in range(3000):
+        t = "".join(rng.choice(" \n\t'sté 　x1٣😀!?\x1c\x85<|endoftext|>") for _ in range(rng.randrange(40)))
+        assert np.frombuffer(codec.encode(t), "<u4").tolist() == own.encode(t, add_special_tokens=False).ids
+    word = [codec.byte_ids[b] for b in b"antidisestablishmentarianism" * 3]
+    assert codec._scan(list(word)) == codec._heap(list(word))
+    assert bpe.encode_decode(nothing, "text", path, ["doc_id"]).count() == 0
+
+
+# 9
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_repeats(docs, texts, nothing, hot, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_PIECES", hot)
+    first = {}
+    got = by_id(substrings.without_repeats(docs))
+    for i, t in enumerate(texts):
+        w = (t or "").encode().split()
+        gone = set()
+        for k in range(len(w) - 12):
+            if first.setdefault(tuple(w[k : k + 13]), i) < i:
+                gone |= set(range(k, k + 13))
+        left = b" ".join(x for k, x in enumerate(w) if k not in gone)
+        r = got[3 * i + 1]
+        assert (r.n_words, r.n_removed, r.kept) == (len(w), len(gone), left.decode()) and r.kept_sha256 == hashlib.sha256(left).hexdigest()
+    assert substrings.without_repeats(nothing).count() == 0
+
+
+def test_automaton_and_reference(docs, texts):
+    rng = random.Random(6)
+    seqs = [[rng.randrange(3) for _ in range(rng.randrange(30))] for _ in range(40)]
+    auto = substrings.Automaton()
+    for k, s in enumerate(seqs):
+        auto.add(s, k, k)
+    auto.finish()
+    for k, s in enumerate(seqs):
+        for end, state in auto.stream(s, 5):
+            holders = [j for j, o in enumerate(seqs) if any(o[x : x + 5] == s[end - 5 : end] for x in range(len(o)))]
+            assert (auto.least[state], auto.most[state]) == (holders[0], holders[-1])
+    reference = [texts[-4], texts[70]]
+    grams = {tuple(w[k : k + 13]) for w in map(words_of, reference) for k in range(len(w) - 12)}
+    got = by_id(substrings.in_reference(docs, reference, shard_words=40))
+    for i, t in enumerate(texts):
+        w = words_of(t)
+        want = {j for k in range(len(w) - 12) if tuple(w[k : k + 13]) in grams for j in range(k, k + 13)}
+        assert {j for s in got[3 * i + 1].spans for j in range(s.start, s.end)} == want
+
+
+# 10
+def test_mixing(spark, docs, texts, nothing):
+    rows = docs.withColumn("size", mixing.word_count(F.col("text"))).withColumn("target", F.lit(-1.0))
+    got = mixing.mix(rows, "doc_id", "size", "source").toPandas()
+    sizes = collections.Counter()
+    for i, t in enumerate(texts):
+        sizes["" if i % 9 == 0 else f"s{'éB2a'[i % 4]}"] += len(words_of(t))
+    order = sorted(sizes, key=lambda s: (s == "", s))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    capped, total = set(), sum(sizes.values())
+    while True:
+        free = [s for s in order if s not in capped]
+        left = total - sum(3 * sizes[s] for s in capped)
+        level = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if level[s] > 3 * sizes[s]}
+        if not over:
+            break
+        capped |= over
+    for source, g in got.groupby(got["source"].fillna("")):
+        want = 3.0 * sizes[source] if source in capped else level[source]
+        assert math.isclose(g["target"].iloc[0], want, rel_tol=1e-12) and g["taken"].sum() == math.floor(want)
+        assert (g["taken"] <= 3 * g["size"]).all() and (g["source_size"] == sizes[source]).all()
+    twice = mixing.mix(rows.repartition(7).union(rows.limit(0)), "doc_id", "size", "source").toPandas()
+    key = ["doc_id", "taken"]
+    assert got[key].sort_values(key).reset_index(drop=True).equals(twice[key].sort_values(key).reset_index(drop=True))
+    assert mixing.mix(nothing.withColumn("size", F.lit(0)), "doc_id", "size", "source").count() == 0
+    empty = mixing.mix(docs.limit(3).withColumn("size", F.lit(None).cast("long")), "doc_id", "size", "source").collect()
+    assert [r.taken for r in empty] == [0, 0, 0]
