@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
@@ -20,36 +20,44 @@ def weak_pages(blocks: DataFrame, threshold: float = RETRY_THRESHOLD) -> DataFra
     return blocks.join(blocks.filter(weak(threshold)).select(*PAGE).distinct(), PAGE, "left_semi")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def takes(threshold: float, gain: float) -> Column:
+    """Which block of _own takes which of _new: (block_idx, taken) in the order of the blocks."""
+    box = lambda b: {k: b[k] for k in "xywh"}
+
+    def add(acc, own):
+        free = F.filter("_new", lambda n: (n["block_type"] == own["block_type"]) & ~F.exists(acc, lambda t: t["taken"] == n["block_idx"]))
+        bonus = lambda n: F.when(own["reading_order"] == n["reading_order"], SAME_ORDER_BONUS).otherwise(0.0)
+        rated = F.transform(free, lambda n: F.struct((iou(box(own), box(n)) + bonus(n)).alias("score"), n["block_idx"].alias("idx"), (n["confidence"] >= own["confidence"] + F.lit(gain)).alias("gains"), (F.trim(n["content"]) != "").alias("filled")))
+        best = F.array_max(F.filter(rated, lambda r: r["score"] >= RETRY_SCORE))
+        pick = lambda n: F.when(n["gains"] & n["filled"], F.concat(acc, F.array(F.struct(own["block_idx"].alias("block_idx"), n["idx"].alias("taken"))))).otherwise(acc)
+        return F.when(own["block_type"].isin(*ELIGIBLE) & (own["confidence"] < F.lit(threshold)), let(best, pick)).otherwise(acc)
+
+    return F.aggregate("_own", F.array().cast("array<struct<block_idx:int,taken:int>>"), add)
+
+
 def merge_retry(blocks: DataFrame, retried: DataFrame, threshold: float = RETRY_THRESHOLD, gain: float = RETRY_GAIN) -> DataFrame:
     """``blocks`` with content, confidence and table of the retry where it is better.
 
     Weak blocks in order take the most similar unused block of the same type and page (overlap, and a bonus for the same
-    reading order), the last of equals; the take holds only if confidence grows by ``gain`` and there is text. A fold over
-    the page, whose blocks are few.
+    reading order), the last of equals; the take holds only if confidence grows by ``gain`` and there is text. Pages meet by
+    number. A fold over a page's few blocks says which takes which; contents come by a join.
     """
-    fields = ["block_idx", "block_type", "x", "y", "w", "h", "content", "confidence", "layout_confidence", "reading_order", "table"]
-    side = lambda d, name: d.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
-    pages = side(blocks, "_own").join(side(retried, "_new"), PAGE, "left")
-    new = F.coalesce("_new", F.filter("_own", lambda b: F.lit(False)))
-    box = lambda b: {k: b[k] for k in "xywh"}
-
-    def add(acc, own):
-        fits = F.filter(new, lambda n: (n["block_type"] == own["block_type"]) & ~F.array_contains(acc["used"], n["block_idx"]))
-        rated = F.transform(fits, lambda n: F.struct((iou(box(own), box(n)) + F.when(own["reading_order"] == n["reading_order"], SAME_ORDER_BONUS).otherwise(0.0)).alias("score"), n["block_idx"].alias("idx"), n.alias("n")))
-        best = F.array_max(F.filter(F.transform(rated, lambda r: F.struct(r["score"].alias("score"), r["idx"].alias("idx"))), lambda r: r["score"] >= RETRY_SCORE))
-        chosen = F.get(F.filter(new, lambda n: n["block_idx"] == best["idx"]), F.lit(0))
-        is_weak = own["block_type"].isin(*ELIGIBLE) & (own["confidence"] < threshold)
-        take = F.coalesce(is_weak & best.isNotNull() & (chosen["confidence"] >= own["confidence"] + gain) & (F.trim(chosen["content"]) != ""), F.lit(False))
-        pick = F.struct(
-            *[own[c].alias(c) for c in fields[:6]], F.when(take, chosen["content"]).otherwise(own["content"]).alias("content"), F.when(take, chosen["confidence"]).otherwise(own["confidence"]).alias("confidence"),
-            F.when(take, F.coalesce(own["layout_confidence"], chosen["layout_confidence"])).otherwise(own["layout_confidence"]).alias("layout_confidence"), own["reading_order"].alias("reading_order"), F.when(take, chosen["table"]).otherwise(own["table"]).alias("table"),
-        )
-        return F.struct(F.when(take, F.concat(acc["used"], F.array(chosen["block_idx"]))).otherwise(acc["used"]).alias("used"), F.concat(acc["out"], F.array(pick)).alias("out"))
-
-    start = F.struct(F.array().cast("array<int>").alias("used"), F.filter("_own", lambda b: F.lit(False)).alias("out"))
-    merged = pages.select(*PAGE, F.explode(F.aggregate("_own", start, add, lambda acc: acc["out"])).alias("b")).select(*PAGE, *[F.col(f"b.{c}").alias(c) for c in fields])
-    rest = blocks.select(*PAGE, "block_idx", *[c for c in blocks.columns if c not in fields and c not in PAGE])
-    return merged.join(rest, [*PAGE, "block_idx"]).select(*blocks.columns)
+    keys = ["block_idx", "block_type", "x", "y", "w", "h", "reading_order", "confidence"]
+    listed = lambda d, *more: F.array_sort(F.collect_list(F.struct(*keys, *more)))
+    own = blocks.groupBy(*PAGE).agg(listed(blocks).alias("_own"))
+    new = retried.groupBy(*PAGE).agg(listed(retried, "content").alias("_new"))
+    picks = own.join(new, PAGE).select(*PAGE, F.explode(takes(threshold, gain)).alias("t")).select(*PAGE, "t.*")
+    better = retried.select(*PAGE, F.col("block_idx").alias("taken"), *[F.col(c).alias(f"_{c}") for c in ("content", "confidence", "layout_confidence", "table")])
+    rows = blocks.join(picks.join(better, [*PAGE, "taken"]), [*PAGE, "block_idx"], "left")
+    got = F.col("taken").isNotNull()
+    pick = lambda c: F.when(got, F.col(f"_{c}")).otherwise(F.col(c))
+    rows = rows.withColumns({"content": pick("content"), "confidence": pick("confidence"), "table": pick("table"), "layout_confidence": F.coalesce("layout_confidence", F.when(got, F.col("_layout_confidence")))})
+    return rows.select(*blocks.columns)
 
 
 class StageError(RuntimeError):
