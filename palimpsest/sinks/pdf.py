@@ -88,14 +88,44 @@ def operations(elements: DataFrame) -> DataFrame:
     return out.union(grid.select("doc_id", "page_no", "page_w", "page_h", "reading_order", (1000 + F.col("i")).cast("int").alias("line"), stroke.alias("op")))
 
 
-def serialize(pages: list[tuple[float, float, str]]) -> bytes:
-    """A PDF 1.5 file of pages (width, height, content), one font."""
+def placed_images(elements: DataFrame) -> DataFrame:
+    """doc_id, page_no and boxes: the parts of a page's image to draw, in pixels. A visual page is drawn whole; else pictures,
+    raster content and weak text are cut out."""
+    visual = F.col("mode") == "VisualPreservation"
+    cut = F.col("role").isin("Figure", "Signature", "Stamp") | (F.col("content_kind") == "Raster") | low_confidence_image()
+    whole = F.struct(F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("y"), F.col("page_w").alias("w"), F.col("page_h").alias("h"))
+    box = F.when(visual, whole).when(cut, F.struct("x", "y", "w", "h"))
+    return elements.filter("has_image").groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_set(box)).alias("boxes"))
+
+
+def drawn(png: bytes | None, boxes: list, page_high: int) -> tuple[str, list[tuple[int, int, bytes]]]:
+    """Operators that draw the boxes' parts of an image, and their pixels as compressed RGB. No bytes, nothing drawn."""
+    if png is None or boxes is None:
+        return "", []
+    from ..operators.raster import cropped, decode_png, rgb
+    from ..schema import POINTS_PER_PIXEL as pt
+
+    pixels, out, ops = rgb(decode_png(bytes(png))), [], []
+    for b in boxes:
+        part = cropped(pixels, b["x"], b["y"], b["w"], b["h"])
+        ops.append(f"q {b['w'] * pt:.2f} 0 0 {b['h'] * pt:.2f} {b['x'] * pt:.2f} {(page_high - b['y'] - b['h']) * pt:.2f} cm /Im{len(out)} Do Q")
+        out.append((part.shape[1], part.shape[0], zlib.compress(part.tobytes())))
+    return "\n".join(ops), out
+
+
+def serialize(pages: list[tuple[float, float, str, list[tuple[int, int, bytes]]]]) -> bytes:
+    """A PDF 1.5 file of pages (width, height, content, images), one font. Images are lossless, not JPEG."""
     objects: list[bytes] = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
     kids = []
-    for wide, high, content in pages:
-        body = zlib.compress(content.encode("latin-1", "replace"))
-        objects.append(b"<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(body) + body + b"\nendstream")
-        objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %.2f %.2f] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (wide, high, len(objects)))
+    stream = lambda head, body: b"<< %s/Length %d /Filter /FlateDecode >>\nstream\n" % (head, len(body)) + body + b"\nendstream"
+    for wide, high, content, images in pages:
+        names = []
+        for k, (w, h, body) in enumerate(images):
+            objects.append(stream(b"/Type /XObject /Subtype /Image /Width %d /Height %d /ColorSpace /DeviceRGB /BitsPerComponent 8 " % (w, h), body))
+            names.append(b"/Im%d %d 0 R" % (k, len(objects)))
+        objects.append(stream(b"", zlib.compress(content.encode("latin-1", "replace"))))
+        pictures = b" /XObject << " + b" ".join(names) + b" >>" if names else b""
+        objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %.2f %.2f] /Resources << /Font << /F1 3 0 R >>%s >> /Contents %d 0 R >>" % (wide, high, pictures, len(objects)))
         kids.append(b"%d 0 R" % len(objects))
     objects[1] = b"<< /Type /Pages /Kids [" + b" ".join(kids) + b"] /Count %d >>" % len(kids)
     out, places = bytearray(b"%PDF-1.5\n"), []
@@ -107,15 +137,23 @@ def serialize(pages: list[tuple[float, float, str]]) -> bytes:
     return bytes(out + b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, start))
 
 
-def files(elements: DataFrame) -> DataFrame:
-    """doc_id and pdf: the file of every document."""
+def files(elements: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """doc_id and pdf: the file of every document. ``images`` (doc_id, page_no, png) are drawn under the text."""
     ops = operations(elements)
     content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "line", "op"))), lambda s: s["op"]), "\n")
-    pages = elements.select("doc_id", "page_no", "page_w", "page_h").distinct().join(ops.groupBy("doc_id", "page_no").agg(content.alias("content")), ["doc_id", "page_no"], "left")
-    rows = pages.select("doc_id", "page_no", points(F.col("page_w")).alias("wide"), points(F.col("page_h")).alias("high"), F.coalesce("content", F.lit("")).alias("content"))
+    key = ["doc_id", "page_no"]
+    pages = elements.select(*key, "page_w", "page_h").distinct().join(ops.groupBy(*key).agg(content.alias("content")), key, "left")
+    if images is None:
+        pages = pages.withColumns({"boxes": F.lit(None).cast("array<struct<x:bigint,y:bigint,w:bigint,h:bigint>>"), "png": F.lit(None).cast("binary")})
+    else:
+        pages = pages.join(placed_images(elements), key, "left").join(images.select(*key, "png"), key, "left")
+    rows = pages.select(*key, F.col("page_h").alias("tall"), points(F.col("page_w")).alias("wide"), points(F.col("page_h")).alias("high"), F.coalesce("content", F.lit("")).alias("content"), "boxes", "png")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("page_no")
-        return pd.DataFrame({"doc_id": [group["doc_id"].iloc[0]], "pdf": [serialize(list(zip(group["wide"], group["high"], group["content"])))]})
+        out = []
+        for r in group.sort_values("page_no").itertuples():
+            ops, pictures = drawn(r.png, r.boxes, r.tall)
+            out.append((r.wide, r.high, "\n".join(x for x in (ops, r.content) if x), pictures))
+        return pd.DataFrame({"doc_id": [group["doc_id"].iloc[0]], "pdf": [serialize(out)]})
 
     return rows.groupBy("doc_id").applyInPandas(one, "doc_id long, pdf binary")

@@ -159,3 +159,19 @@ def test_sources(spark, tmp_path):
     assert [(r.page_no, r.width, r.height) for r in files.raster_pages(spark, str(tmp_path / "c.png")).collect()] == [(1, 200, 100)]
     cleaned = R.clean_pages(spark.createDataFrame([(1, 1, bytearray(R.encode_png(np.full((50, 50), 128, np.uint8)))), (1, 2, None)], "doc_id long, page_no int, png binary")).collect()
     assert [r.png is None for r in sorted(cleaned, key=lambda r: r.page_no)] == [False, True]
+
+
+def test_pdf_files(spark):
+    from palimpsest.sinks import pdf
+
+    png = bytearray(R.encode_png(np.arange(200 * 300, dtype=np.uint32).astype(np.uint8).reshape(200, 300)))
+    blocks = page([("Title", 20, 10, 260, 30, "Canción año"), ("Image", 40, 100, 80, 35, "")], size=(300, 200), image=True) + page([("Text", 20, 10, 260, 30, "texto claro")], doc=2)
+    rows = C.elements(spark.createDataFrame(blocks, BLOCKS))
+    got = {r.doc_id: bytes(r.pdf) for r in pdf.files(rows, spark.createDataFrame([(1, 1, png)], "doc_id bigint, page_no int, png binary")).collect()}
+    assert got[1].count(b"/Subtype /Image") == 1 and got[2].count(b"/Subtype /Image") == 0
+    for raw in got.values():
+        assert raw.startswith(b"%PDF-1.5") and raw.endswith(b"%%EOF\n")
+        start = int(raw.rsplit(b"startxref\n", 1)[1].split()[0])
+        assert raw[start:].startswith(b"xref")
+    line = pdf.text_lines(rows.filter("doc_id = 1")).first()
+    assert bytes.fromhex(line.hex).decode("cp1252") == line.value == "Canción año"
