@@ -23,7 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import groups_of, map_rows, saved, table
-from .words import hashed_words, windows
+from .ctph import power_tables
+from .setsketch import MAP_BITS as SLOTS
+from .setsketch import needed
+from .words import hashed_words, mixed, windows
 
 WINDOW, MINI = 13, 5
 #: Windows in a piece at most; a bit each in its mask.
@@ -31,6 +34,8 @@ PIECE = 32
 #: Bits of the map of minimizers that occur in more than one document, and the parts it is made in. Its size
 #: does not depend on the input; what shares a bit by chance is only looked at in vain.
 MAP_BITS, MAP_PARTS = 1 << 27, 256
+#: Entries that are kept apart while a part is made; beyond, one a bit is kept and bits with several count as shared.
+PART_ENTRIES = 1 << 21
 #: Words a shard's automaton is planned for, and distinct pieces of one minimizer above which they are cut up.
 SHARD_WORDS, HOT_PIECES = 60_000, 20_000
 FAR = 1 << 62
@@ -129,14 +134,22 @@ def minimizers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def per_document(texts: list[str]) -> Iterator[tuple[int, bytes, np.ndarray]]:
-    """(index, bytes, minimizers of all windows) of each text."""
+def per_document(texts: list[str]) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
+    """(index, bytes, minimizers of all windows, hashes of all words) of each text."""
     for a, b in groups_of(texts):
         raws = [t.encode() for t in texts[a:b]]
         hashes, at = hashed_words(raws)
         mins = minimizers(hashes)
         for k, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
-            yield a + k, raws[k], mins[s : max(s, e - WINDOW + 1)]
+            yield a + k, raws[k], mins[s : max(s, e - WINDOW + 1)], hashes[s:e]
+
+
+def run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the words from each start to each end."""
+    up, down = power_tables(len(hashes))
+    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def shared_map(docs: DataFrame) -> np.ndarray:
@@ -148,14 +161,14 @@ def shared_map(docs: DataFrame) -> np.ndarray:
             ids = np.asarray(batch.column(0)).astype(np.uint64)
             marks = ((ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) | np.uint64(1)
             found = []
-            for k, _, mins in per_document([t.as_py() or "" for t in batch.column(1)]):
+            for k, _, mins, _ in per_document([t.as_py() or "" for t in batch.column(1)]):
                 if len(mins):
                     own = mins[np.concatenate([[True], mins[1:] != mins[:-1]])]
-                    found.append((own % np.uint64(MAP_BITS)) << np.uint64(32) | marks[k])
+                    found.append((own % np.uint64(MAP_BITS)) << np.uint64(37) | (own >> np.uint64(59)) << np.uint64(32) | marks[k])
             if not found:
                 return None
             entries = np.unique(np.concatenate(found))
-            part = (entries >> np.uint64(32)) // np.uint64(width)
+            part = (entries >> np.uint64(37)) // np.uint64(width)
             cut = np.searchsorted(part, np.arange(MAP_PARTS + 1))
             some = np.flatnonzero(np.diff(cut)).tolist()
             return [some, [entries[cut[p] : cut[p + 1]].tobytes() for p in some]]
@@ -164,69 +177,118 @@ def shared_map(docs: DataFrame) -> np.ndarray:
 
     rows = map_rows(docs.select("doc_id", "text"), make, "part int, entries binary")
 
+    def merged(part: int, entries: list[np.ndarray], twice: np.ndarray) -> np.ndarray:
+        """Marks the bits of minimizers (told apart by 5 bits more than their place) seen in two documents; what is still open."""
+        all_ = np.unique(np.concatenate(entries))
+        slot = (all_ >> np.uint64(37)).astype(np.int64) - part * width
+        same = all_[1:] >> np.uint64(32) == all_[:-1] >> np.uint64(32)
+        twice[slot[1:][same]] = True
+        open_ = ~twice[slot]
+        all_, slot = all_[open_], slot[open_]
+        if len(all_) > PART_ENTRIES:
+            again = slot[1:] == slot[:-1]
+            twice[slot[1:][again]] = True
+            all_ = all_[~twice[slot]]
+        return all_
+
     def fold(batches):
-        first: dict[int, np.ndarray] = {}
+        held: dict[int, list[np.ndarray]] = {}
+        size: dict[int, int] = {}
         twice: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if part not in first:
-                    first[part], twice[part] = np.zeros(width, dtype=np.uint32), np.zeros(width, dtype=bool)
-                entries = np.frombuffer(raw.as_py(), dtype=np.uint64)
-                slot = (entries >> np.uint64(32)).astype(np.int64) - part * width
-                mark = entries.astype(np.uint32)
-                f, t = first[part], twice[part]
-                t[slot[1:][slot[1:] == slot[:-1]]] = True
-                t[slot[(f[slot] != 0) & (f[slot] != mark)]] = True
-                f[slot] = mark
+                if part not in held:
+                    held[part], size[part], twice[part] = [], 0, np.zeros(width, dtype=bool)
+                held[part].append(np.frombuffer(raw.as_py(), dtype=np.uint64))
+                size[part] += len(held[part][-1])
+                if size[part] > 2 * PART_ENTRIES:
+                    held[part] = [merged(part, held[part], twice[part])]
+                    size[part] = len(held[part][0])
         for part, t in twice.items():
+            merged(part, held[part], t)
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(t).tobytes()], pa.binary())})
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = np.zeros(MAP_BITS // 8, dtype=np.uint8)
-    for part, bits in rows.repartition(min(MAP_PARTS, parts), "part").mapInArrow(fold, "part int, bits binary").toLocalIterator():
+    for part, bits in rows.repartition(min(MAP_PARTS, parts), "part").mapInArrow(fold, "part int, bits binary").collect():  # MAP_BITS in all
         out[part * width // 8 : (part + 1) * width // 8] = np.frombuffer(bits, dtype=np.uint8)
     return out
 
 
 def pieces(docs: DataFrame, shared: np.ndarray) -> DataFrame:
-    """(doc_id, start, piece, mini, words) of each document's pieces under a shared minimizer; ``piece`` is the hash of the
-    words, which come only the first time in a task."""
+    """The documents' pieces under a shared minimizer. Occurrences are (doc_id, start, piece), ``piece`` being the hash of the
+    words; contents are (piece, mini, words, least, most), one for what a task has seen of a piece, with the
+    smallest and largest document."""
     sent = docs.sparkSession.sparkContext.broadcast(shared)
+    names = ["doc_id", "start", "piece", "mini", "words", "least", "most"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
 
-    def make():
+    def run(batches):
         bits = sent.value
-        seen: set[int] = set()
+        seen: dict[int, list] = {}
 
-        def work(batch):
-            ids = np.asarray(batch.column(0))
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for k, raw, mins in per_document([t.as_py() or "" for t in batch.column(1)]):
+        def contents():
+            rows = [(None, None, h, *x) for h, x in seen.items()]
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            out: tuple[list, list, list] = ([], [], [])
+            for k, raw, mins, hashes in per_document([t.as_py() or "" for t in batch.column(1)]):
                 if not len(mins):
                     continue
                 slot = (mins % np.uint64(MAP_BITS)).astype(np.int64)
                 hit = (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
                 if not hit.any():
                     continue
-                words = raw.split()
                 begin = np.flatnonzero(np.concatenate([[True], mins[1:] != mins[:-1]]))
-                ends = np.append(begin[1:], len(mins))
-                for s, e, m in zip(begin[hit[begin]].tolist(), ends[hit[begin]].tolist(), mins[begin[hit[begin]]].view(np.int64).tolist()):
-                    for a in range(s, e, PIECE):
-                        content = b" ".join(words[a : min(a + PIECE, e) + WINDOW - 1])
-                        h = int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True)
-                        out[0].append(ids[k])
-                        out[1].append(a)
-                        out[2].append(h)
-                        out[3].append(m)
-                        out[4].append(None if h in seen else content)
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        seen.add(h)
-            return list(out) if out[0] else None
-
-        return work
-
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, start int, piece long, mini long, words binary")
+                size = np.append(begin[1:], len(mins)) - begin
+                parts = -(-size // PIECE)
+                starts = np.repeat(begin, parts) + PIECE * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+                ends = np.minimum(starts + PIECE, np.repeat(begin + size, parts)) + WINDOW - 1
+                starts, ends = starts[hit[starts]], ends[hit[starts]]
+                own = run_hashes(hashes, starts, ends).view(np.int64).tolist()
+                doc, words = ids[k], raw.split()
+                out[0].extend([doc] * len(own))
+                out[1].extend(starts.tolist())
+                out[2].extend(own)
+                for h, s, e, m in zip(own, starts.tolist(), ends.tolist(), mins[starts].view(np.int64).tolist()):
+                    x = seen.get(h)
+                    if x is None:
+                        seen[h] = [m, b" ".join(words[s:e]), doc, doc]
+                    elif doc < x[2]:
+                        x[2] = doc
+                    elif doc > x[3]:
+                        x[3] = doc
+                if len(seen) > 200_000:
+                    yield contents()
+            if out[0]:
+                n = len(out[0])
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, kinds)] + [pa.nulls(n, t) for t in kinds[3:]], names=names)
+        if seen:
+            yield contents()
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start int, piece long, mini long, words binary, least long, most long")
+
+
+def worthwhile(distinct: dict[int, list]) -> list[tuple[int, list]]:
+    """The pieces with a window whose hash lies in two documents: no other can match, so no other need be in the automaton."""
+    if not distinct:
+        return []
+    hashes, at = hashed_words([x[0] for x in distinct.values()])
+    n = np.diff(at) - WINDOW + 1
+    owner = np.repeat(np.arange(len(n)), n)
+    place = np.repeat(at[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    own = windows(hashes, WINDOW)[place]
+    _, group = np.unique(own, return_inverse=True)
+    docs = np.array([x[1:] for x in distinct.values()], dtype=np.int64)
+    least, most = np.full(group.max() + 1, np.iinfo(np.int64).max), np.full(group.max() + 1, np.iinfo(np.int64).min)
+    np.minimum.at(least, group, docs[owner, 0])
+    np.maximum.at(most, group, docs[owner, 1])
+    some = np.zeros(len(n), dtype=bool)
+    some[owner[(least != most)[group]]] = True
+    return [x for x, yes in zip(distinct.items(), some.tolist()) if yes]
 
 
 def first_documents(contents: DataFrame, n_shards: int) -> DataFrame:
@@ -234,16 +296,18 @@ def first_documents(contents: DataFrame, n_shards: int) -> DataFrame:
     most), where any window lies in two documents. ``deal`` tells the shard; all pieces with a window in common have the same."""
 
     def run(group: pa.Table) -> pa.Table:
-        distinct: dict[int, tuple[list[bytes], int, int]] = {}
+        distinct: dict[int, list] = {}
         for piece, words, least, most in zip(*(group.column(c).to_pylist() for c in ("piece", "words", "least", "most"))):
-            if piece not in distinct:
-                distinct[piece] = (words.split(b" "), least, most)
-        auto = Automaton()
-        for words, least, most in distinct.values():
+            x = distinct.setdefault(piece, [words, least, most])
+            x[1], x[2] = min(x[1], least), max(x[2], most)
+        auto, used = Automaton(), []
+        for piece, (words, least, most) in worthwhile(distinct):
+            words = words.split(b" ")
             auto.add(words, least, most)
+            used.append((piece, words))
         auto.finish()
         names, firsts = [], []
-        for piece, (words, _, _) in distinct.items():
+        for piece, words in used:
             states = [s for _, s in auto.stream(words, WINDOW)]
             if any(auto.least[s] != auto.most[s] for s in states):
                 names.append(piece)
@@ -277,8 +341,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, hits) for documents (doc_id, text) with windows whose words also start in a document of a smaller id;
     a hit is the place of a piece's first window << 32 | a mask of its windows."""
     found = saved(pieces(docs, shared_map(docs)), "pieces")
-    range_of = found.groupBy("piece").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    contents = saved(found.filter("words is not null").select("piece", "mini", "words").join(range_of, "piece"), "contents")
+    contents = found.filter("doc_id is null").select("piece", "mini", "words", "least", "most")
+    found = found.filter("doc_id is not null").select("doc_id", "start", "piece")
     per_mini = contents.groupBy("mini").agg(F.count("*").alias("rows"))
     n, n_hot = per_mini.agg(F.sum("rows"), F.sum((F.col("rows") > HOT_PIECES).cast("long"))).first()
     if n is None:
@@ -287,11 +351,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     if n_hot:
         hot = per_mini.filter(F.col("rows") > HOT_PIECES).select("mini")
         plain = contents.join(hot, "mini", "left_anti")
-        single = cut_up(contents.join(hot, "mini", "left_semi").dropDuplicates(["piece"]))
-        single = saved(single, "windows")
+        single = saved(cut_up(contents.join(hot, "mini", "left_semi")), "windows")
         distinct = single.groupBy("window").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min("words").alias("words"))
         by_window = first_documents(distinct.select(F.col("window").alias("piece"), F.col("window").alias("deal"), "words", "least", "most"), shards)
-        back = single.join(by_window.select(F.col("piece").alias("window"), F.col("firsts")[0].alias("first")), "window", "left")
+        back = single.select("piece", "place", "window").distinct().join(by_window.select(F.col("piece").alias("window"), F.col("firsts")[0].alias("first")), "window", "left")
         rows = F.array_sort(F.collect_list(F.struct("place", F.coalesce("first", F.lit(FAR)).alias("first"))))
         cut = back.groupBy("piece").agg(rows.alias("r"), F.max(F.col("first").isNotNull()).alias("any")).filter("any").select("piece", F.col("r.first").alias("firsts"))
     else:
@@ -376,31 +439,65 @@ def without_repeats(df: DataFrame, with_text: bool = True) -> DataFrame:
     other; a null id is smaller than all others. An empty table gives an empty one; other columns do not come back.
     """
     docs = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-FAR)).alias("doc_id"), "text")
-    rows = docs.join(repeated(docs), "doc_id", "left").select("doc_id", "text", "hits")
+    hits = saved(repeated(docs), "hits")
+    sent = df.sparkSession.sparkContext.broadcast(needed(hits.select("doc_id")))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
+
+    def result(words: list[bytes], hits: list[int] | None) -> tuple:
+        left = words
+        if hits:
+            left = [w for w, x in zip(words, covered(len(words), hits).tolist()) if not x]
+        text = b" ".join(left)
+        return len(words), len(words) - len(left), hashlib.sha256(text).hexdigest(), *([text.decode()] if with_text else [])
+
+    def marked(column) -> np.ndarray:
+        slots = np.asarray(column)
+        return (sent.value[slots // 64] >> (slots % 64).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+    def whole():
+        def work(batch):
+            rest = np.flatnonzero(~marked(batch.column(2)))
+            if not len(rest):
+                return None
+            rows = [result(word_bytes(batch.column(1)[k].as_py() or ""), None) for k in rest.tolist()]
+            return [batch.column(0).take(rest), *map(list, zip(*rows))]
 
-    def make():
+        return work
+
+    def sifted():
         def work(batch):
-            n, gone, sha, kept = [], [], [], []
-            for t, hits in zip(batch.column(1), batch.column(2)):
-                words = word_bytes(t.as_py() or "")
-                left = words
-                if hits.is_valid:
-                    out = covered(len(words), hits.as_py())
-                    left = [w for w, x in zip(words, out.tolist()) if not x]
-                text = b" ".join(left)
-                n.append(len(words))
-                gone.append(len(words) - len(left))
-                sha.append(hashlib.sha256(text).hexdigest())
-                if with_text:
-                    kept.append(text.decode())
-            return [batch.column(0), n, gone, sha, *([kept] if with_text else [])]
+            some = np.flatnonzero(marked(batch.column(2)))
+            return [batch.column(0).take(some), batch.column(1).take(some)] if len(some) else None
+
+        return work
+
+    def cut():
+        def work(batch):
+            rows = [result(word_bytes(t.as_py() or ""), h.as_py()) for t, h in zip(batch.column(1), batch.column(2))]
+            return [batch.column(0), *map(list, zip(*rows))]
 
         return work
 
-    out = map_rows(rows, make, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    with_slot = docs.select("doc_id", "text", slot.alias("slot"))
+    # only texts that something is removed from (and a few that share a bit with them) are shuffled
+    found = map_rows(with_slot, sifted, "doc_id long, text string").join(hits, "doc_id", "left").select("doc_id", "text", "hits")
+    out = map_rows(with_slot, whole, schema).unionByName(map_rows(found, cut, schema))
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -FAR, F.col("doc_id")))
 
 
 def op9_substring_dedup(spark, sf_dir):
     """Words of every document in passages that a document before it holds."""
     return without_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT *, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM d)),
+f AS (SELECT *, min(doc_id) OVER (PARTITION BY k) AS m FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM f WHERE m < doc_id),
+t AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS kept, count(*) AS n FROM t ANTI JOIN c USING (doc_id, p) GROUP BY 1)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
