@@ -20,10 +20,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, saved, table
+from .common import GROUP_BYTES, saved, table
 from .ctph import power_tables
 from .words import BYTE, WHITE
 
@@ -35,9 +35,9 @@ PART = 1 << 14
 RUN, STEP = 4096, 64
 RATE = 0.002
 #: Bytes of training texts that the gated weights are fitted on at most.
-SAMPLE_BYTES = 1_500_000
+SAMPLE_BYTES = 800_000
 #: Most frequent words that every task holds; counts of others are joined.
-HEAD = 200_000
+HEAD = 150_000
 END = 255
 PAD = 4
 
@@ -129,12 +129,12 @@ def count_bits(code: Code, raws: list[bytes], tables: list[np.ndarray]) -> None:
     at = np.flatnonzero(keep)
     symbols = data[at - 1].astype(np.int64) << 8 | data[at]
     size, place = decisions(code, symbols)
-    mix, one = code.mix[place], (code.sign[place] > 0).view(np.uint8)
+    mix, one = code.mix.take(place, mode="clip"), (code.sign.take(place, mode="clip") > 0).view(np.uint8)
     for h, bits, out in zip(contexts(data), TABLE_BITS, tables):
-        s = slots(np.repeat(h[at], size), mix, bits).astype(np.int64)
+        s = slots(np.repeat(h[at], size), mix, bits).astype(np.intp)
         s <<= 1
         s |= one
-        out += np.bincount(s, minlength=len(out)).astype(np.uint32)
+        np.add.at(out, s, np.uint32(1))
 
 
 def small_counts(counts: np.ndarray) -> np.ndarray:
@@ -159,7 +159,7 @@ def counted(train: DataFrame, code: Code) -> list[np.ndarray]:
                 raw = t.as_py()
                 pending.append(raw)
                 size += len(raw)
-                if size > 3 << 20:
+                if size > GROUP_BYTES:
                     count_bits(own, pending, tables)
                     pending, size, some = [], 0, True
         if pending:
@@ -210,16 +210,17 @@ class Model:
         self.weights = np.full((16, SIGNS), 0.4, dtype=np.float32) if weights is None else weights
 
     def _inputs(self, hashes: list[np.ndarray], at: np.ndarray, size: np.ndarray, place: np.ndarray, own: bool) -> tuple[list[np.ndarray], np.ndarray]:
-        mix = self.code.mix[place]
+        mix = self.code.mix.take(place, mode="clip")
         inputs, gate = [], None
         for k, (h, bits, counts) in enumerate(zip(hashes, TABLE_BITS, self.tables)):
-            pair = counts[slots(np.repeat(h[at], size), mix, bits)]
+            pair = counts.take(slots(np.repeat(h[at], size), mix, bits).astype(np.intp), mode="clip")
             if own:  # what the text itself has counted goes
                 high = self.code.sign[place] > 0
                 pair = np.where(high, pair - ((pair & 255) > 0) * ((pair & 255) < 255), pair - (((pair >> 8) > 0) & ((pair >> 8) < 255)) * np.uint16(256)).astype(np.uint16)
-            inputs.append(LOGIT[pair])
+            inputs.append(LOGIT.take(pair, mode="clip"))
             if k:
-                gate = SEEN[pair] if gate is None else gate << 2 | SEEN[pair]
+                seen = SEEN.take(pair, mode="clip")
+                gate = seen if gate is None else gate << 2 | seen
         return inputs, gate
 
     def costs(self, raws: list[bytes], fit: float = 0.0) -> np.ndarray:
@@ -249,13 +250,13 @@ class Model:
             bits_to = np.cumsum(size)[last - 1]
             bits_from = np.concatenate([[0], bits_to[:-1]])
             inputs, gate = self._inputs(hashes, at, size, place, fit > 0)
-            sign = self.code.sign[place]
+            sign = self.code.sign.take(place, mode="clip")
             per_run = bits_to - bits_from
             z = np.repeat(change[:live, -1], per_run)
-            z += self.weights[:, -1][gate]
+            z += self.weights[:, -1].take(gate)
             z *= bias
             for k, x in enumerate(inputs):
-                w = self.weights[:, k][gate]
+                w = self.weights[:, k].take(gate)
                 w += np.repeat(change[:live, k], per_run)
                 w *= x
                 z += w
@@ -288,7 +289,6 @@ def model_of(train: DataFrame, pairs: np.ndarray) -> Model:
     """A model of ``train`` (raw binary), given how often each byte followed each other."""
     code = Code(pairs)
     tables = counted(train, code)
-    size = F.length("raw") + 1
     some = train.select("raw", F.xxhash64("raw").alias("h")).filter(F.length("raw") < SAMPLE_BYTES // 50)
     rows = some.orderBy("h", "raw").limit(SAMPLE_BYTES // 2000).select("raw").collect()
     sample, room = [], SAMPLE_BYTES
@@ -296,7 +296,6 @@ def model_of(train: DataFrame, pairs: np.ndarray) -> Model:
         if len(r[0]) < room:
             sample.append(bytes(r[0]))
             room -= len(r[0])
-    del size
     return fitted(code, tables, sample)
 
 
@@ -339,11 +338,12 @@ def gathered(docs: DataFrame) -> DataFrame:
 
 def scored(docs: DataFrame, model: Model, head: dict[bytes, int], ends: int, log_total: float) -> DataFrame:
     """(doc_id, held_out, n_tokens, known, base, score, tail) of ``docs`` (doc_id, held_out, raw); tail has the words that ``head`` has not."""
-    sent = docs.sparkSession.sparkContext.broadcast((model, {w: (c, math.log10(c + 0.1) - log_total) for w, c in head.items()}))
+    sent = docs.sparkSession.sparkContext.broadcast((model, head))
     end = math.log10(ends + 0.1) - log_total
 
     def run(batches):
-        own, known_words = sent.value
+        own, counts = sent.value
+        known_words = {w: math.log10(c + 0.1) - log_total for w, c in counts.items()}
 
         def done(rows):
             costs = own.costs([r[2] for r in rows])
@@ -355,7 +355,7 @@ def scored(docs: DataFrame, model: Model, head: dict[bytes, int], ends: int, log
                     hit = known_words.get(w)
                     if hit is not None:
                         known += 1
-                        base += hit[1]
+                        base += hit
                     else:
                         tail[w] = tail.get(w, 0) + 1
                 for column, x in zip(out, (doc_id, held, len(words) + 1, known, base, -cost / math.log(10), [{"word": w, "k": k} for w, k in tail.items()])):
@@ -367,7 +367,7 @@ def scored(docs: DataFrame, model: Model, head: dict[bytes, int], ends: int, log
             for doc_id, held, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 pending.append((doc_id, held, raw))
                 size += len(raw)
-                if size > 3 << 20:
+                if size > 2 * GROUP_BYTES:
                     yield done(pending)
                     pending, size = [], 0
         if pending:
@@ -381,6 +381,13 @@ def scored(docs: DataFrame, model: Model, head: dict[bytes, int], ends: int, log
     return docs.select("doc_id", "held_out", "raw").mapInArrow(run, schema)
 
 
+def least_count(words: DataFrame, most: int = HEAD) -> int:
+    """The smallest count that ``most`` words or fewer reach; there are no more different counts than twice the root of all tokens."""
+    sizes = words.groupBy("c").agg(F.count("*").alias("k"))
+    reach = sizes.withColumn("to", F.sum("k").over(Window.orderBy(F.desc("c")))).filter(F.col("to") <= most)
+    return reach.agg(F.coalesce(F.min("c"), F.lit(1 << 62))).first()[0]
+
+
 def scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row: the mixing model's and the word
     model's log10 probability of the whole text, learned from the rows that are not held out.
@@ -402,7 +409,7 @@ def scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     distinct, tokens = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     total, kinds = tokens + ends, distinct + (ends > 0)
     log_total = math.log10(total + 0.1 * (kinds + 1))
-    head = {bytes(r[0]): r[1] for r in words.orderBy(F.desc("c"), "word").limit(HEAD).collect()}
+    head = {bytes(r[0]): r[1] for r in words.filter(F.col("c") >= least_count(words)).collect()}  # HEAD rows at most
     model = model_of(train, pairs.reshape(256, 256))
     rows = scored(docs, model, head, ends, log_total).withColumn("row", F.monotonically_increasing_id())
     rows = saved(rows, "scores")
