@@ -6,10 +6,19 @@ larger register. Bands of registers are the keys of buckets. Two sketches estima
 similarity jointly by maximum likelihood, given how many registers are larger, smaller and equal; pairs far
 below the threshold go, all others are confirmed on the full sets of shingles.
 
-Links are sought in two passes. Documents with the same set are one class first. In the first pass each class
-is tried against the smallest member of its buckets that the estimate likes best, so a bucket of any size costs
-one pair a member. In the second, only classes outside their bucket's largest component are tried, against the
-bucket's members in other components: nothing that shares a bucket and is not already connected is left out.
+Links are sought in two passes. Documents with the same set are one class first. Each bucket has a centre, its member
+with the most company in all its buckets. In the first pass each class is tried against one centre, the one
+with the most company of those that the estimate takes for linked, or else for not far, so a bucket of any size costs one
+pair a member, and most of a group of copies becomes one component. The second pass looks for the links between what is in one bucket and not yet in one component:
+
+* Of classes u, v tried against the same centre c, one, say u, is not linked to it. Let r be what a class lacks of c, a what
+  it has besides c. Then u and v are linked only if they share enough of r and a to make up for it:
+  (1 + t) (shared r + shared a) >= t (c + a_u + a_v) - (c - r_u - r_v). Unless v lacks more of c than it adds, shared r
+  alone cannot, so they share something that c has not: such pairs are found by a join on that. The others, where
+  0.8 (r_v - a_v) reaches what u is short of, are paired by these numbers.
+* Classes with different centres are paired if they share a bucket.
+
+Nothing that shares a bucket and is not already connected is left out.
 """
 
 from __future__ import annotations
@@ -24,13 +33,15 @@ from .common import groups_of, map_rows, saved, table
 from .components import components
 from .words import mixed, shingle_sets
 
-#: 30 bands of 4: two documents of similarity 0.8 share no band once in seven million times.
-BANDS, ROWS = 30, 4
+#: 45 bands of 6: two documents of similarity 0.8 share no band once in 800,000 times, two of 0.3 share one 3 % of the time.
+BANDS, ROWS = 45, 6
 REGISTERS = BANDS * ROWS
 #: Ratio of the scale's steps.
 STEP = 1.001
-#: Pairs whose estimate is this far under the threshold are not confirmed: above six standard deviations.
-MARGIN = 0.25
+#: Pairs whose estimate is this far under the threshold are not confirmed: five standard deviations.
+MARGIN = 0.12
+#: A class belongs around a centre that its estimate is so near to.
+SAME_GROUP = 0.5
 #: Bits of the map of documents whose sets are needed; others are sent at most once more than needed.
 MAP_BITS = 1 << 24
 
@@ -71,7 +82,7 @@ def band_keys(sketches: np.ndarray) -> np.ndarray:
     parts = sketches.reshape(len(sketches), BANDS, ROWS).astype(np.uint64)
     key = parts[..., 0]
     for k in range(1, ROWS):
-        key = key << np.uint64(16) | parts[..., k]
+        key = mixed(key ^ BAND_SALT) + parts[..., k]
     return mixed(key ^ BAND_SALT).view(np.int64)
 
 
@@ -152,7 +163,7 @@ def needed(ids: DataFrame) -> np.ndarray:
     slot = F.pmod(F.xxhash64(ids.columns[0]), F.lit(MAP_BITS))
     words = ids.select(slot.alias("s")).groupBy(F.expr("s div 64").cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
     out = np.zeros(MAP_BITS // 64, dtype=np.uint64)
-    for w, bits in words.toLocalIterator(prefetchPartitions=True):
+    for w, bits in words.collect():  # one row for 64 bits of the map at most
         out[w] = np.uint64(bits & 0xFFFFFFFFFFFFFFFF)
     return out
 
@@ -179,24 +190,61 @@ def sets_of(docs: DataFrame, k: int, ids: DataFrame) -> DataFrame:
     return map_rows(docs.select("doc_id", "text", slot.alias("slot")), make, "id long, items binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` whose full sets have 100 * intersection >= ``percent`` * union."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) with linked (100 * intersection >= ``percent`` * union of the full sets), lacks (how much of a's set
+    b lacks), adds (how much b has besides), size (of a's set), and extra (what b has besides, packed)."""
     rows = pairs.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     rows = rows.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y")
 
     def make():
         def work(batch):
-            keep = []
+            linked, lacks, adds, size, extra = [], [], [], [], []
             for x, y in zip(batch.column(2), batch.column(3)):
                 p, q = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            keep = np.array(keep, dtype=bool)
-            return [np.asarray(batch.column(0))[keep], np.asarray(batch.column(1))[keep]]
+                more = np.setdiff1d(q, p, assume_unique=True)
+                both = len(q) - len(more)
+                linked.append(100 * both >= percent * (len(p) + len(q) - both))
+                lacks.append(len(p) - both)
+                adds.append(len(more))
+                size.append(len(p))
+                extra.append(more.tobytes())
+            return [batch.column(0), batch.column(1), linked, lacks, adds, size, extra]
+
+        return work
+
+    return map_rows(rows, make, "a long, b long, linked boolean, lacks long, adds long, size long, extra binary")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of ``pairs``."""
+    return compared(pairs, sets, percent).filter("linked").select("a", "b")
+
+
+def around_centres(tried: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes in different components that were tried against the same centre and may be linked."""
+    named = tried.join(component.withColumnRenamed("node", "b"), "b", "left").withColumn("c", F.coalesce("component", "b"))
+    apart = named.filter("not linked").select(F.col("a").alias("centre")).distinct()
+    named = named.withColumnRenamed("a", "centre").join(apart, "centre", "left_semi")
+
+    def make():
+        def work(batch):
+            parts = [np.frombuffer(x.as_py(), dtype=np.int64) for x in batch.column(4)]
+            times = [len(p) for p in parts]
+            if not sum(times):
+                return None
+            return [np.repeat(np.asarray(batch.column(k)), times) for k in range(4)] + [np.concatenate(parts)]
 
         return work
 
-    return map_rows(rows, make, "a long, b long").distinct()
+    items = map_rows(named.select("centre", "b", "c", F.col("linked").cast("int"), "extra"), make, "centre long, id long, c long, linked int, item long")
+    left = items.filter("linked = 0").select("centre", "item", F.col("id").alias("a"), F.col("c").alias("ca"))
+    right = items.select("centre", "item", F.col("id").alias("b"), F.col("c").alias("cb"), "linked")
+    sharing = left.join(right, ["centre", "item"]).filter("ca <> cb and (linked = 1 or a < b)").select("a", "b").distinct()
+    # 100 (1 + t) min(r) >= 100 X, in whole numbers; v lacks more than it adds
+    short = named.filter("not linked").select("centre", F.col("b").alias("a"), F.col("c").alias("ca"), F.col("lacks").alias("ra"), (100 * F.col("lacks") + percent * F.col("adds") - (100 - percent) * F.col("size")).alias("due"))
+    less = named.filter("lacks > adds").select("centre", "b", F.col("c").alias("cb"), F.col("lacks").alias("rb"), F.col("adds").alias("ab"))
+    lacking = short.join(less, "centre").filter(f"ca <> cb and {100 + percent} * least(ra, rb) >= due + 100 * rb + {percent} * ab").select("a", "b")
+    return sharing.union(lacking.select(F.col("a"), F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -215,28 +263,38 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     sketches = classes.select("id", "n", "sketch")
 
     bands = banded(sketches)
-    centres = bands.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("rows")).filter("rows > 1").select("key", "centre")
-    buckets = saved(bands.join(centres, "key"), "buckets")
+    company = bands.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1")
+    buckets = saved(bands.join(company, "key"), "buckets")
+    known = buckets.groupBy("id").agg(F.sum("rows").alias("known"))
+    centres = buckets.join(known, "id").groupBy("key").agg(F.max(F.struct("known", (-F.col("id")).alias("m"))).alias("top")).select("key", (-F.col("top.m")).alias("centre"), "top.known")
     sizes = f"least(na, nb) * 100 >= greatest(na, nb) * {percent}"
     least = percent / 100 - MARGIN
 
     # first pass: each class against one centre
-    stars = buckets.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    hopeful = saved(likely(stars, sketches, least), "hopeful")
-    first = hopeful.groupBy("b").agg(F.max(F.struct("est", (-F.col("a")).alias("m"))).alias("best")).select((-F.col("best.m")).alias("a"), "b")
-    sets = saved(sets_of(docs, shingle, sketches.select("id").join(first.select(F.col("a").alias("id")).union(first.select("b")).distinct(), "id", "left_semi")), "sets").dropDuplicates(["id"])
-    links = saved(confirmed(first, sets, percent), "confirmed")
+    stars = buckets.join(centres, "key").filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    hopeful = likely(stars, sketches, SAME_GROUP).join(known.select(F.col("id").alias("a"), "known"), "a")
+    rank = F.struct((F.col("est") >= percent / 100).alias("near"), "known", "est", (-F.col("a")).alias("m"))
+    first = saved(hopeful.groupBy("b").agg(F.max(rank).alias("best")).select((-F.col("best.m")).alias("a"), "b"), "first")
+    sets = saved(sets_of(docs, shingle, first.select(F.col("a").alias("id")).union(first.select("b")).distinct()), "sets").dropDuplicates(["id"])
+    tried = saved(compared(first, sets, percent), "tried")
+    links = tried.filter("linked").select("a", "b")
     found = components(links)
 
-    # second pass: what is in a bucket but not yet in one component
-    named = saved(buckets.join(found, buckets["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("c")), "named")
+    # second pass: what is not yet in one component, around the same centre or in the same bucket
+    around = around_centres(tried, found, percent)
+    named = buckets.select("key", "id").join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    named = saved(named.join(first.select(F.col("b").alias("id"), F.col("a").alias("centre")), "id", "left").join(sketches.select("id", "n"), "id"), "named")
     parts = named.groupBy("key", "c").agg(F.count("*").alias("rows")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("rows", "c")).alias("top"))
     open_ = parts.filter("parts > 1").select("key", F.col("top.c").alias("top"))
-    members = saved(named.join(open_, "key").join(sketches.select("id", F.col("n")), "id"), "members")
-    few = members.filter("c <> top").select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
-    all_ = members.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), (F.col("c") == F.col("top")).alias("main"))
-    crossing = few.join(all_, "key").filter(f"ca <> cb and (main or a < b) and {sizes}").select("a", "b").distinct()
-    rest = saved(likely(crossing, sketches, least), "rest")
+    members = named.join(open_, "key")
+    members = members.join(members.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
+    side = lambda x: [F.col(c).alias(f"{c}{x}") for c in ("c", "centre", "n", "keys")]
+    few = members.filter("c <> top").select("key", F.col("id").alias("a"), *side("a"))
+    all_ = members.select("key", F.col("id").alias("b"), *side("b"), (F.col("c") == F.col("top")).alias("main"))
+    apart = "coalesce(centrea <> centreb, true) and coalesce(centrea <> b, true) and coalesce(centreb <> a, true)"
+    once = "array_min(array_intersect(keysa, keysb)) = key"  # a pair comes from one of the buckets it shares
+    crossing = few.join(all_, "key").filter(f"ca <> cb and (main or a < b) and {apart} and {sizes} and {once}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = saved(likely(crossing.union(around).distinct(), sketches, least), "rest")
     if not rest.isEmpty():
         more = sets_of(docs, shingle, rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct())
         second = confirmed(rest, saved(more, "sets").dropDuplicates(["id"]), percent)
@@ -250,3 +308,18 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 def op7_near_dedup(spark, sf_dir):
     """Near-duplicate components of all documents on two-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS k FROM (SELECT *, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+x AS (SELECT s.doc_id, s.k, n.n FROM s JOIN n USING (doc_id)),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.k = b.k AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a AS doc_id, min(b) AS b FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id, least(d.doc_id, coalesce(m.b, d.doc_id)) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
