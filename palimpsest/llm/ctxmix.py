@@ -37,7 +37,7 @@ RATE = 0.002
 #: Bytes of training texts that the gated weights are fitted on at most.
 SAMPLE_BYTES = 800_000
 #: Most frequent words that every task holds; counts of others are joined.
-HEAD = 150_000
+HEAD = 100_000
 END = 255
 PAD = 4
 
@@ -147,7 +147,7 @@ def small_counts(counts: np.ndarray) -> np.ndarray:
 
 
 def counted(train: DataFrame, code: Code) -> list[np.ndarray]:
-    """The tables of ``train`` (raw binary): one 16-bit number a slot."""
+    """The tables of ``train`` (raw binary, any case): one 16-bit number a slot."""
     sent = train.sparkSession.sparkContext.broadcast(code)
 
     def fill(batches):
@@ -156,7 +156,7 @@ def counted(train: DataFrame, code: Code) -> list[np.ndarray]:
         pending, size, some = [], 0, False
         for batch in batches:
             for t in batch.column(0):
-                raw = t.as_py()
+                raw = t.as_py().lower()
                 pending.append(raw)
                 size += len(raw)
                 if size > GROUP_BYTES:
@@ -286,7 +286,7 @@ def fitted(code: Code, tables: list[np.ndarray], sample: list[bytes], rounds: in
 
 
 def model_of(train: DataFrame, pairs: np.ndarray) -> Model:
-    """A model of ``train`` (raw binary), given how often each byte followed each other."""
+    """A model of ``train`` (raw binary, any case), given how often each byte followed each other."""
     code = Code(pairs)
     tables = counted(train, code)
     some = train.select("raw", F.xxhash64("raw").alias("h")).filter(F.length("raw") < SAMPLE_BYTES // 50)
@@ -294,16 +294,12 @@ def model_of(train: DataFrame, pairs: np.ndarray) -> Model:
     sample, room = [], SAMPLE_BYTES
     for r in rows:
         if len(r[0]) < room:
-            sample.append(bytes(r[0]))
+            sample.append(bytes(r[0]).lower())
             room -= len(r[0])
     return fitted(code, tables, sample)
 
 
 # -- the query --------------------------------------------------------------------------------------------------------
-def lowered(text: str | None) -> bytes:
-    return (text or "").encode().lower()
-
-
 def gathered(docs: DataFrame) -> DataFrame:
     """(kind, key, n): 0 word counts, 1 counts of a byte after a byte, 2 the number of texts."""
 
@@ -319,14 +315,14 @@ def gathered(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for t in batch.column(0):
-                raw = t.as_py()
+                raw = t.as_py().lower()
                 texts += 1
                 words.update(raw.split())
                 data = np.frombuffer(b" " + raw + b"\xff", dtype=np.uint8).astype(np.int64)
                 pairs += np.bincount(data[:-1] << 8 | data[1:], minlength=65536) if len(data) > 4096 else 0
                 if len(data) <= 4096:
                     np.add.at(pairs, data[:-1] << 8 | data[1:], 1)
-                if len(words) > 500_000:
+                if len(words) > 250_000:
                     yield flush()
         if texts:
             yield flush()
@@ -364,10 +360,10 @@ def scored(docs: DataFrame, model: Model, head: dict[bytes, int], ends: int, log
 
         pending, size = [], 0
         for batch in batches:
-            for doc_id, held, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                pending.append((doc_id, held, raw))
-                size += len(raw)
-                if size > 2 * GROUP_BYTES:
+            for doc_id, held, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                pending.append((doc_id, held, raw.as_py().lower()))
+                size += len(pending[-1][2])
+                if size > GROUP_BYTES:
                     yield done(pending)
                     pending, size = [], 0
         if pending:
@@ -397,8 +393,8 @@ def scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """
     spark = df.sparkSession
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-    lower = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), (F.crc32(key.cast("binary")) % 10 == 0).alias("held_out"), lower.cast("binary").alias("raw"))
+    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")  # A-Z become lower case where the bytes are read
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), (F.crc32(key.cast("binary")) % 10 == 0).alias("held_out"), raw.alias("raw"))
     train = docs.filter("not held_out").select("raw")
     counts = saved(gathered(train), "counts")
     pairs = np.zeros(65536, dtype=np.int64)
