@@ -1,9 +1,10 @@
 """Main text of web pages, with site templates removed.
 
-Every block element's subtree is hashed (tags and text). Spark counts, per host, the pages that hold each
-hash; a subtree that recurs on many pages of a host is part of its template and is deleted from all of them.
+Every block element's subtree is hashed (tags and text). Spark counts, per host, the different pages that hold each
+hash; a subtree that recurs on several pages of a host is part of its template and is deleted from all of them,
+however small a share of a large host they are. Copies of one page count once: they are no sign of a template.
 Paragraphs and headings inside an article are never taken for template: many pages of a host may tell the same.
-The share of pages asked for bounds how many recurring hashes a host can have, whatever its size.
+Hashes meet counts as rows, so each page is sent its own recurring hashes only; there is no list of a host.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from hashlib import blake2b
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import map_rows, saved, table
 
-#: A subtree is template if it is on this share of a host's pages, and on so many at least.
-SHARE, LEAST_PAGES = 0.2, 5
+#: A subtree is template if it is on so many different pages of a host.
+LEAST_PAGES = 5
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/><]*)((?:[^>"']++|"[^"]{0,2000}+"|'[^']{0,2000}+'|["'])*+)>|<[!?/][^>]*+>""", re.S)
 MARKED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -181,40 +182,38 @@ def host(url: F.Column) -> F.Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))
 
 
-def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES) -> DataFrame:
-    """(host, recurring): hashes of subtrees on ``share`` of a host's pages; ``least`` pages at least. There are at most
-    1 / ``share`` times as many as a page has subtrees on average."""
+def templates(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
+    """(host, page, recurring) of ``pages`` (host, page, html; ``page`` is a hash of the html): the page's subtrees that are on
+    ``least`` different pages of its host. Pages without any are left out."""
 
     def make():
         def work(batch):
-            return [batch.column(0), [[0, *Page(t.as_py() or "").hashes] for t in batch.column(1)]]
+            return [batch.column(0), batch.column(1), [list(Page(t.as_py() or "").hashes) for t in batch.column(2)]]
 
         return work
 
-    rows = map_rows(pages.select("host", "html").filter("host <> ''"), make, "host string, hashes array<long>")
-    counts = rows.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").count().filter(F.col("count") >= least)
-    total = counts.filter("hash = 0").select("host", F.col("count").alias("pages"))
-    often = counts.filter("hash <> 0").join(total, "host").filter(F.col("count") >= F.lit(share) * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_set("hash").alias("recurring"))
+    rows = map_rows(pages.select("host", "page", "html").filter("host <> ''"), make, "host string, page long, hashes array<long>")
+    once = saved(rows.filter("size(hashes) > 0").groupBy("host", "page").agg(F.first("hashes").alias("hashes")), "subtrees")
+    each = once.select("host", "page", F.explode("hashes").alias("hash"))
+    often = each.groupBy("host", "hash").count().filter(F.col("count") >= least).select("host", "hash")
+    return each.join(often, ["host", "hash"], "left_semi").groupBy("host", "page").agg(F.collect_list("hash").alias("recurring"))
 
 
 def main_text(df: DataFrame, keep: list[str], url: str = "url", html: str = "html") -> DataFrame:
     """``keep`` columns of every page with text (blocks joined by line feeds; empty if there is none).
 
-    A null or empty page has an empty text. Pages without a readable host are not compared with each other; repeated
-    rows count as pages of their own. An empty table gives an empty one.
+    A null or empty page has an empty text. Pages without a readable host are not compared with each other; pages
+    of one host with the same html count as one. An empty table gives an empty one.
     """
-    pages = df.select(*keep, host(F.col(url)).alias("host"), F.col(html).alias("html"))
-    rows = pages.join(templates(pages), "host", "left").select("html", "recurring", *keep)
+    pages = df.select(*keep, host(F.col(url)).alias("host"), F.col(html).alias("html"), F.xxhash64(html).alias("page"))
+    rows = pages.join(templates(pages), ["host", "page"], "left").select("html", "recurring", *keep)
 
     def make():
-        known: dict[tuple, frozenset] = {}
-
         def work(batch):
             out = []
             for t, hashes in zip(batch.column(0), batch.column(1)):
                 names = frozenset(hashes.as_py()) if hashes.is_valid else frozenset()
-                out.append(Page(t.as_py() or "", known.setdefault(names, names)).text())
+                out.append(Page(t.as_py() or "", names).text())
             return [*batch.columns[2:], out]
 
         return work

@@ -181,6 +181,19 @@ def test_main_text(spark):
     assert pages.main_text(rows.limit(0), ["page_id"]).count() == 0
 
 
+def test_blocks_on_a_small_share_of_a_host(spark):
+    page = lambda k, extra="": f"<html><body>{extra}<div><p>Own words of page {k}</p></div></body></html>"
+    block = "<div><p>Ask our team about the offer</p></div>"
+    html = [page(k, block if k % 33 == 0 else "") for k in range(300)]  # ten pages: 3 % of the host
+    rows = [(k, f"http://large.example/{k}", h) for k, h in enumerate(html)]
+    rows += [(1000 + k, f"http://copies.example/{k}", page("copied")) for k in range(20)]  # copies are one page
+    rows += [(2000 + k, f"http://few.example/{k}", page(k, block)) for k in range(4)]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
+    assert [got[k] for k in range(300)] == [f"Own words of page {k}" for k in range(300)]
+    assert {got[1000 + k] for k in range(20)} == {"Own words of page copied"}
+    assert all("Ask our team" in got[2000 + k] for k in range(4))
+
+
 # 6
 def brute_counts(text):
     words = words_of(text)
