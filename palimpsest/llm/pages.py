@@ -21,7 +21,11 @@ from .common import map_rows, saved, table
 #: A subtree is template if it is on so many different pages of a host.
 LEAST_PAGES = 5
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/><]*)((?:[^>"']++|"[^"]{0,2000}+"|'[^']{0,2000}+'|["'])*+)>|<[!?/][^>]*+>""", re.S)
+#: What a tag has up to its end. A quote opens a value only after "="; its partner, however far away, ends it, unless that is
+#: plainly the start of another value: then, or without a partner, the first quote was never closed and ends nothing.
+#: No quote is looked for twice, so the reading is linear.
+ATTRIBUTES = r"""(?:[^>=]++|=\s*+"[^"]*+(?:(?<!=)"|"(?=[\s/>]))|=\s*+'[^']*+(?:(?<!=)'|'(?=[\s/>]))|=)*+"""
+TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/><]*)({ATTRIBUTES})(>?)|<[!?/][^>]*+>""", re.S)
 MARKED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 NAMES = re.compile(r"[a-z]+")
@@ -130,6 +134,8 @@ class Page:
                 return
             if m.start() > at:
                 self._text(source[at : m.start()])
+            if m[2] and not m[4]:  # a tag that the page ends within
+                return
             at = m.end()
             if not m[2]:
                 continue

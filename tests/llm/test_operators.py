@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -194,6 +195,24 @@ def test_blocks_on_a_small_share_of_a_host(spark):
     assert all("Ask our team" in got[2000 + k] for k in range(4))
 
 
+@pytest.mark.parametrize("size", [10, 2001, 1_000_000])
+@pytest.mark.parametrize("fill", ["x", "a > b ", "<p>no</p> ", "it's ", "k=v "])
+def test_long_attributes(size, fill):
+    value = (fill * size)[:size]
+    html = f'<p class="a">One</p><img src="data:{value}" alt="x"><p class="b">Two <b data-j=\'{value.replace("'", "")}"\' id="c">three</b></p><p>Four</p>'
+    assert pages.Page(html).text() == "One\nTwo three\nFour"
+
+
+def test_quotes_without_partner():
+    assert pages.Page("<p title=it's>One</p><p>it's</p><p title='x'>Two</p>").text() == "One\nit's\nTwo"
+    assert pages.Page('<p title="x>One</p><p class="b">Two</p><p>Three</p>').text() == "One\nTwo\nThree"
+    assert pages.Page("<p>One</p><p title='x>Two</p>").text() == "One\nTwo"
+    started = time.monotonic()
+    for piece in ('<a b="', "<a b='<a b=\"", '<p title="x>', "<a =", "<a b= ", "<a b", '<a "'):
+        pages.Page(piece * 50_000 + ">").text()
+    assert time.monotonic() - started < 30
+
+
 # 6
 def brute_counts(text):
     words = words_of(text)
