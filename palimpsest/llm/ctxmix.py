@@ -20,6 +20,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +32,11 @@ from .words import BYTE, WHITE
 TABLE_BITS = (18, 22, 22)
 #: Slots in what a task hands on at a time.
 PART = 1 << 14
-#: Texts are scored in runs of so many bytes, weights are corrected after so many; corrections start anew in each run.
-RUN, STEP = 4096, 64
+#: Weights are corrected after so many bytes of a text, from its first to its last.
+STEP = 64
 RATE = 0.002
+#: Texts up to so many bytes are scored side by side, longer ones each alone, in blocks of so many.
+LONG = 1 << 14
 #: Bytes of training texts that the gated weights are fitted on at most.
 SAMPLE_BYTES = 800_000
 #: Most frequent words that every task holds; counts of others are joined.
@@ -200,6 +203,32 @@ N0, N1 = np.arange(65536) >> 8, np.arange(65536) & 255
 LOGIT = (np.log((N1 + 0.4) / (N0 + 0.4)) * np.where((N0 == 0) | (N1 == 0), 1 + (N0 + N1 >= 255) * 0.3, 1)).astype(np.float32)
 SEEN = np.digitize(N0 + N1, [1, 3, 16]).astype(np.uint8)
 SIGNS = len(TABLE_BITS) + 1
+BIAS = np.float32(0.3)
+#: What all gated weights start at, and how many decisions' worth they are pulled there.
+START, PULL = 0.4, 20.0
+#: Fitting ends when a step promises less than this part of the cost.
+ENOUGH = 1e-4
+
+
+class Slopes:
+    """How the log-likelihood of texts changes with the gated weights: ``first`` and, if ``curved``, (negative) ``second``
+    derivatives, decisions ``seen`` by gate, and the texts' ``cost``."""
+
+    def __init__(self, curved: bool = False):
+        self.first, self.seen, self.cost = np.zeros((16, SIGNS)), np.zeros(16), 0.0
+        self.second = np.zeros((16, SIGNS, SIGNS)) if curved else None
+
+    def add(self, gate: np.ndarray, error: np.ndarray, inputs: list) -> None:
+        self.seen += np.bincount(gate, minlength=16)
+        for k, x in enumerate(inputs):
+            self.first[:, k] += np.bincount(gate, weights=error * x, minlength=16)
+        if self.second is not None:
+            bend = np.abs(error) * (1 - np.abs(error))
+            for j, x in enumerate(inputs):
+                for k, y in enumerate(inputs[: j + 1]):
+                    self.second[:, j, k] += (both := np.bincount(gate, weights=bend * x * y, minlength=16))
+                    if j != k:
+                        self.second[:, k, j] += both
 
 
 class Model:
@@ -207,7 +236,7 @@ class Model:
 
     def __init__(self, code: Code, tables: list[np.ndarray], weights: np.ndarray | None = None):
         self.code, self.tables = code, tables
-        self.weights = np.full((16, SIGNS), 0.4, dtype=np.float32) if weights is None else weights
+        self.weights = np.full((16, SIGNS), START, dtype=np.float32) if weights is None else weights
 
     def _inputs(self, hashes: list[np.ndarray], at: np.ndarray, size: np.ndarray, place: np.ndarray, own: bool) -> tuple[list[np.ndarray], np.ndarray]:
         mix = self.code.mix.take(place, mode="clip")
@@ -223,24 +252,21 @@ class Model:
                 gate = seen if gate is None else gate << 2 | seen
         return inputs, gate
 
-    def costs(self, raws: list[bytes], fit: float = 0.0) -> np.ndarray:
-        """Bits times ln 2 of each text; with ``fit`` the gated weights learn at that rate."""
+    def costs(self, raws: list[bytes], slopes: Slopes | None = None) -> np.ndarray:
+        """Bits times ln 2 of each text; with ``slopes`` the texts are training texts, and theirs are added to it."""
         data, starts = laid_out(raws)
         hashes = contexts(data)
-        lengths = np.array([len(r) + 1 for r in raws])
-        n_runs = -(-lengths // RUN)
-        doc = np.repeat(np.arange(len(raws)), n_runs)
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs)
-        begin, end = starts[doc] + nth * RUN, np.minimum(starts[doc] + (nth + 1) * RUN, starts[doc] + lengths[doc])
-        order = np.argsort(begin - end, kind="stable")  # longest first: active runs stay in front
-        doc, begin, end = doc[order], begin[order], end[order]
+        lengths = np.array([len(r) + 1 for r in raws], dtype=np.int64)
+        total = np.zeros(len(raws))
+        for k in np.flatnonzero(lengths > LONG).tolist():
+            total[k] = self._alone(data, hashes, int(starts[k]), int(starts[k] + lengths[k]), slopes)
+        doc = np.flatnonzero(lengths <= LONG)
+        doc = doc[np.argsort(-lengths[doc], kind="stable")]  # longest first: those not yet at their end stay in front
+        begin, end = starts[doc], starts[doc] + lengths[doc]
         change = np.zeros((len(doc), SIGNS), dtype=np.float32)
-        total = np.zeros(len(doc))
-        bias = np.float32(0.3)
-        for step in range(0, RUN, STEP):
-            live = int(np.searchsorted(-(end - begin), -step, side="left"))
-            if not live:
-                break
+        cost = np.zeros(len(doc))
+        for step in range(0, int(lengths[doc].max(initial=0)), STEP):
+            live = int(np.searchsorted(begin - end, -step, side="left"))
             first = begin[:live] + step
             n = np.minimum(end[:live] - first, STEP)
             last = np.cumsum(n)
@@ -249,15 +275,15 @@ class Model:
             size, place = decisions(self.code, symbols)
             bits_to = np.cumsum(size)[last - 1]
             bits_from = np.concatenate([[0], bits_to[:-1]])
-            inputs, gate = self._inputs(hashes, at, size, place, fit > 0)
+            inputs, gate = self._inputs(hashes, at, size, place, slopes is not None)
             sign = self.code.sign.take(place, mode="clip")
-            per_run = bits_to - bits_from
-            z = np.repeat(change[:live, -1], per_run)
+            per_text = bits_to - bits_from
+            z = np.repeat(change[:live, -1], per_text)
             z += self.weights[:, -1].take(gate)
-            z *= bias
+            z *= BIAS
             for k, x in enumerate(inputs):
                 w = self.weights[:, k].take(gate)
-                w += np.repeat(change[:live, k], per_run)
+                w += np.repeat(change[:live, k], per_text)
                 w *= x
                 z += w
             z *= sign
@@ -265,24 +291,81 @@ class Model:
             np.negative(z, out=z)
             np.exp(z, out=z)  # odds against the bit
             s = z + np.float32(1)
-            total[:live] += np.add.reduceat(np.log(s), bits_from)
+            cost[:live] += np.add.reduceat(np.log(s), bits_from)
             z /= s
             z *= sign  # the error
-            for k, x in enumerate([*inputs, bias]):
-                g = z * x
-                change[:live, k] += np.float32(RATE) * np.add.reduceat(g, bits_from)
-                if fit:
-                    seen = np.bincount(gate, minlength=16)
-                    self.weights[:, k] += (fit * np.bincount(gate, weights=g, minlength=16) / np.sqrt(seen + 1)).astype(np.float32)
-        return np.bincount(doc, weights=total, minlength=len(raws))
-
-
-def fitted(code: Code, tables: list[np.ndarray], sample: list[bytes], rounds: int = 3) -> Model:
-    model = Model(code, tables)
-    for k in range(rounds):
-        for start in range(0, len(sample), 64):
-            model.costs(sample[start : start + 64], fit=0.02 / (1 + k))
-    return model
+            for k, x in enumerate([*inputs, BIAS]):
+                change[:live, k] += np.float32(RATE) * np.add.reduceat(z * x, bits_from)
+            if slopes is not None:
+                slopes.add(gate, z, [*inputs, BIAS])
+        total[doc] = cost
+        if slopes is not None:
+            slopes.cost += float(total.sum())
+        return total
+
+    def _alone(self, data: np.ndarray, hashes: list[np.ndarray], begin: int, end: int, slopes: Slopes | None) -> float:
+        """The cost of one text: what does not depend on the correction is worked out for a block at a time."""
+        change, cost = np.zeros(SIGNS, dtype=np.float32), 0.0
+        for start in range(begin, end, LONG):
+            at = np.arange(start, min(start + LONG, end))
+            size, place = decisions(self.code, data[at - 1].astype(np.int64) << 8 | data[at])
+            inputs, gate = self._inputs(hashes, at, size, place, slopes is not None)
+            x = np.empty((len(gate), SIGNS), dtype=np.float32)
+            for k, column in enumerate([*inputs, BIAS]):
+                x[:, k] = column
+            x *= self.code.sign.take(place, mode="clip")[:, None]
+            known = np.einsum("nk,nk->n", x, self.weights[gate])
+            odds = np.empty(len(gate), dtype=np.float32)
+            to = np.cumsum(size)
+            a = 0
+            for b in [*to[STEP - 1 : -1 : STEP].tolist(), int(to[-1])]:
+                z = known[a:b] + x[a:b] @ change
+                np.clip(z, -12, 12, out=z)
+                np.negative(z, out=z)
+                np.exp(z, out=z)
+                odds[a:b] = z
+                change += np.float32(RATE) * ((z / (z + np.float32(1))) @ x[a:b])
+                a = b
+            cost += float(np.log1p(odds).sum(dtype=np.float64))
+            if slopes is not None:
+                slopes.add(gate, odds / (odds + np.float32(1)), list(x.T))
+        return cost
+
+
+def stepped(weights: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, float]:
+    """Newton's step for each gate, with a weak pull to the constant the weights start at; and the gain it promises."""
+    out, gain = weights.astype(np.float64), 0.0
+    for g in range(len(out)):
+        slope = first[g] - PULL * (out[g] - START)
+        move = np.clip(np.linalg.solve(second[g] + PULL * np.eye(SIGNS), slope), -0.5, 0.5)
+        out[g] += move
+        gain += float(slope @ move) / 2
+    return out.astype(np.float32), gain
+
+
+def by_length(lengths: np.ndarray) -> list[list[int]]:
+    """Which texts are worked on together: texts of about one length, ``GROUP_BYTES`` at a time."""
+    out, size = [[]], 0
+    for k in np.argsort(lengths, kind="stable").tolist():
+        if size > GROUP_BYTES:
+            out.append([])
+            size = 0
+        out[-1].append(k)
+        size += int(lengths[k])
+    return out if len(lengths) else []
+
+
+def fitted(code: Code, tables: list[np.ndarray], sample: list[bytes], rounds: int = 6) -> tuple[Model, Slopes]:
+    """A model with weights fitted on ``sample``, and the slopes there before the last step."""
+    model, slopes = Model(code, tables), Slopes(curved=True)
+    for _ in range(rounds if sample else 0):
+        slopes = Slopes(curved=True)
+        for group in by_length(np.array([len(r) for r in sample])):
+            model.costs([sample[k] for k in group], slopes)
+        model.weights, gain = stepped(model.weights, slopes.first, slopes.second)
+        if gain <= ENOUGH * slopes.cost:
+            break
+    return model, slopes
 
 
 def model_of(train: DataFrame, pairs: np.ndarray) -> Model:
@@ -296,7 +379,7 @@ def model_of(train: DataFrame, pairs: np.ndarray) -> Model:
         if len(r[0]) < room:
             sample.append(bytes(r[0]).lower())
             room -= len(r[0])
-    return fitted(code, tables, sample)
+    return fitted(code, tables, sample)[0]
 
 
 # -- the query --------------------------------------------------------------------------------------------------------
@@ -333,7 +416,7 @@ def gathered(docs: DataFrame) -> DataFrame:
 
 
 def scored(docs: DataFrame, model: Model, head: dict[bytes, int], ends: int, log_total: float) -> DataFrame:
-    """(doc_id, held_out, n_tokens, known, base, score, tail) of ``docs`` (doc_id, held_out, raw); tail has the words that ``head`` has not."""
+    """(doc_id, held_out, n_tokens, known, base, score, bits, tail) of ``docs`` (doc_id, held_out, raw); tail has the words that ``head`` has not."""
     sent = docs.sparkSession.sparkContext.broadcast((model, head))
     end = math.log10(ends + 0.1) - log_total
 
@@ -343,7 +426,7 @@ def scored(docs: DataFrame, model: Model, head: dict[bytes, int], ends: int, log
 
         def done(rows):
             costs = own.costs([r[2] for r in rows])
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for (doc_id, held, raw), cost in zip(rows, costs.tolist()):
                 words = raw.split()
                 known, base, tail = int(ends > 0), end, {}
@@ -354,25 +437,19 @@ def scored(docs: DataFrame, model: Model, head: dict[bytes, int], ends: int, log
                         base += hit
                     else:
                         tail[w] = tail.get(w, 0) + 1
-                for column, x in zip(out, (doc_id, held, len(words) + 1, known, base, -cost / math.log(10), [{"word": w, "k": k} for w, k in tail.items()])):
+                for column, x in zip(out, (doc_id, held, len(words) + 1, known, base, -cost / math.log(10), cost / math.log(2) / (len(raw) + 1), [{"word": w, "k": k} for w, k in tail.items()])):
                     column.append(x)
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, kind)], schema=kind)
 
-        pending, size = [], 0
         for batch in batches:
-            for doc_id, held, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                pending.append((doc_id, held, raw.as_py().lower()))
-                size += len(pending[-1][2])
-                if size > GROUP_BYTES:
-                    yield done(pending)
-                    pending, size = [], 0
-        if pending:
-            yield done(pending)
+            ids, held, raws = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            for group in by_length(np.asarray(pc.binary_length(raws))):
+                yield done([(ids[k], held[k], raws[k].as_py().lower()) for k in group])
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<struct<word:binary,k:long>>"
+    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, bits double, tail array<struct<word:binary,k:long>>"
     kind = to_arrow_schema(StructType.fromDDL(schema))
     return docs.select("doc_id", "held_out", "raw").mapInArrow(run, schema)
 
@@ -385,8 +462,8 @@ def least_count(words: DataFrame, most: int = HEAD) -> int:
 
 
 def scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row: the mixing model's and the word
-    model's log10 probability of the whole text, learned from the rows that are not held out.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row: the word model's and the
+    mixing model's log10 probability of the whole text, and the latter as bits for each byte (its end counts as one), learned from the rows that are not held out.
 
     Null texts count as empty: an end alone. A null id hashes as the empty text, and is held out. Repeated rows are scored
     alike. Without training rows every decision is even and every word unknown. An empty table gives an empty one.
@@ -416,7 +493,7 @@ def scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     out = rows.drop("tail").join(rest, "row", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score", F.col("bits").alias("bits_per_byte"),
     )
 
 
