@@ -126,6 +126,27 @@ def test_correction_goes_through_the_whole_text(monkeypatch):
     assert np.allclose(got, model.costs(texts), rtol=1e-4)
 
 
+def test_weights_are_fitted_on_all_training_texts(spark):
+    rng = random.Random(12)
+    model, raws = small_model(rng, 60_000)
+    long = [b" ".join(raws[k : k + 8]) for k in range(0, len(raws) - 8, 4)]  # none below 16,000 bytes
+    assert len(long) > 3 and min(map(len, long)) >= 16_000
+    train = spark.createDataFrame([(bytearray(r),) for r in long], "raw binary").repartition(3)
+    pairs = np.zeros((256, 256), dtype=np.int64)
+    for raw in long:
+        data = np.frombuffer(b" " + raw + b"\xff", dtype=np.uint8)
+        np.add.at(pairs, (data[:-1], data[1:]), 1)
+    got = ctxmix.model_of(train, pairs)
+    assert not np.allclose(got.weights, 0.4)
+    sums = ctxmix.slopes_of(train, got)
+    want = ctxmix.Slopes()
+    for raw in long:
+        got.costs([raw], want)
+    assert np.allclose(sums.first, want.first, rtol=1e-3, atol=1) and (sums.seen == want.seen).all()
+    assert sums.cost < ctxmix.slopes_of(train, ctxmix.Model(got.code, got.tables)).cost
+    assert sums.seen.sum() > sum(map(len, long))  # every byte is looked at
+
+
 # 2
 def test_shards(docs, nothing):
     rows = docs.select("doc_id", F.lit(1).alias("shard"), F.lit("x").alias("extra"))
