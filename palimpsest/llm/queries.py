@@ -19,6 +19,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op7_near_dedup": setsketch.ORACLE,
     "op9_substring_dedup": substrings.ORACLE,
-    "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_mixing": mixing.ORACLE,
 }
