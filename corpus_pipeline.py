@@ -25,9 +25,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near copies, on five-word shingles at a similarity of 0.8."""
-    kept = setsketch.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The smallest id of each group of near copies, on five-word shingles at a similarity of 0.8. A document without an id
+    stays if its group has none with an id, once for each text."""
+    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), setsketch.reserved(F.col("text"))))
+    kept = setsketch.near_duplicates(named, "_id").filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    left = named.join(kept, "_id", "left_semi")
+    nameless = left.filter("doc_id is null").dropDuplicates(["_id"])
+    return left.filter("doc_id is not null").unionByName(nameless).select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,8 @@ MARGIN = 0.12
 SAME_GROUP = 0.5
 #: Bits of the map of documents whose sets are needed; others are sent at most once more than needed.
 MAP_BITS = 1 << 24
+#: Ids from here on stand for null ones.
+RESERVED = 1 << 62
 
 _rng = np.random.default_rng(19)
 FLIP = _rng.integers(0, 1 << 32, (REGISTERS, 1), dtype=np.uint32)
@@ -106,8 +108,13 @@ def estimates(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> n
     return grid[np.argmax(like, axis=0), 0]
 
 
+def reserved(text: F.Column) -> F.Column:
+    """The id that stands for a null one: ``RESERVED`` or more, the same for equal texts."""
+    return F.xxhash64(text).bitwiseAND(F.lit(RESERVED - 1)).bitwiseOR(F.lit(RESERVED))
+
+
 def sketched(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, h1, h2, sketch) of each row of ``docs`` (doc_id, text); h1 and h2 tell sets apart."""
+    """(doc_id, named, n, h1, h2, sketch) of each row of ``docs`` (doc_id, named, text); h1 and h2 tell sets apart."""
 
     def make():
         def work(batch):
@@ -119,11 +126,11 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
                     h1.append(int(items.sum(dtype=np.uint64).view(np.int64)) if len(items) else 0)
                     h2.append(int(mixed(items ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) if len(items) else 0)
                     sketch.append(registers(items).tobytes())
-            return [batch.column(0), n, h1, h2, sketch]
+            return [batch.column(0), batch.column(2), n, h1, h2, sketch]
 
         return work
 
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, n long, h1 long, h2 long, sketch binary")
+    return map_rows(docs.select("doc_id", "text", "named"), make, "doc_id long, named boolean, n long, h1 long, h2 long, sketch binary")
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -253,13 +260,16 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     ``percent`` * union; component_id is the smallest id reachable over links, kept where it is the row's own.
 
     Null and empty texts, and texts without words, have no shingles and are linked with nothing. Ids are whole
-    numbers; rows of one id are one document if their texts have one set. An empty table gives an empty one; other columns of the
+    numbers; rows of one id are one document if their texts have one set. A row
+    with a null id is linked like any other but comes after all ids (below 2^62): its component_id is the smallest id of its
+    component, or null where there is none; rows with null ids and equal texts are one document. An empty table gives an empty one; other columns of the
     input do not come back.
     """
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    known_id = F.col(doc_id).cast("long")
+    docs = df.select(F.coalesce(known_id, reserved(F.col(text))).alias("doc_id"), known_id.isNotNull().alias("named"), F.col(text).alias("text"))
     rows = saved(sketched(docs, shingle), "sketches")
     same = rows.filter("n > 0").groupBy("h1", "h2", "n")
-    classes = saved(same.agg(F.min(F.struct("doc_id", "sketch")).alias("s")).select("h1", "h2", "n", F.col("s.doc_id").alias("id"), F.col("s.sketch").alias("sketch")).filter("id is not null"), "classes")
+    classes = saved(same.agg(F.min(F.struct("doc_id", "sketch")).alias("s")).select("h1", "h2", "n", F.col("s.doc_id").alias("id"), F.col("s.sketch").alias("sketch")), "classes")
     sketches = classes.select("id", "n", "sketch")
 
     bands = banded(sketches)
@@ -301,8 +311,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         found = components(links.union(saved(second, "confirmed")))
 
     ends = classes.join(found, classes["id"] == found["node"], "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component_id"))
-    out = rows.join(ends, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = rows.join(ends, ["h1", "h2", "n"], "left").select("doc_id", "named", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    unnamed = ~F.col("named") & (F.col("component_id") >= RESERVED)
+    return out.select(F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), "n_shingles", F.when(~unnamed, F.col("component_id")).alias("component_id"), "kept")
 
 
 def op7_near_dedup(spark, sf_dir):

@@ -328,6 +328,21 @@ def test_near_duplicates(docs, texts, nothing):
     assert setsketch.near_duplicates(nothing).count() == 0
 
 
+def test_null_ids_among_copies(spark):
+    rng = random.Random(8)
+    a, b, c = prose(rng, 200), prose(rng, 200), prose(rng, 200)
+    near = a + " one more"
+    rows = [(None, a), (5, a), (6, a), (7, near), (None, b), (None, b), (8, c), (None, c + " one more")]
+    rows = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in setsketch.near_duplicates(rows).collect())
+    assert got == collections.Counter({(5, 5, True): 1, (None, 5, False): 1, (6, 5, False): 1, (7, 5, False): 1, (None, None, True): 2, (8, 8, True): 1, (None, 8, False): 1})
+    import corpus_pipeline
+
+    left = corpus_pipeline.near_dedup_stage(spark, rows, "")
+    assert left.columns == rows.columns
+    assert collections.Counter((r.doc_id, r.text) for r in left.collect()) == collections.Counter([(5, a), (None, b), (8, c)])
+
+
 def test_sketches_estimate_and_merge():
     rng = np.random.default_rng(4)
     for j in (0.2, 0.5, 0.8, 0.95):
