@@ -18,7 +18,7 @@ from pyspark.sql.types import StringType
 from .common import groups_of, table
 
 WINDOW, LEAST, SMALLEST = 7, 32, 4
-#: Longest signature; more chunks than this fold into the last character.
+#: Longest signature; of more chunks than this, each 2, 4, 8 ... that follow each other become one.
 LONGEST = 128
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", dtype=np.uint8)
 #: An odd multiplier for chunk hashes, and its inverse modulo 2^64.
@@ -87,21 +87,25 @@ def one(s: int, e: int, low: np.ndarray, level: np.ndarray, sums: np.ndarray, in
     b = SMALLEST
     while b * LONGEST // 2 < e - s:
         b *= 2
-    while b > SMALLEST and int(((level & np.uint32(b - 1)) == b - 1).sum()) < LEAST:
+    cuts = lambda size: low[(level & np.uint32(size - 1)) == size - 1] + 1
+    while b > SMALLEST and len(cuts(b)) < LEAST:
         b //= 2
+    ends = cuts(b)
+    while len(ends) >= LONGEST and len(more := cuts(2 * b)) >= LEAST:
+        b, ends = 2 * b, more
+    joined = 1  # where a passage repeats, the next block size may have no boundary left
+    while len(ends) // joined >= LONGEST:
+        joined *= 2
     parts = []
-    for size in (b, 2 * b):
-        ends = low[(level & np.uint32(size - 1)) == size - 1] + 1
+    for ends in (ends[joined - 1 :: joined], cuts(2 * b) if joined == 1 else ends[2 * joined - 1 :: 2 * joined]):
         ends = np.append(ends, e) if e > s and (not len(ends) or ends[-1] < e) else ends
-        if len(ends) > LONGEST:
-            ends = np.append(ends[: LONGEST - 1], e)
         begin = np.concatenate([[s], ends[:-1]]).astype(np.int64)
         # each chunk's sum, as if the chunk began at the first power: the same wherever it lies
         total = (sums[ends] - sums[begin]) * inverse[begin]
         total ^= total >> np.uint64(29)
         total *= np.uint64(0xBF58476D1CE4E5B9)
         parts.append(LETTERS[(total >> np.uint64(58)).astype(np.int64)].tobytes().decode() if len(ends) else "")
-    return f"{b}:{parts[0]}:{parts[1]}"
+    return f"{b * joined}:{parts[0]}:{parts[1]}"
 
 
 def likeness(a: Column, b: Column) -> Column:

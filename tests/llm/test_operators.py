@@ -230,6 +230,19 @@ def test_fingerprints(spark, docs, texts, nothing, tmp_path):
     assert ctph.op4_ctph(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_repeated_passages_stay_whole_in_the_signature():
+    rng, shares = random.Random(9), []
+    for n in (300, 1000, 3000) * 5:
+        line = prose(rng, 8) + "\n"
+        text, kept = line * n, 3 * n // 4
+        edited = line * kept + line.replace(line.split()[3], line.split()[3].upper()) * (n - kept)
+        a, b = (f.split(":") for f in ctph.fingerprints([text, edited]))
+        assert all(len(x) <= ctph.LONGEST for x in a[1:] + b[1:])
+        if a[0] == b[0] and len(a[1]) >= ctph.LEAST:
+            shares.append(sum(x == y for x, y in zip(a[1], b[1])) / max(len(a[1]), len(b[1])))
+    assert len(shares) >= 8 and max(shares) < 0.95 and np.median(shares) > 0.5, shares  # a quarter is another text
+
+
 # 5
 def test_main_text(spark):
     article = lambda body: f"<html><head><title>t</title></head><body><nav><a>menu</a></nav><div class='top'><p>Follow us</p></div>{body}<footer>f</footer></body></html>"
