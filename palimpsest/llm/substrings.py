@@ -1,20 +1,27 @@
 """Removal of repeated passages by suffix automata of reference shards.
 
 The reference of self-deduplication is the corpus itself, so its automata have no bounded size and cannot all be
-sent to every task. Instead each document is cut where the smallest of the hashes of its ``MINI``-word runs changes
-(minimizers): all windows of ``WINDOW`` words that share a minimizer lie in pieces dealt to one shard, and a window
-that occurs in two documents has the same minimizer in both. A shard builds the suffix automaton of its distinct
-pieces, each state with the smallest and largest document that holds its strings, and the pieces stream through
-it: where the matching statistic reaches ``WINDOW``, the state of the last ``WINDOW`` words names the first document.
-
-First the minimizers that occur in one document only are set aside by a map of fixed size. A minimizer
-with very many distinct pieces is split: its pieces are cut to single windows, dealt by the window's hash.
-For a reference of bounded size, ``in_reference`` sends its automata to all tasks and streams whole documents.
+sent to every task. They are dealt out instead, and only what may recur is streamed through them:
+
+1. Texts are packed into blocks of about ``BLOCK_BYTES``, written to the shared folder. A block is what later steps address.
+2. Each window of ``WINDOW`` words has a minimizer, the smallest hash of its ``MINI``-word runs. A block sends the
+   distinct minimizers of its texts, eight bytes each, to parts by ranges of hashes. A part knows which
+   occur in two documents and answers each block with those of its own.
+3. Under such minimizers a block cuts its texts into pieces (windows in a row with one minimizer) and sends the distinct ones to
+   shards by minimizer: a window that occurs in two documents has the same minimizer in both. Pieces of a minimizer with more
+   than ``HOT_PIECES`` of them are cut to single windows and dealt by the window's hash.
+4. A shard builds suffix automata of its distinct pieces, each state with the smallest and largest document that holds
+   its strings, and streams the pieces through: where the matching statistic reaches ``WINDOW``, the state of the last
+   ``WINDOW`` words names the first document. Blocks get these answers and remove their words.
+
+What a passage costs grows with the blocks that hold it, not with its copies. For a reference of bounded size,
+``in_reference`` sends its automata to all tasks and streams whole documents.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,21 +31,21 @@ from pyspark.sql import functions as F
 
 from .common import groups_of, map_rows, saved, table
 from .ctph import power_tables
-from .setsketch import MAP_BITS as SLOTS
-from .setsketch import needed
 from .words import hashed_words, mixed, windows
 
-WINDOW, MINI = 13, 5
-#: Windows in a piece at most; a bit each in its mask.
+WINDOW, MINI = 13, 8
+#: Windows in a piece at most.
 PIECE = 32
-#: Bits of the map of minimizers that occur in more than one document, and the parts it is made in. Its size
-#: does not depend on the input; what shares a bit by chance is only looked at in vain.
-MAP_BITS, MAP_PARTS = 1 << 27, 256
-#: Entries that are kept apart while a part is made; beyond, one a bit is kept and bits with several count as shared.
-PART_ENTRIES = 1 << 21
-#: Words a shard's automaton is planned for, and distinct pieces of one minimizer above which they are cut up.
-SHARD_WORDS, HOT_PIECES = 60_000, 20_000
+#: Bytes of texts in a block, about; a longer text is a block by itself.
+BLOCK_BYTES = 4 << 20
+#: Minimizers a part is planned for, and the least and most parts as powers of two.
+PART_MINIMIZERS, LEAST_BITS, MOST_BITS = 1 << 20, 6, 20
+#: Pieces a shard is planned for, the fewest shards, and words an automaton is planned for.
+SHARD_PIECES, LEAST_SHARDS, AUTOMATON_WORDS = 100_000, 128, 60_000
+#: Pieces of one minimizer above which they are cut to windows.
+HOT_PIECES = 20_000
 FAR = 1 << 62
+ONE = np.uint64(1)
 
 
 class Automaton:
@@ -122,28 +129,6 @@ def word_bytes(text: str) -> list[bytes]:
     return text.encode().split()
 
 
-def minimizers(hashes: np.ndarray) -> np.ndarray:
-    """For every window of ``WINDOW`` words the smallest hash of its runs of ``MINI`` words."""
-    runs = windows(hashes, MINI)
-    n = len(hashes) - WINDOW + 1
-    if n <= 0:
-        return runs[:0]
-    out = runs[:n].copy()
-    for k in range(1, WINDOW - MINI + 1):
-        np.minimum(out, runs[k : k + n], out=out)
-    return out
-
-
-def per_document(texts: list[str]) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
-    """(index, bytes, minimizers of all windows, hashes of all words) of each text."""
-    for a, b in groups_of(texts):
-        raws = [t.encode() for t in texts[a:b]]
-        hashes, at = hashed_words(raws)
-        mins = minimizers(hashes)
-        for k, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
-            yield a + k, raws[k], mins[s : max(s, e - WINDOW + 1)], hashes[s:e]
-
-
 def run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of the words from each start to each end."""
     up, down = power_tables(len(hashes))
@@ -152,233 +137,289 @@ def run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def shared_map(docs: DataFrame) -> np.ndarray:
-    """The map of minimizers (by their hash) that occur in more than one document."""
-    width = MAP_BITS // MAP_PARTS
+# -- blocks -----------------------------------------------------------------------------------------------------------
+def squeezed(parts: list[bytes]) -> bytes:
+    """Several byte strings as one, compressed."""
+    raw = b"".join([struct.pack(f"<B{len(parts)}Q", len(parts), *map(len, parts)), *parts])
+    return struct.pack("<Q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
-    def make():
-        def work(batch):
-            ids = np.asarray(batch.column(0)).astype(np.uint64)
-            marks = ((ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) | np.uint64(1)
-            found = []
-            for k, _, mins, _ in per_document([t.as_py() or "" for t in batch.column(1)]):
-                if len(mins):
-                    own = mins[np.concatenate([[True], mins[1:] != mins[:-1]])]
-                    found.append((own % np.uint64(MAP_BITS)) << np.uint64(37) | (own >> np.uint64(59)) << np.uint64(32) | marks[k])
-            if not found:
-                return None
-            entries = np.unique(np.concatenate(found))
-            part = (entries >> np.uint64(37)) // np.uint64(width)
-            cut = np.searchsorted(part, np.arange(MAP_PARTS + 1))
-            some = np.flatnonzero(np.diff(cut)).tolist()
-            return [some, [entries[cut[p] : cut[p + 1]].tobytes() for p in some]]
 
-        return work
-
-    rows = map_rows(docs.select("doc_id", "text"), make, "part int, entries binary")
-
-    def merged(part: int, entries: list[np.ndarray], twice: np.ndarray) -> np.ndarray:
-        """Marks the bits of minimizers (told apart by 5 bits more than their place) seen in two documents; what is still open."""
-        all_ = np.unique(np.concatenate(entries))
-        slot = (all_ >> np.uint64(37)).astype(np.int64) - part * width
-        same = all_[1:] >> np.uint64(32) == all_[:-1] >> np.uint64(32)
-        twice[slot[1:][same]] = True
-        open_ = ~twice[slot]
-        all_, slot = all_[open_], slot[open_]
-        if len(all_) > PART_ENTRIES:
-            again = slot[1:] == slot[:-1]
-            twice[slot[1:][again]] = True
-            all_ = all_[~twice[slot]]
-        return all_
-
-    def fold(batches):
-        held: dict[int, list[np.ndarray]] = {}
-        size: dict[int, int] = {}
-        twice: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if part not in held:
-                    held[part], size[part], twice[part] = [], 0, np.zeros(width, dtype=bool)
-                held[part].append(np.frombuffer(raw.as_py(), dtype=np.uint64))
-                size[part] += len(held[part][-1])
-                if size[part] > 2 * PART_ENTRIES:
-                    held[part] = [merged(part, held[part], twice[part])]
-                    size[part] = len(held[part][0])
-        for part, t in twice.items():
-            merged(part, held[part], t)
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(t).tobytes()], pa.binary())})
-
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = np.zeros(MAP_BITS // 8, dtype=np.uint8)
-    for part, bits in rows.repartition(min(MAP_PARTS, parts), "part").mapInArrow(fold, "part int, bits binary").collect():  # MAP_BITS in all
-        out[part * width // 8 : (part + 1) * width // 8] = np.frombuffer(bits, dtype=np.uint8)
+def opened(data: bytes) -> list[bytes]:
+    raw = pa.decompress(data[8:], decompressed_size=struct.unpack_from("<Q", data)[0], codec="zstd", asbytes=True)
+    out, at = [], 1 + 8 * raw[0]
+    for n in struct.unpack_from(f"<{raw[0]}Q", raw, 1):
+        out.append(raw[at : at + n])
+        at += n
     return out
 
 
-def pieces(docs: DataFrame, shared: np.ndarray) -> DataFrame:
-    """The documents' pieces under a shared minimizer. Occurrences are (doc_id, start, piece), ``piece`` being the hash of the
-    words; contents are (piece, mini, words, least, most), one for what a task has seen of a piece, with the
-    smallest and largest document."""
-    sent = docs.sparkSession.sparkContext.broadcast(shared)
-    names = ["doc_id", "start", "piece", "mini", "words", "least", "most"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+def blocks(docs: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
+    """(block, size, payload) of ``docs`` (doc_id, text): ids and texts of about ``most`` bytes."""
 
     def run(batches):
-        bits = sent.value
-        seen: dict[int, list] = {}
+        ids, raws, size = [], [], 0
 
-        def contents():
-            rows = [(None, None, h, *x) for h, x in seen.items()]
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), kinds)], names=names)
+        def full():
+            payload = squeezed([np.array(ids, dtype=np.int64).tobytes(), np.array([len(r) for r in raws], dtype=np.int64).tobytes(), b"".join(raws)])
+            return pa.RecordBatch.from_pydict({"size": pa.array([size], pa.int64()), "payload": pa.array([payload], pa.binary())})
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            out: tuple[list, list, list] = ([], [], [])
-            for k, raw, mins, hashes in per_document([t.as_py() or "" for t in batch.column(1)]):
-                if not len(mins):
-                    continue
-                slot = (mins % np.uint64(MAP_BITS)).astype(np.int64)
-                hit = (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
-                if not hit.any():
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = (t.as_py() or "").encode()
+                if ids and size + len(raw) > most:
+                    yield full()
+                    ids, raws, size = [], [], 0
+                ids.append(k)
+                raws.append(raw)
+                size += len(raw)
+        if ids:
+            yield full()
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, "size long, payload binary")
+    return saved(rows.withColumn("block", F.monotonically_increasing_id()), "blocks")
+
+
+def texts_of(payload: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """The ids and texts of a block."""
+    ids, lengths, blob = opened(payload)
+    ends = np.cumsum(np.frombuffer(lengths, dtype=np.int64))
+    return np.frombuffer(ids, dtype=np.int64), [blob[e - n : e] for e, n in zip(ends.tolist(), np.frombuffer(lengths, dtype=np.int64).tolist())]
+
+
+def grouped(raws: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, last, hashes of words, text of each word, minimizer of each window, whether it lies in one text) for runs of texts."""
+    for a, b in groups_of(raws):
+        hashes, at = hashed_words(raws[a:b])
+        runs = windows(hashes, MINI)
+        n = max(0, len(hashes) - WINDOW + 1)
+        least = runs[:n].copy()
+        for k in range(1, WINDOW - MINI + 1):
+            np.minimum(least, runs[k : k + n], out=least)
+        owner = np.repeat(np.arange(a, b), np.diff(at))
+        yield a, b, hashes, owner, least & ~ONE, owner[:n] == owner[WINDOW - 1 :][:n]
+
+
+# -- minimizers -------------------------------------------------------------------------------------------------------
+def distinct_minimizers(ids: np.ndarray, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A block's minimizers, sorted, with their lowest bit set where two documents have them; and how often each occurs (65,535 at most)."""
+    keys, docs = [], []
+    for _, _, _, owner, least, inside in grouped(raws):
+        new = inside.copy()
+        new[1:] &= ~(inside[:-1] & (least[1:] == least[:-1]))
+        keys.append(least[new])
+        docs.append(ids[owner[: len(least)][new]])
+    if not sum(map(len, keys)):
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint16)
+    key, doc = np.concatenate(keys), np.concatenate(docs)
+    order = np.argsort(key)
+    key, doc = key[order], doc[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+    times = np.diff(np.append(first, len(key)))
+    return key[first] | several.astype(np.uint64), np.minimum(times, 65535).astype(np.uint16)
+
+
+def shared_minimizers(kept: DataFrame, bits: int, hot_pieces: int = HOT_PIECES) -> DataFrame:
+    """(block, n, found): the minimizers of each block that occur in two documents, several rows a block; the lowest bit is set
+    where there are more than ``hot_pieces`` pieces, which are to be cut up."""
+
+    def send(batches):
+        for batch in batches:
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                keys, times = distinct_minimizers(*texts_of(payload.as_py()))
+                cut = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64))
+                some = np.flatnonzero(np.diff(cut))
+                spans = [(int(cut[p]), int(cut[p + 1])) for p in some]
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array(some, pa.int32()), "block": pa.array([block] * len(some), pa.int64()),
+                    "keys": pa.array([keys[s:e].tobytes() for s, e in spans], pa.binary()), "times": pa.array([times[s:e].tobytes() for s, e in spans], pa.binary()),
+                })
+
+    def answer(group: pa.Table) -> pa.Table:
+        own = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in group.column("keys")]
+        keys = np.concatenate(own)
+        times = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint16) for x in group.column("times")])
+        plain = keys & ~ONE
+        order = np.argsort(plain)
+        first = np.flatnonzero(np.concatenate([[True], plain[order][1:] != plain[order][:-1]]))
+        size = np.diff(np.append(first, len(keys)))
+        several = (size > 1) | (np.maximum.reduceat(keys[order] & ONE, first) > 0)
+        hot = np.add.reduceat(times[order].astype(np.int64), first) > hot_pieces
+        shared, marked = np.empty(len(keys), dtype=bool), np.empty(len(keys), dtype=np.uint64)
+        shared[order] = np.repeat(several, size)
+        marked[order] = plain[order] | np.repeat(hot, size).astype(np.uint64)
+        found, at = [], 0
+        for x in own:
+            found.append(marked[at : at + len(x)][shared[at : at + len(x)]])
+            at += len(x)
+        some = [k for k, x in enumerate(found) if len(x)]
+        return pa.table({
+            "block": pa.array(group.column("block").to_numpy()[some], pa.int64()), "n": pa.array([len(found[k]) for k in some], pa.int64()),
+            "found": pa.array([found[k].tobytes() for k in some], pa.binary()),
+        })
+
+    rows = kept.select("block", "payload").mapInArrow(send, "part int, block long, keys binary, times binary")
+    return saved(rows.groupBy("part").applyInArrow(answer, "block long, n long, found binary"), "shared")
+
+
+# -- pieces -----------------------------------------------------------------------------------------------------------
+def cut(hashes: np.ndarray, least: np.ndarray, inside: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(starts, ends, deal, name) of the pieces under the ``shared`` minimizers (sorted, lowest bit: cut up): places of words, what
+    decides on the shard, and a hash of the words."""
+    plain = shared & ~ONE
+    at = np.minimum(np.searchsorted(plain, least), len(plain) - 1)
+    hit = inside & (plain[at] == least)
+    hot = hit & (shared[at] & ONE).astype(bool)
+    cold = hit & ~hot
+    new = cold.copy()
+    new[1:] &= ~(cold[:-1] & (least[1:] == least[:-1]))
+    begin = np.flatnonzero(new)
+    upto = np.concatenate([[0], np.cumsum(cold)])
+    size = upto[np.append(begin[1:], len(cold))] - upto[begin] if len(begin) else begin
+    parts = -(-size // PIECE)
+    starts = np.repeat(begin, parts) + PIECE * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    ends = np.minimum(starts + PIECE, np.repeat(begin + size, parts)) + WINDOW - 1
+    single = np.flatnonzero(hot)
+    starts, ends = np.concatenate([starts, single]), np.concatenate([ends, single + WINDOW])
+    name = run_hashes(hashes, starts, ends)
+    deal = np.concatenate([least[starts[: len(starts) - len(single)]], name[len(starts) - len(single) :]])
+    return starts, ends, deal, name
+
+
+def joined(found: list[bytes]) -> np.ndarray:
+    return np.sort(np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in found]))
+
+
+def distinct_pieces(ids: np.ndarray, raws: list[bytes], shared: np.ndarray) -> list[tuple]:
+    """(name, deal, smallest document, largest document, words) of a block's pieces, each once."""
+    seen: dict[int, list] = {}
+    for a, b, hashes, owner, least, inside in grouped(raws):
+        starts, ends, deal, name = cut(hashes, least, inside, shared)
+        if not len(name):
+            continue
+        words = b" ".join(raws[a:b]).split()
+        name, one, which = np.unique(name, return_index=True, return_inverse=True)
+        doc = ids[owner[starts]]
+        low, high = np.full(len(name), FAR), np.full(len(name), -FAR)
+        np.minimum.at(low, which, doc)
+        np.maximum.at(high, which, doc)
+        for h, d, x, y, s, e in zip(name.tolist(), deal[one].tolist(), low.tolist(), high.tolist(), starts[one].tolist(), ends[one].tolist()):
+            known = seen.get(h)
+            if known is None:
+                seen[h] = [d, x, y, b" ".join(words[s:e])]
+            else:
+                known[1], known[2] = min(known[1], x), max(known[2], y)
+    return [(h, *x) for h, x in seen.items()]
+
+
+def sent_pieces(rows: DataFrame, n_shards: int) -> DataFrame:
+    """(shard, block, data): the distinct pieces of each block (block, payload, found) by shard."""
+
+    def run(batches):
+        for batch in batches:
+            for block, payload, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                pieces = distinct_pieces(*texts_of(payload.as_py()), joined(found.as_py()))
+                if not pieces:
                     continue
-                begin = np.flatnonzero(np.concatenate([[True], mins[1:] != mins[:-1]]))
-                size = np.append(begin[1:], len(mins)) - begin
-                parts = -(-size // PIECE)
-                starts = np.repeat(begin, parts) + PIECE * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-                ends = np.minimum(starts + PIECE, np.repeat(begin + size, parts)) + WINDOW - 1
-                starts, ends = starts[hit[starts]], ends[hit[starts]]
-                own = run_hashes(hashes, starts, ends).view(np.int64).tolist()
-                doc, words = ids[k], raw.split()
-                out[0].extend([doc] * len(own))
-                out[1].extend(starts.tolist())
-                out[2].extend(own)
-                for h, s, e, m in zip(own, starts.tolist(), ends.tolist(), mins[starts].view(np.int64).tolist()):
-                    x = seen.get(h)
-                    if x is None:
-                        seen[h] = [m, b" ".join(words[s:e]), doc, doc]
-                    elif doc < x[2]:
-                        x[2] = doc
-                    elif doc > x[3]:
-                        x[3] = doc
-                if len(seen) > 200_000:
-                    yield contents()
-            if out[0]:
-                n = len(out[0])
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, kinds)] + [pa.nulls(n, t) for t in kinds[3:]], names=names)
-        if seen:
-            yield contents()
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start int, piece long, mini long, words binary, least long, most long")
-
-
-def worthwhile(distinct: dict[int, list]) -> list[tuple[int, list]]:
-    """The pieces with a window whose hash lies in two documents: no other can match, so no other need be in the automaton."""
-    if not distinct:
-        return []
-    hashes, at = hashed_words([x[0] for x in distinct.values()])
+                name, deal, low, high = (np.array([x[k] for x in pieces], dtype=kind) for k, kind in enumerate((np.uint64, np.uint64, np.int64, np.int64)))
+                shard = ((deal >> np.uint64(40)) * np.uint64(n_shards) >> np.uint64(24)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                edges = np.append(np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) > 0])), len(order)).tolist()
+                shards, data = [], []
+                for s, e in zip(edges[:-1], edges[1:]):
+                    own = order[s:e]
+                    shards.append(int(shard[own[0]]))
+                    data.append(squeezed([name[own].tobytes(), deal[own].astype(np.uint32).tobytes(), low[own].tobytes(), high[own].tobytes(), b"\n".join([pieces[k][4] for k in own.tolist()])]))
+                yield pa.RecordBatch.from_pydict({"shard": pa.array(shards, pa.int32()), "block": pa.array([block] * len(shards), pa.int64()), "data": pa.array(data, pa.binary())})
+
+    return rows.mapInArrow(run, "shard int, block long, data binary")
+
+
+def recurring(words: list[bytes], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which pieces have a window whose hash lies in two documents: no other can match, so no other need be in an automaton."""
+    hashes, at = hashed_words(words)
     n = np.diff(at) - WINDOW + 1
     owner = np.repeat(np.arange(len(n)), n)
     place = np.repeat(at[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    own = windows(hashes, WINDOW)[place]
-    _, group = np.unique(own, return_inverse=True)
-    docs = np.array([x[1:] for x in distinct.values()], dtype=np.int64)
-    least, most = np.full(group.max() + 1, np.iinfo(np.int64).max), np.full(group.max() + 1, np.iinfo(np.int64).min)
-    np.minimum.at(least, group, docs[owner, 0])
-    np.maximum.at(most, group, docs[owner, 1])
+    _, group = np.unique(windows(hashes, WINDOW)[place], return_inverse=True)
+    least, most = np.full(group.max() + 1, FAR), np.full(group.max() + 1, -FAR)
+    np.minimum.at(least, group, low[owner])
+    np.maximum.at(most, group, high[owner])
     some = np.zeros(len(n), dtype=bool)
     some[owner[(least != most)[group]]] = True
-    return [x for x, yes in zip(distinct.items(), some.tolist()) if yes]
+    return some
+
+
+def first_documents(words: list[bytes], low: np.ndarray, high: np.ndarray) -> list[list[int] | None]:
+    """For each distinct piece the smallest document of each of its windows; None where no window lies in two documents."""
+    out: list[list[int] | None] = [None] * len(words)
+    auto, used = Automaton(), []
+    for k in np.flatnonzero(recurring(words, low, high)).tolist():
+        symbols = words[k].split(b" ")
+        auto.add(symbols, int(low[k]), int(high[k]))
+        used.append((k, symbols))
+    auto.finish()
+    for k, symbols in used:
+        states = [s for _, s in auto.stream(symbols, WINDOW)]
+        if any(auto.least[s] != auto.most[s] for s in states):
+            out[k] = [auto.least[s] for s in states]
+    return out
 
 
-def first_documents(contents: DataFrame, n_shards: int) -> DataFrame:
-    """(piece, firsts): the smallest document of each window of the distinct pieces of ``contents`` (piece, deal, words, least,
-    most), where any window lies in two documents. ``deal`` tells the shard; all pieces with a window in common have the same."""
+def answers(pieces: DataFrame) -> DataFrame:
+    """(block, firsts): for the pieces (shard, block, data) of each block that recur, their names and the first document of each window."""
 
     def run(group: pa.Table) -> pa.Table:
-        distinct: dict[int, list] = {}
-        for piece, words, least, most in zip(*(group.column(c).to_pylist() for c in ("piece", "words", "least", "most"))):
-            x = distinct.setdefault(piece, [words, least, most])
-            x[1], x[2] = min(x[1], least), max(x[2], most)
-        auto, used = Automaton(), []
-        for piece, (words, least, most) in worthwhile(distinct):
-            words = words.split(b" ")
-            auto.add(words, least, most)
-            used.append((piece, words))
-        auto.finish()
-        names, firsts = [], []
-        for piece, words in used:
-            states = [s for _, s in auto.stream(words, WINDOW)]
-            if any(auto.least[s] != auto.most[s] for s in states):
-                names.append(piece)
-                firsts.append([auto.least[s] for s in states])
-        return pa.table({"piece": pa.array(names, pa.int64()), "firsts": pa.array(firsts, pa.list_(pa.int64()))})
-
-    shard = F.pmod(F.xxhash64("deal"), F.lit(n_shards)).cast("int")
-    return contents.select(shard.alias("shard"), "piece", "words", "least", "most").groupBy("shard").applyInArrow(run, "piece long, firsts array<long>")
-
-
-def cut_up(contents: DataFrame) -> DataFrame:
-    """(piece, place, window, words, least, most) of every window of the pieces."""
-
-    def make():
-        def work(batch):
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for piece, words, least, most in zip(*(c.to_pylist() for c in batch.columns)):
-                words = words.split(b" ")
-                for k in range(len(words) - WINDOW + 1):
-                    own = b" ".join(words[k : k + WINDOW])
-                    for column, x in zip(out, (piece, k, int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True), own, least, most)):
-                        column.append(x)
-            return list(out)
-
-        return work
-
-    return map_rows(contents.select("piece", "words", "least", "most"), make, "piece long, place int, window long, words binary, least long, most long")
-
-
-def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, hits) for documents (doc_id, text) with windows whose words also start in a document of a smaller id;
-    a hit is the place of a piece's first window << 32 | a mask of its windows."""
-    found = saved(pieces(docs, shared_map(docs)), "pieces")
-    contents = found.filter("doc_id is null").select("piece", "mini", "words", "least", "most")
-    found = found.filter("doc_id is not null").select("doc_id", "start", "piece")
-    per_mini = contents.groupBy("mini").agg(F.count("*").alias("rows"))
-    n, n_hot = per_mini.agg(F.sum("rows"), F.sum((F.col("rows") > HOT_PIECES).cast("long"))).first()
-    if n is None:
-        return found.select("doc_id", F.lit(None).cast("array<long>").alias("hits")).filter("false")
-    shards = max(1, int(n) * 18 // SHARD_WORDS)
-    if n_hot:
-        hot = per_mini.filter(F.col("rows") > HOT_PIECES).select("mini")
-        plain = contents.join(hot, "mini", "left_anti")
-        single = saved(cut_up(contents.join(hot, "mini", "left_semi")), "windows")
-        distinct = single.groupBy("window").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min("words").alias("words"))
-        by_window = first_documents(distinct.select(F.col("window").alias("piece"), F.col("window").alias("deal"), "words", "least", "most"), shards)
-        back = single.select("piece", "place", "window").distinct().join(by_window.select(F.col("piece").alias("window"), F.col("firsts")[0].alias("first")), "window", "left")
-        rows = F.array_sort(F.collect_list(F.struct("place", F.coalesce("first", F.lit(FAR)).alias("first"))))
-        cut = back.groupBy("piece").agg(rows.alias("r"), F.max(F.col("first").isNotNull()).alias("any")).filter("any").select("piece", F.col("r.first").alias("firsts"))
-    else:
-        plain, cut = contents, None
-    firsts = first_documents(plain.withColumn("deal", F.col("mini")), shards)
-    firsts = saved(firsts.unionByName(cut) if cut is not None else firsts, "firsts")
-    joined = found.select("doc_id", "start", "piece").join(firsts, "piece").select("doc_id", "start", "firsts")
-    mask = F.aggregate(F.transform("firsts", lambda x, k: F.when(x < F.col("doc_id"), F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
-    hits = joined.select("doc_id", "start", mask.alias("mask")).filter("mask <> 0").select("doc_id", F.expr("shiftleft(cast(start as bigint), 32) + mask").alias("hit"))
-    return hits.groupBy("doc_id").agg(F.collect_set("hit").alias("hits"))
-
-
-def covered(n: int, hits: list[int]) -> np.ndarray:
-    """Which of ``n`` words lie in a window that ``hits`` mark."""
-    flag = np.zeros(n + 1, dtype=np.int32)
-    for hit in hits:
-        start, mask, k = hit >> 32, hit & 0xFFFFFFFF, 0
-        while mask:
-            if mask & 1:
-                flag[start + k] += 1
-                flag[start + k + WINDOW] -= 1
-            mask >>= 1
-            k += 1
-    return np.cumsum(flag[:-1]) > 0
+        chunks = [opened(x.as_py()) for x in group.column("data")]
+        name, deal, low, high = (np.concatenate([np.frombuffer(c[k], dtype=kind) for c in chunks]) for k, kind in enumerate((np.uint64, np.uint32, np.int64, np.int64)))
+        words = [w for c in chunks for w in c[4].split(b"\n")]
+        _, one, which = np.unique(name, return_index=True, return_inverse=True)
+        least, most = np.full(len(one), FAR), np.full(len(one), -FAR)
+        np.minimum.at(least, which, low)
+        np.maximum.at(most, which, high)
+        n = max(1, len(one) * (WINDOW + 2) // AUTOMATON_WORDS)
+        bucket = deal[one].astype(np.uint64) * np.uint64(n) >> np.uint64(32)
+        firsts: list[list[int] | None] = [None] * len(one)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.append(np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]])), len(order)).tolist()
+        for s, e in zip(edges[:-1], edges[1:]):
+            own = order[s:e]
+            for k, x in zip(own.tolist(), first_documents([words[i] for i in one[own].tolist()], least[own], most[own])):
+                firsts[k] = x
+        known = np.array([x is not None for x in firsts], dtype=bool)[which]
+        blocks_, data, at = [], [], 0
+        for block, c in zip(group.column("block").to_pylist(), chunks):
+            size = len(c[0]) // 8
+            some = at + np.flatnonzero(known[at : at + size])
+            at += size
+            if len(some):
+                lists = [firsts[k] for k in which[some].tolist()]
+                blocks_.append(block)
+                data.append(squeezed([name[some].tobytes(), np.array([len(x) for x in lists], dtype=np.uint8).tobytes(), np.array([f for x in lists for f in x], dtype=np.int64).tobytes()]))
+        return pa.table({"block": pa.array(blocks_, pa.int64()), "firsts": pa.array(data, pa.binary())})
+
+    return pieces.groupBy("shard").applyInArrow(run, "block long, firsts binary")
+
+
+def covered(ids: np.ndarray, raws: list[bytes], shared: np.ndarray, firsts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, text of each word, whether it goes) for runs of a block's texts."""
+    parts = [opened(x) for x in firsts]
+    names, sizes, docs = (np.concatenate([np.frombuffer(p[k], dtype=kind) for p in parts]) for k, kind in enumerate((np.uint64, np.uint8, np.int64)))
+    begin = np.cumsum(sizes.astype(np.int64)) - sizes
+    order = np.argsort(names)
+    names, begin = names[order], begin[order]
+    for a, b, hashes, owner, least, inside in grouped(raws):
+        starts, ends, _, name = cut(hashes, least, inside, shared)
+        at = np.minimum(np.searchsorted(names, name), len(names) - 1)
+        hit = names[at] == name
+        starts, size, at = starts[hit], (ends - starts)[hit] - WINDOW + 1, at[hit]
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        place = np.repeat(starts, size) + step
+        goes = place[docs[np.repeat(begin[at], size) + step] < ids[owner[place]]]
+        flag = np.zeros(len(hashes) + 1, dtype=np.int64)
+        np.add.at(flag, goes, 1)
+        np.add.at(flag, goes + WINDOW, -1)
+        yield a, b, owner, np.cumsum(flag[:-1]) > 0
 
 
 def in_reference(docs: DataFrame, reference: list[str], width: int = WINDOW, shard_words: int = 200_000, most_bytes: int = 16 << 20) -> DataFrame:
@@ -431,59 +472,48 @@ def in_reference(docs: DataFrame, reference: list[str], width: int = WINDOW, sha
     return map_rows(docs.select("doc_id", "text"), make, "doc_id long, spans array<struct<start:int,end:int>>")
 
 
-def without_repeats(df: DataFrame, with_text: bool = True) -> DataFrame:
+def without_repeats(df: DataFrame, with_text: bool = True, block_bytes: int = BLOCK_BYTES, hot_pieces: int = HOT_PIECES) -> DataFrame:
     """Rows of ``df`` (doc_id, text) with n_words, n_removed, kept_sha256 and kept (the words left, joined by one blank).
 
     A word goes if a window of 13 words that covers it also starts in a document with a smaller id; windows are judged on
-    the input. Null and empty texts have no words; rows of one id count as one document, so they do not remove from each
-    other; a null id is smaller than all others. An empty table gives an empty one; other columns do not come back.
+    the input. Null and empty texts have no words; a long text is a block by itself. Rows of one id count as one document: they do
+    not remove from each other, and each gives a row. A null id is smaller than all others. An empty table gives an empty one;
+    other columns do not come back, whatever their names.
     """
     docs = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-FAR)).alias("doc_id"), "text")
-    hits = saved(repeated(docs), "hits")
-    sent = df.sparkSession.sparkContext.broadcast(needed(hits.select("doc_id")))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-
-    def result(words: list[bytes], hits: list[int] | None) -> tuple:
-        left = words
-        if hits:
-            left = [w for w, x in zip(words, covered(len(words), hits).tolist()) if not x]
-        text = b" ".join(left)
-        return len(words), len(words) - len(left), hashlib.sha256(text).hexdigest(), *([text.decode()] if with_text else [])
-
-    def marked(column) -> np.ndarray:
-        slots = np.asarray(column)
-        return (sent.value[slots // 64] >> (slots % 64).astype(np.uint64) & np.uint64(1)).astype(bool)
-
-    def whole():
-        def work(batch):
-            rest = np.flatnonzero(~marked(batch.column(2)))
-            if not len(rest):
-                return None
-            rows = [result(word_bytes(batch.column(1)[k].as_py() or ""), None) for k in rest.tolist()]
-            return [batch.column(0).take(rest), *map(list, zip(*rows))]
+    kept = blocks(docs, block_bytes)
+    size = kept.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    bits = min(MOST_BITS, max(LEAST_BITS, (size // 20 // PART_MINIMIZERS).bit_length()))
+    shared = shared_minimizers(kept, bits, hot_pieces)
+    n = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = shared.groupBy("block").agg(F.collect_list("found").alias("found"))
+    pieces = sent_pieces(kept.select("block", "payload").join(found, "block"), max(LEAST_SHARDS, n // SHARD_PIECES))
+    firsts = saved(answers(pieces), "firsts").groupBy("block").agg(F.collect_list("firsts").alias("firsts"))
+    rows = kept.select("block", "payload").join(found.join(firsts, "block"), "block", "left").select("payload", "found", "firsts")
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + with_text]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
-        return work
-
-    def sifted():
-        def work(batch):
-            some = np.flatnonzero(marked(batch.column(2)))
-            return [batch.column(0).take(some), batch.column(1).take(some)] if len(some) else None
-
-        return work
-
-    def cut():
-        def work(batch):
-            rows = [result(word_bytes(t.as_py() or ""), h.as_py()) for t, h in zip(batch.column(1), batch.column(2))]
-            return [batch.column(0), *map(list, zip(*rows))]
-
-        return work
+    def run(batches):
+        for batch in batches:
+            for payload, found, firsts in zip(*batch.columns):
+                ids, raws = texts_of(payload.as_py())
+                gone: dict[int, np.ndarray] = {}
+                if firsts.is_valid:
+                    for a, b, owner, flag in covered(ids, raws, joined(found.as_py()), firsts.as_py()):
+                        ends = np.searchsorted(owner, np.arange(a, b + 1))
+                        for k in np.unique(owner[flag]).tolist():
+                            gone[k] = flag[ends[k - a] : ends[k - a + 1]]
+                out: list[list] = [[] for _ in kinds]
+                for k, (doc, raw) in enumerate(zip(ids.tolist(), raws)):
+                    words = left = raw.split()
+                    if k in gone:
+                        left = [w for w, x in zip(words, gone[k].tolist()) if not x]
+                    text = b" ".join(left)
+                    for column, x in zip(out, (None if doc == -FAR else doc, len(words), len(words) - len(left), hashlib.sha256(text).hexdigest(), text.decode() if with_text else None)):
+                        column.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t, _ in zip(out, kinds, names)], names=names)
 
-    with_slot = docs.select("doc_id", "text", slot.alias("slot"))
-    # only texts that something is removed from (and a few that share a bit with them) are shuffled
-    found = map_rows(with_slot, sifted, "doc_id long, text string").join(hits, "doc_id", "left").select("doc_id", "text", "hits")
-    out = map_rows(with_slot, whole, schema).unionByName(map_rows(found, cut, schema))
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != -FAR, F.col("doc_id")))
+    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
 
 
 def op9_substring_dedup(spark, sf_dir):

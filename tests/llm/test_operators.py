@@ -398,23 +398,44 @@ def test_tokens(docs, texts, nothing):
 
 
 # 9
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_repeats(docs, texts, nothing, hot, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT_PIECES", hot)
-    first = {}
-    got = by_id(substrings.without_repeats(docs))
-    for i, t in enumerate(texts):
+def without_repeats(rows):
+    """By brute force: (n_words, n_removed, kept) of each row (doc_id, text)."""
+    first, out = {}, []
+    for doc, t in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
         w = (t or "").encode().split()
-        gone = set()
         for k in range(len(w) - 12):
-            if first.setdefault(tuple(w[k : k + 13]), i) < i:
+            first.setdefault(tuple(w[k : k + 13]), doc)
+    for doc, t in rows:
+        w, gone = (t or "").encode().split(), set()
+        for k in range(len(w) - 12):
+            if first[tuple(w[k : k + 13])] != doc:
                 gone |= set(range(k, k + 13))
-        left = b" ".join(x for k, x in enumerate(w) if k not in gone)
-        r = got[3 * i + 1]
-        assert (r.n_words, r.n_removed, r.kept) == (len(w), len(gone), left.decode()) and r.kept_sha256 == hashlib.sha256(left).hexdigest()
+        out.append((doc, len(w), len(gone), b" ".join(x for k, x in enumerate(w) if k not in gone).decode()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("block, hot", [(1 << 22, 20_000), (2000, 20_000), (500, 2)])
+def test_repeats(spark, docs, texts, nothing, block, hot):
+    rng = random.Random(21)
+    passage, other = prose(rng, 60), prose(rng, 20)
+    again = [(None, passage), (None, "few words"), (2, prose(rng, 600) + " " + passage), (2, "short text of few words"), (2, passage + " " + other), (2, None), (400, passage), (400, other + " " + passage), (400, passage)]
+    rows = [(3 * i + 1, t) for i, t in enumerate(texts)] + again
+    frame = docs.select("doc_id", "text", F.lit("x").alias("kept"), F.lit(1).alias("n_words")).unionByName(spark.createDataFrame([(*r, "x", 1) for r in again], "doc_id long, text string, kept string, n_words int"))
+    got = substrings.without_repeats(frame, block_bytes=block, hot_pieces=hot).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=repr) == without_repeats(rows)
+    assert all(r.kept_sha256 == hashlib.sha256(r.kept.encode()).hexdigest() for r in got)
     assert substrings.without_repeats(nothing).count() == 0
 
 
+def test_repeats_in_a_long_text():
+    """A million equal words, and a million different ones, twice."""
+    many = [b"word " * 1_000_000, b" ".join(b"w%d" % k for k in range(1_000_000))]
+    started = time.time()
+    keys, times = substrings.distinct_minimizers(np.array([1, 2, 3, 4]), many * 2)
+    pieces = substrings.distinct_pieces(np.array([1, 2, 3, 4]), many * 2, keys)
+    assert (keys & substrings.ONE).all() and all(x[2] < x[3] for x in pieces) and time.time() - started < 60
+
+
 def test_automaton_and_reference(docs, texts):
     rng = random.Random(6)
     seqs = [[rng.randrange(3) for _ in range(rng.randrange(30))] for _ in range(40)]
