@@ -7,16 +7,17 @@ similarity jointly by maximum likelihood, given how many registers are larger, s
 below the threshold go, all others are confirmed on the full sets of shingles.
 
 Links are sought in two passes. Documents with the same set are one class first. Each bucket has a centre, its member
-with the most company in all its buckets. In the first pass each class is tried against one centre, the one
-with the most company of those that the estimate takes for linked, or else for not far, so a bucket of any size costs one
-pair a member, and most of a group of copies becomes one component. The second pass looks for the links between what is in one bucket and not yet in one component:
-
-* Of classes u, v tried against the same centre c, one, say u, is not linked to it. Let r be what a class lacks of c, a what
-  it has besides c. Then u and v are linked only if they share enough of r and a to make up for it:
-  (1 + t) (shared r + shared a) >= t (c + a_u + a_v) - (c - r_u - r_v). Unless v lacks more of c than it adds, shared r
-  alone cannot, so they share something that c has not: such pairs are found by a join on that. The others, where
-  0.8 (r_v - a_v) reaches what u is short of, are paired by these numbers.
-* Classes with different centres are paired if they share a bucket.
+with the most company in all its buckets. In the first pass each class is tried against two centres, its home, which is
+the one with the most company of those not far by the estimate, and the nearest one. So a bucket of any size costs two
+pairs a member, and most of a group of copies becomes one component around one home. The second pass looks for the links between
+what is in one bucket and not yet in one component:
+
+* Of classes u, v with the same home c, one, say u, is not linked to c. Let r be what a class lacks of c, a what
+  it has besides c, in numbers, and D both together. Then u and v are linked only if
+  (1 + t) |D_u and D_v| >= t (c + a_u + a_v) - (c - r_u - r_v), and as u is not linked to c this is more than t a_v + r_v. So at least
+  one item shared with u is among all but the m - 1 most common of D_v, m = (t a_v + r_v) / (1 + t): pairs are found by a join on
+  those, most of which are v's alone, and decided by their D's.
+* Classes with different homes are paired if they share a bucket, tried by the estimate and confirmed on the full sets.
 
 Nothing that shares a bucket and is not already connected is left out.
 """
@@ -40,7 +41,7 @@ REGISTERS = BANDS * ROWS
 STEP = 1.001
 #: Pairs whose estimate is this far under the threshold are not confirmed: five standard deviations.
 MARGIN = 0.12
-#: A class belongs around a centre that its estimate is so near to.
+#: A class has its home at a centre that its estimate is so near to.
 SAME_GROUP = 0.5
 #: Bits of the map of documents whose sets are needed; others are sent at most once more than needed.
 MAP_BITS = 1 << 24
@@ -199,27 +200,27 @@ def sets_of(docs: DataFrame, k: int, ids: DataFrame) -> DataFrame:
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The ``pairs`` (a, b) with linked (100 * intersection >= ``percent`` * union of the full sets), lacks (how much of a's set
-    b lacks), adds (how much b has besides), size (of a's set), and extra (what b has besides, packed)."""
+    b lacks), adds (how much b has besides), size (of a's set), and diff (what only one of them has, packed)."""
     rows = pairs.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     rows = rows.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y")
 
     def make():
         def work(batch):
-            linked, lacks, adds, size, extra = [], [], [], [], []
+            linked, lacks, adds, size, diff = [], [], [], [], []
             for x, y in zip(batch.column(2), batch.column(3)):
                 p, q = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)
-                more = np.setdiff1d(q, p, assume_unique=True)
-                both = len(q) - len(more)
-                linked.append(100 * both >= percent * (len(p) + len(q) - both))
+                only = np.setxor1d(p, q, assume_unique=True)
+                both = (len(p) + len(q) - len(only)) // 2
+                linked.append(100 * both >= percent * (both + len(only)))
                 lacks.append(len(p) - both)
-                adds.append(len(more))
+                adds.append(len(q) - both)
                 size.append(len(p))
-                extra.append(more.tobytes())
-            return [batch.column(0), batch.column(1), linked, lacks, adds, size, extra]
+                diff.append(only.tobytes())
+            return [batch.column(0), batch.column(1), linked, lacks, adds, size, diff]
 
         return work
 
-    return map_rows(rows, make, "a long, b long, linked boolean, lacks long, adds long, size long, extra binary")
+    return map_rows(rows, make, "a long, b long, linked boolean, lacks long, adds long, size long, diff binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -227,31 +228,49 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return compared(pairs, sets, percent).filter("linked").select("a", "b")
 
 
-def around_centres(tried: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes in different components that were tried against the same centre and may be linked."""
-    named = tried.join(component.withColumnRenamed("node", "b"), "b", "left").withColumn("c", F.coalesce("component", "b"))
-    apart = named.filter("not linked").select(F.col("a").alias("centre")).distinct()
-    named = named.withColumnRenamed("a", "centre").join(apart, "centre", "left_semi")
+def around_homes(homed: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) between classes with the same home (``homed`` is ``compared`` pairs of a home and a class) in different
+    components."""
+    named = homed.join(component.withColumnRenamed("node", "b"), "b", "left").withColumn("c", F.coalesce("component", "b"))
+    apart = named.filter("not linked").select(F.col("a").alias("home")).distinct()
+    own = ["home", "id", "c", "linked", "lacks", "adds", "size", "diff"]
+    named = saved(named.withColumnRenamed("a", "home").withColumnRenamed("b", "id").join(apart, "home", "left_semi").select(*own), "homed")
 
     def make():
         def work(batch):
-            parts = [np.frombuffer(x.as_py(), dtype=np.int64) for x in batch.column(4)]
+            parts = [np.frombuffer(x.as_py(), dtype=np.int64) for x in batch.column(5)]
             times = [len(p) for p in parts]
-            if not sum(times):
-                return None
-            return [np.repeat(np.asarray(batch.column(k)), times) for k in range(4)] + [np.concatenate(parts)]
+            return [np.repeat(np.asarray(batch.column(k)), times) for k in range(5)] + [np.concatenate(parts)] if sum(times) else None
 
         return work
 
-    items = map_rows(named.select("centre", "b", "c", F.col("linked").cast("int"), "extra"), make, "centre long, id long, c long, linked int, item long")
-    left = items.filter("linked = 0").select("centre", "item", F.col("id").alias("a"), F.col("c").alias("ca"))
-    right = items.select("centre", "item", F.col("id").alias("b"), F.col("c").alias("cb"), "linked")
-    sharing = left.join(right, ["centre", "item"]).filter("ca <> cb and (linked = 1 or a < b)").select("a", "b").distinct()
-    # 100 (1 + t) min(r) >= 100 X, in whole numbers; v lacks more than it adds
-    short = named.filter("not linked").select("centre", F.col("b").alias("a"), F.col("c").alias("ca"), F.col("lacks").alias("ra"), (100 * F.col("lacks") + percent * F.col("adds") - (100 - percent) * F.col("size")).alias("due"))
-    less = named.filter("lacks > adds").select("centre", "b", F.col("c").alias("cb"), F.col("lacks").alias("rb"), F.col("adds").alias("ab"))
-    lacking = short.join(less, "centre").filter(f"ca <> cb and {100 + percent} * least(ra, rb) >= due + 100 * rb + {percent} * ab").select("a", "b")
-    return sharing.union(lacking.select(F.col("a"), F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # an item of D_v counts if it is not among the m - 1 most common
+    room = F.expr(f"lacks + adds - greatest(1, ceil(({percent} * adds + 100 * lacks) / {100 + percent})) + 1")
+    items = map_rows(named.select("home", "id", "c", F.col("linked").cast("int"), room.cast("int").alias("room"), "diff"), make, "home long, id long, c long, linked int, room int, item long")
+    often = items.groupBy("home", "item").agg(F.count("*").alias("times"), F.sum(1 - F.col("linked")).alias("open")).filter("times > 1 and open > 0")
+    shared = items.join(often.select("home", "item", "times"), ["home", "item"])
+    left = shared.filter("linked = 0").select("home", "item", F.col("id").alias("a"), F.col("c").alias("ca"))
+    per_class = shared.groupBy("home", "id", "c", "room").agg(F.sort_array(F.collect_list(F.struct("times", "item"))).alias("by"))
+    alone = named.select("home", "id", (F.col("lacks") + F.col("adds")).alias("all"))
+    first = F.slice("by", F.lit(1), F.greatest(F.lit(0), F.col("room") - (F.col("all") - F.size("by")).cast("int")))  # items of its own stand before
+    right = per_class.join(alone, ["home", "id"]).select("home", F.col("id").alias("b"), F.col("c").alias("cb"), F.explode(first).alias("x")).select("home", "b", "cb", F.col("x.item").alias("item"))
+    pairs = left.join(right, ["home", "item"]).filter("ca <> cb").select("home", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda x: named.select("home", F.col("id").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("lacks", "adds", "diff")])
+    rows = pairs.join(side("a"), ["home", "a"]).join(side("b").join(named.select("home", F.col("id").alias("b"), "size"), ["home", "b"]), ["home", "b"])
+
+    def decide():
+        def work(batch):
+            keep = []
+            for k, (la, aa, da, lb, ab, db, size) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]))):
+                common = len(np.intersect1d(np.frombuffer(da, dtype=np.int64), np.frombuffer(db, dtype=np.int64), assume_unique=True))
+                both = size - la - lb + common
+                if 100 * both >= percent * (2 * size - la - lb + aa + ab - both):
+                    keep.append(k)
+            return [batch.column(0).take(keep), batch.column(1).take(keep)] if keep else None
+
+        return work
+
+    return map_rows(rows.select("a", "b", "lacksa", "addsa", "diffa", "lacksb", "addsb", "diffb", "size"), decide, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -280,31 +299,34 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     sizes = f"least(na, nb) * 100 >= greatest(na, nb) * {percent}"
     least = percent / 100 - MARGIN
 
-    # first pass: each class against one centre
+    # first pass: each class against its home and the nearest centre
     stars = buckets.join(centres, "key").filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     hopeful = likely(stars, sketches, SAME_GROUP).join(known.select(F.col("id").alias("a"), "known"), "a")
-    rank = F.struct((F.col("est") >= percent / 100).alias("near"), "known", "est", (-F.col("a")).alias("m"))
-    first = saved(hopeful.groupBy("b").agg(F.max(rank).alias("best")).select((-F.col("best.m")).alias("a"), "b"), "first")
+    home, near = F.struct("known", "est", (-F.col("a")).alias("m")), F.struct("est", "known", (-F.col("a")).alias("m"))
+    best = saved(hopeful.groupBy("b").agg(F.max(home).alias("h"), F.max(near).alias("n")).select("b", (-F.col("h.m")).alias("home"), (-F.col("n.m")).alias("near"), "n.est"), "homes")
+    first = best.select(F.col("home").alias("a"), "b").union(best.filter(f"near <> home and est >= {least}").select(F.col("near").alias("a"), "b"))
     sets = saved(sets_of(docs, shingle, first.select(F.col("a").alias("id")).union(first.select("b")).distinct()), "sets").dropDuplicates(["id"])
     tried = saved(compared(first, sets, percent), "tried")
     links = tried.filter("linked").select("a", "b")
     found = components(links)
 
-    # second pass: what is not yet in one component, around the same centre or in the same bucket
-    around = around_centres(tried, found, percent)
+    # second pass: what is not yet in one component, around the same home or in the same bucket
+    homed = tried.join(best.select(F.col("home").alias("a"), "b"), ["a", "b"], "left_semi")
+    links = saved(links.union(around_homes(homed, found, percent)), "around")
+    found = components(links)
     named = buckets.select("key", "id").join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    named = saved(named.join(first.select(F.col("b").alias("id"), F.col("a").alias("centre")), "id", "left").join(sketches.select("id", "n"), "id"), "named")
+    named = saved(named.join(best.select(F.col("b").alias("id"), "home"), "id", "left").join(sketches.select("id", "n"), "id"), "named")
     parts = named.groupBy("key", "c").agg(F.count("*").alias("rows")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("rows", "c")).alias("top"))
     open_ = parts.filter("parts > 1").select("key", F.col("top.c").alias("top"))
     members = named.join(open_, "key")
     members = members.join(members.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
-    side = lambda x: [F.col(c).alias(f"{c}{x}") for c in ("c", "centre", "n", "keys")]
+    side = lambda x: [F.col(c).alias(f"{c}{x}") for c in ("c", "home", "n", "keys")]
     few = members.filter("c <> top").select("key", F.col("id").alias("a"), *side("a"))
     all_ = members.select("key", F.col("id").alias("b"), *side("b"), (F.col("c") == F.col("top")).alias("main"))
-    apart = "coalesce(centrea <> centreb, true) and coalesce(centrea <> b, true) and coalesce(centreb <> a, true)"
+    apart = "coalesce(homea <> homeb, true) and coalesce(homea <> b, true) and coalesce(homeb <> a, true)"
     once = "array_min(array_intersect(keysa, keysb)) = key"  # a pair comes from one of the buckets it shares
     crossing = few.join(all_, "key").filter(f"ca <> cb and (main or a < b) and {apart} and {sizes} and {once}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = saved(likely(crossing.union(around).distinct(), sketches, least), "rest")
+    rest = saved(likely(crossing, sketches, least), "rest")
     if not rest.isEmpty():
         more = sets_of(docs, shingle, rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct())
         second = confirmed(rest, saved(more, "sets").dropDuplicates(["id"]), percent)

@@ -341,6 +341,40 @@ def test_near_duplicates(docs, texts, nothing):
     assert setsketch.near_duplicates(nothing).count() == 0
 
 
+def test_links_between_those_far_from_their_home(spark):
+    """Variants of one text in clusters that share their changes: many are not linked to the home but to each other."""
+    rng = random.Random(77)
+    base = prose(rng, 150).split()
+    rows = [(k, " ".join(w if rng.random() > 0.04 else f"n{rng.random()}" for w in base)) for k in range(30)]
+    for cluster in range(12):
+        changed = list(base)
+        for at in rng.sample(range(150), 8 + cluster):
+            changed[at] = f"c{cluster}x{rng.randrange(4)}"
+        for _ in range(6):
+            own = list(changed)
+            for at in rng.sample(range(150), rng.randrange(5)):
+                own[at] = f"o{rng.randrange(10)}"
+            rows.append((len(rows), " ".join(own)))
+    sets = {}
+    for doc, t in rows:
+        w = t.lower().split()
+        sets[doc] = {tuple(w[k : k + 2]) for k in range(len(w) - 1)}
+    root = {d: d for d in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    got = setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: top(d) for d in sets}
+    assert len(set(map(top, sets))) > 5  # and they are not all one
+
+
 def test_null_ids_among_copies(spark):
     rng = random.Random(8)
     a, b, c = prose(rng, 200), prose(rng, 200), prose(rng, 200)
