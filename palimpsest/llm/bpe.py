@@ -21,7 +21,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_rows, table
+from .common import beside, map_rows, table
 
 #: The pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -153,8 +153,8 @@ def encode_decode(df: DataFrame, text: str, path: str, keep: list[str], with_ids
     """``keep`` columns of each row with ids (binary, little-endian unsigned 32-bit), n_tokens, ids_sha256,
     decoded (the text of the ids) and decoded_sha256; without ids and decoded if not ``with_ids``.
 
-    A null text counts as empty: no ids. Repeated rows stay; an empty table gives an empty one. Columns
-    of the input that are not in ``keep`` go.
+    A null text counts as empty: no ids. Texts of any length are encoded whole. Repeated rows stay; an empty table gives an empty
+    one. Columns of the input that are not in ``keep`` go; one of ``keep`` named like a result gives way to it.
     """
     spark = df.sparkSession
     content = spark.sparkContext.broadcast(tokenizer_content(path))  # one vocabulary file, whatever the input
@@ -178,11 +178,8 @@ def encode_decode(df: DataFrame, text: str, path: str, keep: list[str], with_ids
 
         return work
 
-    fields = df.select(*keep).schema
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "n_tokens long, ids_sha256 string, decoded_sha256 string"] + ["ids binary, decoded string"] * with_ids)
-    from pyspark.sql import functions as F
-
-    return map_rows(df.select(F.col(text).alias("_text"), *keep), make, schema)
+    rows, schema = beside(df, text, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids)
+    return map_rows(rows, make, schema)
 
 
 def op8_bpe(spark, sf_dir, path: str | None = None):

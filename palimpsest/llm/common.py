@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are worked on in groups of about this many bytes, whatever the size of Arrow's batches.
 GROUP_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,22 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def beside(df: DataFrame, work: str, keep: list[str], outputs: str) -> tuple[DataFrame, str]:
+    """Column ``work`` of ``df`` first, under a name of its own, then ``keep``; and the schema of ``keep`` with ``outputs`` behind. A
+    column of ``keep`` that is named like an output (in any case) gives way to it."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import StructType
+
+    taken = {f.name.lower() for f in StructType.fromDDL(outputs)}
+    fields = [f for f in df.select(*keep).schema if f.name.lower() not in taken]
+    quoted = lambda name: "`" + name.replace("`", "``") + "`"
+    own = "_work"
+    while own in df.columns:
+        own += "_"
+    schema = ", ".join([*[f"{quoted(f.name)} {f.dataType.simpleString()}" for f in fields], outputs])
+    return df.select(F.col(work).alias(own), *[F.col(quoted(f.name)) for f in fields]), schema
+
+
 def groups_of(texts: list, limit: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
     """(start, end) of runs of texts of about ``limit`` characters; one long text is a run by itself."""
     start = size = 0
@@ -52,7 +69,8 @@ def groups_of(texts: list, limit: int = GROUP_BYTES) -> Iterator[tuple[int, int]
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list | None]], schema: str) -> DataFrame:
-    """``mapInArrow`` with one state a task: ``make`` returns a function from a batch to columns (or None)."""
+    """``mapInArrow`` with one state a task: ``make`` returns a function from a batch to columns (or None). Arrow's batches
+    are worked on in slices of about ``SLICE_BYTES``, so that a worker holds little more than one batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -61,8 +79,9 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list |
     def run(batches):
         work = make()
         for batch in batches:
-            if batch.num_rows:
-                columns = work(batch)
+            step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+            for start in range(0, batch.num_rows, step):
+                columns = work(batch.slice(start, step))
                 if columns is not None:
                     yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, kind)], schema=kind)
 

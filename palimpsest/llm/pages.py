@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from functools import lru_cache
 from hashlib import blake2b
 
 from pyspark.sql import DataFrame
@@ -28,35 +30,53 @@ ATTRIBUTES = r"""(?:[^>=]++|=\s*+"[^"]*+(?:(?<!=)"|"(?=[\s/>]))|=\s*+'[^']*+(?:(
 TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/><]*)({ATTRIBUTES})(>?)|<[!?/][^>]*+>""", re.S)
 MARKED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-NAMES = re.compile(r"[a-z]+")
 
 #: Element names of HTML by what they do here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp svg".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 TEXT_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dt dd td th tr tbody thead figcaption address".split())
-DROPPED = frozenset("head nav aside footer form dialog menu select button object audio video canvas map datalist".split())
+DROPPED = frozenset("head nav aside footer dialog menu select button object audio video canvas map datalist".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "option": {"option"}}
 LISTS = frozenset("ul ol dl table menu select".split())
-#: Words in class, id or role that name parts which are not the article.
+#: Words in class, id or role that name parts which are not the article, and words that say nothing beside them.
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside widget related"
     " footer contentinfo header masthead cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription signup login share sharing social"
     " comment comments commentlist disqus replies reply respond search complementary".split()
 )
+BESIDE = frozenset(
+    "site page top bottom left right upper lower main primary secondary global local box bar block container wrapper wrap inner outer list item items links link section area slot unit panel"
+    " zone region row col column group holder content body buttons button icons form posts articles stories tags bg fixed sticky mobile desktop small large js is has the my our".split()
+)
 IN_ARTICLE = frozenset(["header"])
+#: What a form holds that is the page and not a part of it.
+WHOLE = re.compile(r"<(?:article|main|h1)[\s>]")
+UPPER = re.compile(r"[A-Z]+")
+
+
+@lru_cache(4096)
+def names_of(value: str) -> frozenset[str]:
+    """The boilerplate words of a class, id or role: of each name (between blanks) that has no words but these and ones that
+    say nothing. "share-buttons" and "siteHeader" are such names, "share-price" is not."""
+    out: set[str] = set()
+    for name in value.split():
+        words = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", name)}
+        if words & BOILERPLATE and words <= BOILERPLATE | BESIDE:
+            out |= words & BOILERPLATE
+    return frozenset(out)
 
 
 def boilerplate(tag: str, attributes: str, in_main: bool) -> bool:
     if tag in DROPPED or tag == "header" and not in_main:
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "article", "main", "form"):
         return False
     if HIDDEN.search(attributes):
         return True
     for m in MARKED.finditer(attributes):
-        names = set(NAMES.findall((m[2] or m[3] or m[4] or "").lower()))
-        if names & BOILERPLATE and not (in_main and names & BOILERPLATE <= IN_ARTICLE):
+        names = names_of(m[2] or m[3] or m[4] or "")
+        if names and not (in_main and names <= IN_ARTICLE):
             return True
     return False
 
@@ -66,11 +86,15 @@ class Page:
     Subtrees whose hash is in ``recurring`` leave no blocks."""
 
     def __init__(self, source: str, recurring: frozenset[int] = frozenset()):
+        self.source, self._low = source, ""
         self.blocks: list[tuple[str, bool]] = []
+        self.n_main = 0  # blocks in the article
         self.hashes: set[int] = set()
         self.recurring = recurring
-        # [tag, what its hash is of, first block, dropped, in article]
-        self.stack: list[list] = [["", [], 0, False, False]]
+        # [tag, what its hash is of, first block, dropped, in article, blocks in the article before]
+        self.stack: list[list] = [["", [], 0, False, False, 0]]
+        self.open: Counter = Counter()
+        self.inline: dict[str, dict[int, int]] = {}
         self.line: list[str] = []
         self.any_main = False
         self._walk(source)
@@ -78,6 +102,11 @@ class Page:
         while len(self.stack) > 1:
             self._close()
 
+    def low(self) -> str:
+        """The page with A-Z in lower case; places stay."""
+        self._low = self._low or (self.source.lower() if self.source.isascii() else UPPER.sub(lambda m: m[0].lower(), self.source))
+        return self._low
+
     def _flush(self) -> None:
         if self.line:
             text = " ".join("".join(self.line).split())
@@ -87,9 +116,11 @@ class Page:
                 top[1].append(text)
                 if not top[3]:
                     self.blocks.append((text, top[4]))
+                    self.n_main += top[4]
 
     def _close(self) -> None:
-        tag, parts, first, dropped, in_main = self.stack.pop()
+        tag, parts, first, dropped, in_main, mains = self.stack.pop()
+        self.open[tag] -= 1
         if not parts:
             return
         h = blake2b(("\x1f".join([tag, *parts])).encode("utf-8", "surrogatepass"), digest_size=8).digest()
@@ -99,32 +130,34 @@ class Page:
         name = int.from_bytes(h, "little", signed=True)
         if name:
             self.hashes.add(name)
-        if name in self.recurring and not any(m for _, m in self.blocks[first:] if not in_main):
+        if name in self.recurring and (in_main or self.n_main == mains):
             del self.blocks[first:]
+            self.n_main = mains
 
     def _end(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][0] == tag:
-                while len(self.stack) > k:
-                    self._close()
-                return
+        if self.open[tag]:
+            while self.stack[-1][0] != tag:
+                self._close()
+            self._close()
 
-    def _begin(self, tag: str, attributes: str) -> None:
+    def _begin(self, tag: str, attributes: str, drop: bool) -> None:
         if any(f[0] == "p" for f in self.stack[-3:]):
             self._end("p")
-        for k in range(len(self.stack) - 1, 0, -1):  # an item ends the one before it in the same list
-            if self.stack[k][0] in LISTS:
-                break
-            if self.stack[k][0] in CLOSES.get(tag, ()):
-                while len(self.stack) > k:
-                    self._close()
+        if any(self.open[c] for c in CLOSES.get(tag, ())):
+            for k in range(len(self.stack) - 1, 0, -1):  # an item ends the one before it in the same list
+                if self.stack[k][0] in LISTS:
+                    break
+                if self.stack[k][0] in CLOSES[tag]:
+                    while len(self.stack) > k:
+                        self._close()
         top = self.stack[-1]
         main = top[4] or (not top[3] and (tag in ("article", "main") or "role" in attributes and re.search(r"role\s*=\s*[\"']?main\b", attributes) is not None))
         self.any_main |= main
-        self.stack.append([tag, [], len(self.blocks), top[3] or boilerplate(tag, attributes, top[4]), main])
+        self.open[tag] += 1
+        self.stack.append([tag, [], len(self.blocks), top[3] or drop or boilerplate(tag, attributes, top[4]), main, self.n_main])
 
     def _walk(self, source: str) -> None:
-        at, last, low = 0, source.rfind(">") + 1, None
+        at, last, form_end, whole = 0, source.rfind(">") + 1, -1, -1
         while True:
             m = TOKEN.search(source, at) if at < last else None
             if m is None:
@@ -141,17 +174,13 @@ class Page:
                 continue
             tag = m[2].lower()
             if m[1]:
-                if tag in BLOCK:
-                    self._flush()
-                    self._end(tag)
-                elif tag in DROPPED:
+                if tag in BLOCK or tag in DROPPED:
                     self._flush()
                     self._end(tag)
             elif tag in RAW:
                 if not m[3].rstrip().endswith("/"):
-                    low = low or source.lower()
-                    end = low.find("</" + tag, at)
-                    close = low.find(">", end) if end >= 0 else -1
+                    end = self.low().find("</" + tag, at)
+                    close = source.find(">", end) if end >= 0 else -1
                     at = close + 1 if close >= 0 else len(source)
             elif tag == "br":
                 self.line.append(" ")
@@ -160,21 +189,35 @@ class Page:
                     self._flush()
             elif tag in BLOCK or tag in DROPPED:
                 self._flush()
-                self._begin(tag, m[3])
+                drop = False
+                if tag == "form":  # dropped unless the whole page is in it
+                    if form_end < at:
+                        form_end = self.low().find("</form", at)
+                        form_end = len(source) if form_end < 0 else form_end
+                    if whole < at:
+                        found = WHOLE.search(self.low(), at)
+                        whole = found.start() if found else len(source)
+                    drop = whole >= form_end
+                self._begin(tag, m[3], drop)
             elif m[3] and not m[3].rstrip().endswith("/") and boilerplate(tag, m[3], self.stack[-1][4]):
                 self.line.append(" ")
-                low = low or source.lower()
-                at = self._skip(low, tag, at)
+                at = self._skip(tag, m.start(), at)
 
-    def _skip(self, low: str, tag: str, at: int) -> int:
+    def _skip(self, tag: str, start: int, at: int) -> int:
         """Past the end of an inline element that is dropped; where it does not end, past its start."""
-        depth, here = 1, at
-        for m in re.finditer(rf"<(/?){re.escape(tag)}\b", low[at:]):
-            depth += -1 if m[1] else 1
-            if not depth:
-                end = low.find(">", at + m.end())
-                return end + 1 if end >= 0 else len(low)
-        return here
+        if tag not in self.inline:  # all elements of this name are matched at once
+            ends, begun = {}, []
+            for m in re.finditer(rf"<(/?){re.escape(tag)}\b", self.low()):
+                if not m[1]:
+                    begun.append(m.start())
+                elif begun:
+                    ends[begun.pop()] = m.end()
+            self.inline[tag] = ends
+        end = self.inline[tag].get(start)
+        if end is None:
+            return at
+        close = self.source.find(">", end)
+        return close + 1 if close >= 0 else len(self.source)
 
     def _text(self, text: str) -> None:
         self.line.append(entities.unescape(text) if "&" in text else text)
@@ -208,11 +251,14 @@ def templates(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
 def main_text(df: DataFrame, keep: list[str], url: str = "url", html: str = "html") -> DataFrame:
     """``keep`` columns of every page with text (blocks joined by line feeds; empty if there is none).
 
-    A null or empty page has an empty text. Pages without a readable host are not compared with each other; pages
-    of one host with the same html count as one. An empty table gives an empty one.
+    A null or empty page has an empty text; a page of any length is read whole. Pages without a readable host are not compared with
+    each other; pages of one host with the same html count as one. A column of ``keep`` named text gives way. An empty table gives an
+    empty one.
     """
-    pages = df.select(*keep, host(F.col(url)).alias("host"), F.col(html).alias("html"), F.xxhash64(html).alias("page"))
-    rows = pages.join(templates(pages), ["host", "page"], "left").select("html", "recurring", *keep)
+    keep = [c for c in keep if c.lower() != "text"]
+    own = [f"_c{k}" for k in range(len(keep))]
+    pages = df.select(*[F.col(c).alias(o) for c, o in zip(keep, own)], host(F.col(url)).alias("host"), F.col(html).alias("html"), F.xxhash64(html).alias("page"))
+    rows = pages.join(templates(pages), ["host", "page"], "left").select("html", "recurring", *own)
 
     def make():
         def work(batch):
@@ -224,8 +270,9 @@ def main_text(df: DataFrame, keep: list[str], url: str = "url", html: str = "htm
 
         return work
 
-    fields = df.select(*keep).schema
-    return map_rows(rows, make, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "text string"]))
+    fields = rows.select(*own).schema
+    out = map_rows(rows, make, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "text string"]))
+    return out.select(*[F.col(o).alias(c) for o, c in zip(own, keep)], "text")
 
 
 def op5_pages(spark, sf_dir):

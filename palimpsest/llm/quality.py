@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, saved, table
+from .common import beside, map_rows, saved, table
 
 #: Labelled rows that a list is learned from at most, the first by a hash of their id.
 MOST_LABELS = 20_000
@@ -48,7 +48,9 @@ def counts(text: str) -> tuple[int, ...]:
 
 
 def statistics(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns with the counts of each text; a null text has none of anything."""
+    """``keep`` columns with the counts of each whole text; a null text has none of anything. A column of ``keep`` named like a
+    count gives way to it."""
+
     def make():
         def work(batch):
             rows = [counts(t.as_py() or "") for t in batch.column(0)]
@@ -56,9 +58,8 @@ def statistics(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
         return work
 
-    fields = df.select(*keep).schema
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], COUNTS])
-    return map_rows(df.select(F.col(text).alias("_text"), *keep), make, schema)
+    rows, schema = beside(df, text, keep, COUNTS)
+    return map_rows(rows, make, schema)
 
 
 def features() -> dict[str, Column]:
@@ -165,9 +166,11 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def fit(stats: DataFrame, labels: DataFrame, doc_id: str = "doc_id", most: int = MOST_LABELS) -> list[Rule]:
-    """Rules from the rows of ``stats`` that ``labels`` (doc_id, quality 0/1) covers, ``most`` at most."""
+    """Rules from the rows of ``stats`` that ``labels`` (doc_id, quality 0/1) covers, ``most`` at most. Labels of an id that
+    contradict each other are not used."""
     named = features()
-    known = labels.filter(F.col("quality").isNotNull()).select(doc_id, "quality").dropDuplicates([doc_id])
+    known = labels.filter(F.col("quality").isNotNull()).groupBy(doc_id).agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
+    known = known.filter("quality = most").select(doc_id, "quality")
     sample = stats.join(known, doc_id).select(doc_id, "quality", *[c.alias(f"f_{f}") for f, c in named.items()])
     rows = sample.orderBy(F.xxhash64(doc_id), doc_id).limit(most).toPandas()
     if not len(rows):
@@ -181,6 +184,13 @@ def judged(stats: DataFrame, rules: list[Rule]) -> DataFrame:
     return stats.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
+def kept(df: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """The rows of ``df`` that are kept, with all their columns, whatever their names."""
+    own = df.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(df.columns)])
+    judged_ = judged(statistics(own, own.columns, f"_c{df.columns.index(text)}"), rules)
+    return judged_.filter("kept").select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(df.columns)])
+
+
 def op6_quality_rules(spark, sf_dir):
     """The verdict on every document, by rules learned from the labels.
 

@@ -43,10 +43,8 @@ STEP = 1.001
 MARGIN = 0.12
 #: A class has its home at a centre that its estimate is so near to.
 SAME_GROUP = 0.5
-#: Bits of the map of documents whose sets are needed; others are sent at most once more than needed.
-MAP_BITS = 1 << 24
-#: Ids from here on stand for null ones.
-RESERVED = 1 << 62
+#: Bits at most of the map of documents whose sets are needed: 16 for each, 16 MB together; some others share a bit and are sent in vain.
+MOST_BITS = 1 << 27
 
 _rng = np.random.default_rng(19)
 FLIP = _rng.integers(0, 1 << 32, (REGISTERS, 1), dtype=np.uint32)
@@ -109,29 +107,29 @@ def estimates(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> n
     return grid[np.argmax(like, axis=0), 0]
 
 
-def reserved(text: F.Column) -> F.Column:
-    """The id that stands for a null one: ``RESERVED`` or more, the same for equal texts."""
-    return F.xxhash64(text).bitwiseAND(F.lit(RESERVED - 1)).bitwiseOR(F.lit(RESERVED))
+def set_names(sets: list[np.ndarray]) -> tuple[list[int], list[int], list[int]]:
+    """How many items each set has, and two sums of hashes of them: together they tell sets apart."""
+    sums = lambda x: int(x.sum(dtype=np.uint64).view(np.int64)) if len(x) else 0
+    return [len(x) for x in sets], [sums(x) for x in sets], [sums(mixed(x ^ np.uint64(0xA5A5A5A5A5A5A5A5))) for x in sets]
 
 
 def sketched(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, named, n, h1, h2, sketch) of each row of ``docs`` (doc_id, named, text); h1 and h2 tell sets apart."""
+    """(doc_id, text_hash, n, h1, h2, sketch) of each row of ``docs`` (doc_id, text_hash, text)."""
 
     def make():
         def work(batch):
-            texts = [t.as_py() or "" for t in batch.column(1)]
-            n, h1, h2, sketch = [], [], [], []
+            texts = [t.as_py() or "" for t in batch.column(2)]
+            names, sketch = ([], [], []), []
             for a, b in groups_of(texts):
-                for items in shingle_sets([t.encode().lower() for t in texts[a:b]], k):
-                    n.append(len(items))
-                    h1.append(int(items.sum(dtype=np.uint64).view(np.int64)) if len(items) else 0)
-                    h2.append(int(mixed(items ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) if len(items) else 0)
-                    sketch.append(registers(items).tobytes())
-            return [batch.column(0), batch.column(2), n, h1, h2, sketch]
+                sets = shingle_sets([t.encode().lower() for t in texts[a:b]], k)
+                for column, x in zip(names, set_names(sets)):
+                    column += x
+                sketch += [registers(x).tobytes() for x in sets]
+            return [batch.column(0), batch.column(1), *names, sketch]
 
         return work
 
-    return map_rows(docs.select("doc_id", "text", "named"), make, "doc_id long, named boolean, n long, h1 long, h2 long, sketch binary")
+    return map_rows(docs.select("doc_id", "text_hash", "text"), make, "doc_id long, text_hash long, n long, h1 long, h2 long, sketch binary")
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -166,36 +164,38 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return map_rows(rows, make, "a long, b long, est double")
 
 
-def needed(ids: DataFrame) -> np.ndarray:
-    """A map of ``MAP_BITS`` bits (its size does not depend on the input) of the ids of a one-column table."""
-    slot = F.pmod(F.xxhash64(ids.columns[0]), F.lit(MAP_BITS))
-    words = ids.select(slot.alias("s")).groupBy(F.expr("s div 64").cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
-    out = np.zeros(MAP_BITS // 64, dtype=np.uint64)
-    for w, bits in words.collect():  # one row for 64 bits of the map at most
-        out[w] = np.uint64(bits & 0xFFFFFFFFFFFFFFFF)
+def needed(slots: DataFrame, bits: int) -> np.ndarray:
+    """A map of ``bits`` bits of the slots in a table (slot)."""
+    words = slots.groupBy((F.col("slot") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))).alias("bits"))
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    for w, x in words.collect():  # one row for 64 bits of the map at most
+        out[w] = np.uint64(x & 0xFFFFFFFFFFFFFFFF)
     return out
 
 
-def sets_of(docs: DataFrame, k: int, ids: DataFrame) -> DataFrame:
-    """(id, items): the packed sorted shingle hashes of the rows of ``docs`` in ``ids`` (and a few others)."""
-    sent = docs.sparkSession.sparkContext.broadcast(needed(ids))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
+def sets_of(docs: DataFrame, k: int, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, items): the packed sorted shingle hashes of the ``classes`` in ``ids``, from the texts that stand for them."""
+    wanted_ = saved(classes.drop("sketch").join(ids.distinct(), "id", "left_semi"), "wanted")
+    size = min(MOST_BITS, max(1 << 12, 1 << (16 * wanted_.count()).bit_length()))
+    slot = lambda d: F.pmod(F.xxhash64(d, "text_hash"), F.lit(size)).alias("slot")
+    sent = docs.sparkSession.sparkContext.broadcast(needed(wanted_.select(slot("doc")), size))
 
     def make():
         bits = sent.value
 
         def work(batch):
-            slots = np.asarray(batch.column(2))
+            slots = np.asarray(batch.column(1))
             wanted = np.flatnonzero(bits[slots // 64] >> (slots % 64).astype(np.uint64) & np.uint64(1)).tolist()
             if not wanted:
                 return None
-            texts = [batch.column(1)[i].as_py() or "" for i in wanted]
-            items = [s.tobytes() for a, b in groups_of(texts) for s in shingle_sets([t.encode().lower() for t in texts[a:b]], k)]
-            return [batch.column(0).take(np.array(wanted)), items]
+            texts = [batch.column(0)[i].as_py() or "" for i in wanted]
+            sets = [s for a, b in groups_of(texts) for s in shingle_sets([t.encode().lower() for t in texts[a:b]], k)]
+            return [*set_names(sets), [s.tobytes() for s in sets]]
 
         return work
 
-    return map_rows(docs.select("doc_id", "text", slot.alias("slot")), make, "id long, items binary")
+    rows = map_rows(docs.select("text", slot("doc_id")), make, "n long, h1 long, h2 long, items binary")
+    return saved(rows.join(wanted_.select("n", "h1", "h2", "id"), ["n", "h1", "h2"]).select("id", "items"), "sets").dropDuplicates(["id"])
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -278,17 +278,18 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     ``shingle``-word shingles (ASCII lower case; with fewer words the whole sequence) have 100 * intersection >=
     ``percent`` * union; component_id is the smallest id reachable over links, kept where it is the row's own.
 
-    Null and empty texts, and texts without words, have no shingles and are linked with nothing. Ids are whole
-    numbers; rows of one id are one document if their texts have one set. A row
-    with a null id is linked like any other but comes after all ids (below 2^62): its component_id is the smallest id of its
-    component, or null where there is none; rows with null ids and equal texts are one document. An empty table gives an empty one; other columns of the
-    input do not come back.
+    Null and empty texts, and texts without words, have no shingles and are linked with nothing. A text of any length is worked
+    on whole. Ids are whole numbers; rows of one id with different texts are linked each by its own. A row with a null id is linked like
+    any other, but its component_id is the smallest id of its component, or null where there is none; there, the rows of one of
+    the sets are kept. text_hash tells rows of one id apart. An empty table gives an empty one; other columns
+    of the input do not come back, whatever their names.
     """
-    known_id = F.col(doc_id).cast("long")
-    docs = df.select(F.coalesce(known_id, reserved(F.col(text))).alias("doc_id"), known_id.isNotNull().alias("named"), F.col(text).alias("text"))
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
     rows = saved(sketched(docs, shingle), "sketches")
-    same = rows.filter("n > 0").groupBy("h1", "h2", "n")
-    classes = saved(same.agg(F.min(F.struct("doc_id", "sketch")).alias("s")).select("h1", "h2", "n", F.col("s.doc_id").alias("id"), F.col("s.sketch").alias("sketch")), "classes")
+    # one row stands for a class: the smallest id's, null ones last
+    stands = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash", "sketch")).alias("s")
+    classes = rows.filter("n > 0").groupBy("h1", "h2", "n").agg(stands).select("h1", "h2", "n", F.col("s.doc_id").alias("doc"), F.col("s.text_hash").alias("text_hash"), F.col("s.sketch").alias("sketch"))
+    classes = saved(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     sketches = classes.select("id", "n", "sketch")
 
     bands = banded(sketches)
@@ -305,7 +306,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     home, near = F.struct("known", "est", (-F.col("a")).alias("m")), F.struct("est", "known", (-F.col("a")).alias("m"))
     best = saved(hopeful.groupBy("b").agg(F.max(home).alias("h"), F.max(near).alias("n")).select("b", (-F.col("h.m")).alias("home"), (-F.col("n.m")).alias("near"), "n.est"), "homes")
     first = best.select(F.col("home").alias("a"), "b").union(best.filter(f"near <> home and est >= {least}").select(F.col("near").alias("a"), "b"))
-    sets = saved(sets_of(docs, shingle, first.select(F.col("a").alias("id")).union(first.select("b")).distinct()), "sets").dropDuplicates(["id"])
+    sets = sets_of(docs, shingle, classes, first.select(F.col("a").alias("id")).union(first.select("b")))
     tried = saved(compared(first, sets, percent), "tried")
     links = tried.filter("linked").select("a", "b")
     found = components(links)
@@ -328,20 +329,22 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     crossing = few.join(all_, "key").filter(f"ca <> cb and (main or a < b) and {apart} and {sizes} and {once}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = saved(likely(crossing, sketches, least), "rest")
     if not rest.isEmpty():
-        more = sets_of(docs, shingle, rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct())
-        second = confirmed(rest, saved(more, "sets").dropDuplicates(["id"]), percent)
+        second = confirmed(rest, sets_of(docs, shingle, classes, rest.select(F.col("a").alias("id")).union(rest.select("b"))), percent)
         found = components(links.union(saved(second, "confirmed")))
 
-    ends = classes.join(found, classes["id"] == found["node"], "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component_id"))
-    out = rows.join(ends, ["h1", "h2", "n"], "left").select("doc_id", "named", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    unnamed = ~F.col("named") & (F.col("component_id") >= RESERVED)
-    return out.select(F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), "n_shingles", F.when(~unnamed, F.col("component_id")).alias("component_id"), "kept")
+    ends = classes.join(found, classes["id"] == found["node"], "left").select("h1", "h2", "n", "id", "doc", F.coalesce("component", "id").alias("c"))
+    firsts = ends.groupBy("c").agg(F.min("doc").alias("component_id"), F.min("id").alias("least"))
+    ends = ends.join(firsts, "c").select("h1", "h2", "n", "component_id", (F.col("id") == F.col("least")).alias("head"))
+    alone = F.col("n_shingles") == 0
+    out = rows.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "h1", "h2").join(ends.withColumnRenamed("n", "n_shingles"), ["h1", "h2", "n_shingles"], "left")
+    out = out.withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")))
+    kept = F.when(alone, True).when(F.col("component_id").isNull(), F.col("head")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash")
 
 
 def op7_near_dedup(spark, sf_dir):
     """Near-duplicate components of all documents on two-word shingles."""
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2).drop("text_hash")
 
 
 ORACLE = r"""
