@@ -18,30 +18,27 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base test and the learned rules keep."""
+    """Documents that the base test and the learned rules keep. Null and empty texts have no words and go; texts of any length are
+    judged whole; repeated rows are judged alike. Rules are learned from the rows whose id has one label. An empty table stays empty."""
     learned = quality.fit(saved(quality.statistics(docs, ["doc_id"]), "quality"), table(spark, sf_dir, "labels"))
-    judged = quality.judged(quality.statistics(docs.withColumn("_text", F.col("text")), docs.columns, "_text"), learned)
-    return judged.filter("kept").select(*docs.columns)
+    return quality.kept(docs, learned)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near copies, on five-word shingles at a similarity of 0.8. A document without an id
-    stays if its group has none with an id, once for each text."""
-    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), setsketch.reserved(F.col("text"))))
-    kept = setsketch.near_duplicates(named, "_id").filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    left = named.join(kept, "_id", "left_semi")
-    nameless = left.filter("doc_id is null").dropDuplicates(["_id"])
-    return left.filter("doc_id is not null").unionByName(nameless).select(*docs.columns)
+    """The smallest id of each group of near copies, on five-word shingles at a similarity of 0.8; texts of any length are compared whole.
+    Rows of one id with different texts are documents of their own; equal rows stay once. A document without an id stays if its group has none
+    with an id, once for each text. Texts without words are nobody's copies. An empty table stays empty."""
+    kept = setsketch.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept"), "text_hash").distinct()
+    named = docs.withColumn("_hash", F.xxhash64("text"))
+    left = named.join(kept, named["doc_id"].eqNullSafe(kept["_kept"]) & (named["_hash"] == kept["text_hash"]), "left_semi")
+    return left.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced by its kind."""
-    patterns = pii.accepted(saved(pii.scanned(docs, ["doc_id"]).filter("size(found) > 0"), "candidates"))
-    found = pii.scanned(docs.withColumn("_text", F.col("text")), docs.columns, "_text")
-    spans = pii.all_spans(patterns)
-    hit = F.size(spans) > 0
-    text = pii.redact(F.col("text"), spans)
-    return found.withColumns({"text": text, "n_chars": F.when(hit, F.char_length(text).cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    """All documents, personal data in their whole texts replaced by its kind. Null texts stay null; repeated rows are treated alike; an
+    empty table stays empty."""
+    found = pii.scanned(docs, ["doc_id"]).select("found").filter("size(found) > 0")
+    return pii.redacted(docs, pii.accepted(saved(found, "candidates")))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
