@@ -12,11 +12,12 @@ the one with the most company of those not far by the estimate, and the nearest
 pairs a member, and most of a group of copies becomes one component around one home. The second pass looks for the links between
 what is in one bucket and not yet in one component:
 
-* Of classes u, v with the same home c, one, say u, is not linked to c. Let r be what a class lacks of c, a what
-  it has besides c, in numbers, and D both together. Then u and v are linked only if
-  (1 + t) |D_u and D_v| >= t (c + a_u + a_v) - (c - r_u - r_v), and as u is not linked to c this is more than t a_v + r_v. So at least
-  one item shared with u is among all but the m - 1 most common of D_v, m = (t a_v + r_v) / (1 + t): pairs are found by a join on
-  those, most of which are v's alone, and decided by their D's.
+* Of classes u, v with the same home c, one, say u, is not linked to c. Let r be what a class lacks of c, a what it adds, in numbers, and
+  q = t a + r. Then u and v are linked only if (1 + t) (shared r + shared a) >= q_u + q_v - (1 - t) c. What both lack is often the same, so
+  what they add decides: either (1 + t) least(r_u, r_v) alone is enough, which is told from numbers (by kinds of classes, not pair
+  by pair), or they share m or more of what they add, (1 + t) m >= q_u - (1 - t) c + t (a - r) for the least a - r around the home. Then one of them
+  is among all but the m - 1 most common that u adds: pairs are found by a join on those, most of which are u's alone, and decided by
+  what differs.
 * Classes with different homes are paired if they share a bucket, tried by the estimate and confirmed on the full sets.
 
 Nothing that shares a bucket and is not already connected is left out.
@@ -200,27 +201,28 @@ def sets_of(docs: DataFrame, k: int, classes: DataFrame, ids: DataFrame) -> Data
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The ``pairs`` (a, b) with linked (100 * intersection >= ``percent`` * union of the full sets), lacks (how much of a's set
-    b lacks), adds (how much b has besides), size (of a's set), and diff (what only one of them has, packed)."""
+    b lacks), adds (how much b has besides), size (of a's set), lacked and added (the same, packed)."""
     rows = pairs.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     rows = rows.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y")
 
     def make():
         def work(batch):
-            linked, lacks, adds, size, diff = [], [], [], [], []
+            linked, lacks, adds, size, lacked, added = [], [], [], [], [], []
             for x, y in zip(batch.column(2), batch.column(3)):
                 p, q = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)
-                only = np.setxor1d(p, q, assume_unique=True)
-                both = (len(p) + len(q) - len(only)) // 2
-                linked.append(100 * both >= percent * (both + len(only)))
-                lacks.append(len(p) - both)
-                adds.append(len(q) - both)
+                less, more = np.setdiff1d(p, q, assume_unique=True), np.setdiff1d(q, p, assume_unique=True)
+                both = len(p) - len(less)
+                linked.append(100 * both >= percent * (len(q) + len(less)))
+                lacks.append(len(less))
+                adds.append(len(more))
                 size.append(len(p))
-                diff.append(only.tobytes())
-            return [batch.column(0), batch.column(1), linked, lacks, adds, size, diff]
+                lacked.append(less.tobytes())
+                added.append(more.tobytes())
+            return [batch.column(0), batch.column(1), linked, lacks, adds, size, lacked, added]
 
         return work
 
-    return map_rows(rows, make, "a long, b long, linked boolean, lacks long, adds long, size long, diff binary")
+    return map_rows(rows, make, "a long, b long, linked boolean, lacks long, adds long, size long, lacked binary, added binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -233,44 +235,57 @@ def around_homes(homed: DataFrame, component: DataFrame, percent: int) -> DataFr
     components."""
     named = homed.join(component.withColumnRenamed("node", "b"), "b", "left").withColumn("c", F.coalesce("component", "b"))
     apart = named.filter("not linked").select(F.col("a").alias("home")).distinct()
-    own = ["home", "id", "c", "linked", "lacks", "adds", "size", "diff"]
+    own = ["home", "id", "c", "linked", "lacks", "adds", "size", "lacked", "added"]
     named = saved(named.withColumnRenamed("a", "home").withColumnRenamed("b", "id").join(apart, "home", "left_semi").select(*own), "homed")
+    due = f"({percent} * adds + 100 * lacks - {100 - percent} * size)"  # above 0 where a class is not linked to its home
 
+    # pairs that what both may lack is enough for, by kinds of classes
+    kinds = named.groupBy("home", "linked", "lacks", "adds", "size").agg(F.count("*").alias("rows")).select("home", "linked", "lacks", "adds", "size", F.expr(due).alias("due"))
+    kind = lambda x: kinds.select("home", *[F.col(c).alias(f"{c}{x}") for c in ("linked", "lacks", "adds", "size", "due")])
+    enough = kind("a").filter("not linkeda").join(kind("b"), "home").filter(f"{100 + percent} * least(lacksa, lacksb) >= duea + dueb + {100 - percent} * sizea")
+    member = lambda x: named.select("home", F.col("id").alias(x), F.col("c").alias(f"c{x}"), *[F.col(c).alias(f"{c}{x}") for c in ("linked", "lacks", "adds")])
+    on = lambda x: ["home", f"linked{x}", f"lacks{x}", f"adds{x}"]
+    lacking = enough.join(member("a"), on("a")).join(member("b"), on("b")).filter("ca <> cb").select("home", "a", "b")
+
+    # pairs that share what they add
     def make():
         def work(batch):
-            parts = [np.frombuffer(x.as_py(), dtype=np.int64) for x in batch.column(5)]
+            parts = [np.frombuffer(x.as_py(), dtype=np.int64) for x in batch.column(4)]
             times = [len(p) for p in parts]
-            return [np.repeat(np.asarray(batch.column(k)), times) for k in range(5)] + [np.concatenate(parts)] if sum(times) else None
+            return [np.repeat(np.asarray(batch.column(k)), times) for k in range(4)] + [np.concatenate(parts)] if sum(times) else None
 
         return work
 
-    # an item of D_v counts if it is not among the m - 1 most common
-    room = F.expr(f"lacks + adds - greatest(1, ceil(({percent} * adds + 100 * lacks) / {100 + percent})) + 1")
-    items = map_rows(named.select("home", "id", "c", F.col("linked").cast("int"), room.cast("int").alias("room"), "diff"), make, "home long, id long, c long, linked int, room int, item long")
-    often = items.groupBy("home", "item").agg(F.count("*").alias("times"), F.sum(1 - F.col("linked")).alias("open")).filter("times > 1 and open > 0")
-    shared = items.join(often.select("home", "item", "times"), ["home", "item"])
-    left = shared.filter("linked = 0").select("home", "item", F.col("id").alias("a"), F.col("c").alias("ca"))
-    per_class = shared.groupBy("home", "id", "c", "room").agg(F.sort_array(F.collect_list(F.struct("times", "item"))).alias("by"))
-    alone = named.select("home", "id", (F.col("lacks") + F.col("adds")).alias("all"))
-    first = F.slice("by", F.lit(1), F.greatest(F.lit(0), F.col("room") - (F.col("all") - F.size("by")).cast("int")))  # items of its own stand before
-    right = per_class.join(alone, ["home", "id"]).select("home", F.col("id").alias("b"), F.col("c").alias("cb"), F.explode(first).alias("x")).select("home", "b", "cb", F.col("x.item").alias("item"))
-    pairs = left.join(right, ["home", "item"]).filter("ca <> cb").select("home", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda x: named.select("home", F.col("id").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("lacks", "adds", "diff")])
-    rows = pairs.join(side("a"), ["home", "a"]).join(side("b").join(named.select("home", F.col("id").alias("b"), "size"), ["home", "b"]), ["home", "b"])
+    items = map_rows(named.select("home", "id", "c", F.col("linked").cast("int"), "added"), make, "home long, id long, c long, linked int, item long")
+    often = items.groupBy("home", "item").agg(F.count("*").alias("times"), F.sum(1 - F.col("linked")).alias("open")).filter("times > 1 and open > 0").select("home", "item", "times")
+    shared = items.join(often, ["home", "item"])
+    by = shared.filter("linked = 0").groupBy("home", "id", "c").agg(F.sort_array(F.collect_list(F.struct("times", "item"))).alias("by"))
+    least = named.groupBy("home").agg(F.min(F.col("adds") - F.col("lacks")).alias("least"))
+    m = F.expr(f"greatest(1, ceil(({due} + {percent} * least) / {100 + percent}))")
+    room = named.join(least, "home").select("home", "id", "adds", (F.col("adds") - m + 1).cast("int").alias("room"))
+    first = F.slice("by", F.lit(1), F.greatest(F.lit(0), F.col("room") - (F.col("adds").cast("int") - F.size("by"))))  # what it alone adds stands before
+    left = by.join(room, ["home", "id"]).select("home", F.col("id").alias("a"), F.col("c").alias("ca"), F.explode(first).alias("x")).select("home", "a", "ca", F.col("x.item").alias("item"))
+    right = shared.select("home", "item", F.col("id").alias("b"), F.col("c").alias("cb"))
+    sharing = left.join(right, ["home", "item"]).filter("ca <> cb").select("home", "a", "b")
+
+    pairs = lacking.union(sharing).select("home", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda x: named.select("home", F.col("id").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("lacks", "adds", "lacked", "added", "size")])
+    rows = pairs.join(side("a"), ["home", "a"]).join(side("b"), ["home", "b"]).select("a", "b", "sizea", *[f"{c}{x}" for x in "ab" for c in ("lacks", "adds", "lacked", "added")])
 
     def decide():
+        read = lambda x: np.frombuffer(x, dtype=np.int64)
+
         def work(batch):
             keep = []
-            for k, (la, aa, da, lb, ab, db, size) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]))):
-                common = len(np.intersect1d(np.frombuffer(da, dtype=np.int64), np.frombuffer(db, dtype=np.int64), assume_unique=True))
-                both = size - la - lb + common
-                if 100 * both >= percent * (2 * size - la - lb + aa + ab - both):
+            for k, (size, ra, aa, la, ma, rb, ab, lb, mb) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]))):
+                both = size - ra - rb + len(np.intersect1d(read(la), read(lb), assume_unique=True)) + len(np.intersect1d(read(ma), read(mb), assume_unique=True))
+                if 100 * both >= percent * (2 * size - ra - rb + aa + ab - both):
                     keep.append(k)
             return [batch.column(0).take(keep), batch.column(1).take(keep)] if keep else None
 
         return work
 
-    return map_rows(rows.select("a", "b", "lacksa", "addsa", "diffa", "lacksb", "addsb", "diffb", "size"), decide, "a long, b long")
+    return map_rows(rows, decide, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
