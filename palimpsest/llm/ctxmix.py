@@ -4,12 +4,15 @@ A text is a string of bytes (A-Z in lower case) and an end. Each byte is a walk
 on the byte before (a Huffman tree of what followed it in training), so a likely byte is few decisions. At every
 decision each hashed context (two bytes, four bytes, the word so far) predicts the bit from two counts;
 the predictions are mixed in the logistic domain by weights that a gate selects, the gate being how much the two
-longer contexts have seen. While a text is scored, a correction to the weights is learned online from its own bits.
+longer contexts have seen. All weights start alike and are learned online, from the first byte of each text to its last: what
+a text is scored with does not depend on other texts' places or on a sample.
+
+A last stage refines the mix adaptively: each word is expected by the bytes and, as a whole, by its count in training, the share of the
+latter being how often it has been nearer so far in the text.
 
 Training counts bits over all training texts: every task fills tables of a fixed number of slots, which Spark
-adds up slot by slot. The tables sent to tasks have that fixed size, whatever the corpus. The gated weights
-are fitted on all training texts, each text's own counts taken out of the tables first: tasks add up slopes by gate.
-A bounded sample only says where to start and how the slopes bend.
+adds up slot by slot. The tables sent to tasks have that fixed size, whatever the corpus. Word counts grow with the corpus; the
+most frequent words are sent to tasks, the counts of all others are joined, for both word models.
 """
 
 from __future__ import annotations
@@ -35,13 +38,9 @@ TABLE_BITS = (18, 22, 22)
 PART = 1 << 14
 #: Weights are corrected after so many bytes of a text, from its first to its last.
 STEP = 64
-RATE = 0.002
+RATE = 0.01
 #: Texts up to so many bytes are scored side by side, longer ones each alone, in blocks of so many.
 LONG = 1 << 14
-#: Bytes of training texts that the start of the fit is taken from at most.
-SAMPLE_BYTES = 800_000
-#: Passes over all training texts at most; one is enough where the sample is like the rest.
-PASSES = 4
 #: Most frequent words that every task holds; counts of others are joined.
 HEAD = 100_000
 END = 255
@@ -144,16 +143,17 @@ def count_bits(code: Code, raws: list[bytes], tables: list[np.ndarray]) -> None:
 
 
 def small_counts(counts: np.ndarray) -> np.ndarray:
-    """Two counts a slot as one 16-bit number: kept up to 255, else both divided so that the larger is 255."""
+    """Two counts a slot as one byte: how much the slot has seen (0 to 3) in two bits, and its logit in six."""
     pairs = counts.reshape(-1, 2).astype(np.float64)
-    top = pairs.max(axis=1)
-    scale = np.where(top > 255, 255 / np.maximum(top, 1), 1)[:, None]
-    small = np.where(pairs > 0, np.maximum(np.rint(pairs * scale), 1), 0).astype(np.uint16)
-    return small[:, 0] << 8 | small[:, 1]
+    zero, one = pairs[:, 0], pairs[:, 1]
+    total = zero + one
+    logit = np.log((one + 0.4) / (zero + 0.4)) * np.where((zero == 0) | (one == 0), 1 + (total >= 255) * 0.3, 1)
+    place = np.rint(np.sign(logit) * np.log1p(np.minimum(np.abs(logit), MOST)) / np.log1p(MOST) * 31) + 32
+    return (np.digitize(total, [1, 3, 16]).astype(np.uint8) << 6) | place.astype(np.uint8)
 
 
 def counted(train: DataFrame, code: Code) -> list[np.ndarray]:
-    """The tables of ``train`` (raw binary, any case): one 16-bit number a slot."""
+    """The tables of ``train`` (raw binary, any case): one byte a slot."""
     sent = train.sparkSession.sparkContext.broadcast(code)
 
     def fill(batches):
@@ -192,101 +192,75 @@ def counted(train: DataFrame, code: Code) -> list[np.ndarray]:
 
     rows = train.mapInArrow(fill, "part int, counts binary")
     n = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = [np.zeros(1 << b, dtype=np.uint16) for b in TABLE_BITS]
+    out = [np.full(1 << b, 32, dtype=np.uint8) for b in TABLE_BITS]
     for part, raw in rows.repartition(min(n, 256), "part").mapInArrow(add, "part int, counts binary").toLocalIterator():
-        x = np.frombuffer(zlib.decompress(raw), dtype=np.uint16)
+        x = np.frombuffer(zlib.decompress(raw), dtype=np.uint8)
         start = (part & 0xFFFF) * PART
         out[part >> 16][start : start + len(x)] = x
     return out
 
 
 # -- mixing -----------------------------------------------------------------------------------------------------------
-N0, N1 = np.arange(65536) >> 8, np.arange(65536) & 255
-#: The logit of each pair of counts, and how much it has seen (0 to 3).
-LOGIT = (np.log((N1 + 0.4) / (N0 + 0.4)) * np.where((N0 == 0) | (N1 == 0), 1 + (N0 + N1 >= 255) * 0.3, 1)).astype(np.float32)
-SEEN = np.digitize(N0 + N1, [1, 3, 16]).astype(np.uint8)
+#: The largest logit; the logits that a slot's low six bits stand for; and gates, of what two contexts have seen.
+MOST = 9.0
+LEVELS = (np.sign(np.arange(64) - 32) * np.expm1(np.abs(np.arange(64) - 32) / 31 * np.log1p(MOST))).astype(np.float32)
+LOGIT = np.tile(LEVELS, 4)
+GATES = 16
 SIGNS = len(TABLE_BITS) + 1
 BIAS = np.float32(0.3)
-#: What all gated weights start at, and how many decisions' worth they are pulled there.
-START, PULL = 0.4, 20.0
-#: Fitting ends when a step promises less than this part of the cost.
-ENOUGH = 1e-4
-
-
-class Slopes:
-    """How the log-likelihood of texts changes with the gated weights: ``first`` and, if ``curved``, (negative) ``second``
-    derivatives, decisions ``seen`` by gate, and the texts' ``cost``."""
-
-    def __init__(self, curved: bool = False):
-        self.first, self.seen, self.cost = np.zeros((16, SIGNS)), np.zeros(16), 0.0
-        self.second = np.zeros((16, SIGNS, SIGNS)) if curved else None
-
-    def add(self, gate: np.ndarray, error: np.ndarray, inputs: list) -> None:
-        self.seen += np.bincount(gate, minlength=16)
-        for k, x in enumerate(inputs):
-            self.first[:, k] += np.bincount(gate, weights=error * x, minlength=16)
-        if self.second is not None:
-            bend = np.abs(error) * (1 - np.abs(error))
-            for j, x in enumerate(inputs):
-                for k, y in enumerate(inputs[: j + 1]):
-                    self.second[:, j, k] += (both := np.bincount(gate, weights=bend * x * y, minlength=16))
-                    if j != k:
-                        self.second[:, k, j] += both
+#: What all weights start at.
+START = np.float32(0.4)
 
 
 class Model:
-    """Tables, tree and gated weights; ``weights`` has a row for each of 16 gates."""
+    """Tables and tree."""
 
-    def __init__(self, code: Code, tables: list[np.ndarray], weights: np.ndarray | None = None):
+    def __init__(self, code: Code, tables: list[np.ndarray]):
         self.code, self.tables = code, tables
-        self.weights = np.full((16, SIGNS), START, dtype=np.float32) if weights is None else weights
 
-    def _inputs(self, hashes: list[np.ndarray], at: np.ndarray, size: np.ndarray, place: np.ndarray, own: bool) -> tuple[list[np.ndarray], np.ndarray]:
+    def _inputs(self, hashes: list[np.ndarray], at: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """The contexts' logits at each decision, and its gate."""
         mix = self.code.mix.take(place, mode="clip")
         inputs, gate = [], None
-        for k, (h, bits, counts) in enumerate(zip(hashes, TABLE_BITS, self.tables)):
-            pair = counts.take(slots(np.repeat(h[at], size), mix, bits).astype(np.intp), mode="clip")
-            if own:  # what the text itself has counted goes
-                high = self.code.sign[place] > 0
-                pair = np.where(high, pair - ((pair & 255) > 0) * ((pair & 255) < 255), pair - (((pair >> 8) > 0) & ((pair >> 8) < 255)) * np.uint16(256)).astype(np.uint16)
-            inputs.append(LOGIT.take(pair, mode="clip"))
+        for k, (h, bits, table_) in enumerate(zip(hashes, TABLE_BITS, self.tables)):
+            seen = table_.take(slots(np.repeat(h[at], size), mix, bits).astype(np.intp), mode="clip")
+            inputs.append(LOGIT.take(seen, mode="clip"))
             if k:
-                seen = SEEN.take(pair, mode="clip")
+                seen >>= 6
                 gate = seen if gate is None else gate << 2 | seen
         return inputs, gate
 
-    def costs(self, raws: list[bytes], slopes: Slopes | None = None) -> np.ndarray:
-        """Bits times ln 2 of each text; with ``slopes`` the texts are training texts, and theirs are added to it."""
+    def costs(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """What each byte of ``laid_out`` costs, bits times ln 2 (0 for blanks before texts), summed up to it; and where each text starts."""
         data, starts = laid_out(raws)
         hashes = contexts(data)
         lengths = np.array([len(r) + 1 for r in raws], dtype=np.int64)
-        total = np.zeros(len(raws))
+        out = np.zeros(len(data) + 1)
         for k in np.flatnonzero(lengths > LONG).tolist():
-            total[k] = self._alone(data, hashes, int(starts[k]), int(starts[k] + lengths[k]), slopes)
+            self._alone(data, hashes, int(starts[k]), int(starts[k] + lengths[k]), out)
         doc = np.flatnonzero(lengths <= LONG)
         doc = doc[np.argsort(-lengths[doc], kind="stable")]  # longest first: those not yet at their end stay in front
         begin, end = starts[doc], starts[doc] + lengths[doc]
-        change = np.zeros((len(doc), SIGNS), dtype=np.float32)
-        cost = np.zeros(len(doc))
+        change = np.zeros((SIGNS, len(doc) * GATES), dtype=np.float32)
         for step in range(0, int(lengths[doc].max(initial=0)), STEP):
             live = int(np.searchsorted(begin - end, -step, side="left"))
             first = begin[:live] + step
             n = np.minimum(end[:live] - first, STEP)
             last = np.cumsum(n)
             at = np.arange(last[-1]) + np.repeat(first - (last - n), n)
-            symbols = data[at - 1].astype(np.int64) << 8 | data[at]
-            size, place = decisions(self.code, symbols)
-            bits_to = np.cumsum(size)[last - 1]
-            bits_from = np.concatenate([[0], bits_to[:-1]])
-            inputs, gate = self._inputs(hashes, at, size, place, slopes is not None)
+            size, place = decisions(self.code, data[at - 1].astype(np.int64) << 8 | data[at])
+            inputs, gate = self._inputs(hashes, at, size, place)
             sign = self.code.sign.take(place, mode="clip")
-            per_text = bits_to - bits_from
-            z = np.repeat(change[:live, -1], per_text)
-            z += self.weights[:, -1].take(gate)
+            ends = np.cumsum(size)
+            bits_to = ends[last - 1]
+            who = np.repeat(np.arange(live, dtype=np.intp) * GATES, np.diff(bits_to, prepend=0))
+            who += gate
+            z = change[-1].take(who, mode="clip")
+            z += START
             z *= BIAS
             for k, x in enumerate(inputs):
-                w = self.weights[:, k].take(gate)
-                w += np.repeat(change[:live, k], per_text)
+                w = change[k].take(who, mode="clip")
+                w += START
                 w *= x
                 z += w
             z *= sign
@@ -294,56 +268,51 @@ class Model:
             np.negative(z, out=z)
             np.exp(z, out=z)  # odds against the bit
             s = z + np.float32(1)
-            cost[:live] += np.add.reduceat(np.log(s), bits_from)
             z /= s
             z *= sign  # the error
+            upto = np.cumsum(np.log(s, out=s), dtype=np.float64)[ends - 1]
+            out[at + 1] = np.diff(upto, prepend=0.0)
             for k, x in enumerate([*inputs, BIAS]):
-                change[:live, k] += np.float32(RATE) * np.add.reduceat(z * x, bits_from)
-            if slopes is not None:
-                slopes.add(gate, z, [*inputs, BIAS])
-        total[doc] = cost
-        if slopes is not None:
-            slopes.cost += float(total.sum())
-        return total
-
-    def _alone(self, data: np.ndarray, hashes: list[np.ndarray], begin: int, end: int, slopes: Slopes | None) -> float:
-        """The cost of one text: what does not depend on the correction is worked out for a block at a time."""
-        change, cost = np.zeros(SIGNS, dtype=np.float32), 0.0
+                change[k, : live * GATES] += RATE * np.bincount(who, weights=z * x, minlength=live * GATES)
+        return np.cumsum(out, out=out), starts
+
+    def _alone(self, data: np.ndarray, hashes: list[np.ndarray], begin: int, end: int, out: np.ndarray) -> None:
+        """The costs of one text: what does not depend on the correction is worked out for a block at a time."""
+        change = np.zeros(GATES * SIGNS, dtype=np.float32)
         for start in range(begin, end, LONG):
             at = np.arange(start, min(start + LONG, end))
             size, place = decisions(self.code, data[at - 1].astype(np.int64) << 8 | data[at])
-            inputs, gate = self._inputs(hashes, at, size, place, slopes is not None)
+            inputs, gate = self._inputs(hashes, at, size, place)
             x = np.empty((len(gate), SIGNS), dtype=np.float32)
             for k, column in enumerate([*inputs, BIAS]):
                 x[:, k] = column
             x *= self.code.sign.take(place, mode="clip")[:, None]
-            known = np.einsum("nk,nk->n", x, self.weights[gate])
+            which = gate.astype(np.intp)[:, None] * SIGNS + np.arange(SIGNS)
             odds = np.empty(len(gate), dtype=np.float32)
             to = np.cumsum(size)
             a = 0
             for b in [*to[STEP - 1 : -1 : STEP].tolist(), int(to[-1])]:
-                z = known[a:b] + x[a:b] @ change
+                z = np.einsum("nk,nk->n", x[a:b], START + change.take(which[a:b]))
                 np.clip(z, -12, 12, out=z)
                 np.negative(z, out=z)
                 np.exp(z, out=z)
                 odds[a:b] = z
-                change += np.float32(RATE) * ((z / (z + np.float32(1))) @ x[a:b])
+                change += RATE * np.bincount(which[a:b].ravel(), weights=((z / (z + np.float32(1)))[:, None] * x[a:b]).ravel(), minlength=GATES * SIGNS)
                 a = b
-            cost += float(np.log1p(odds).sum(dtype=np.float64))
-            if slopes is not None:
-                slopes.add(gate, odds / (odds + np.float32(1)), list(x.T))
-        return cost
+            out[at + 1] = np.diff(np.cumsum(np.log1p(odds), dtype=np.float64)[to - 1], prepend=0.0)
 
 
-def stepped(weights: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, float]:
-    """Newton's step for each gate, with a weak pull to the constant the weights start at; and the gain it promises."""
-    out, gain = weights.astype(np.float64), 0.0
-    for g in range(len(out)):
-        slope = first[g] - PULL * (out[g] - START)
-        move = np.clip(np.linalg.solve(second[g] + PULL * np.eye(SIGNS), slope), -0.5, 0.5)
-        out[g] += move
-        gain += float(slope @ move) / 2
-    return out.astype(np.float32), gain
+def refined(by_bytes: np.ndarray, by_count: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the two experts for words weigh (natural logs), the bytes and the count, given what each says of every word (``by_count`` is
+    nan where it is not known here) and each word's text: the share of the latter is (1 + how often it was above) / (10 + how many words
+    were known) so far in the text."""
+    known = ~np.isnan(by_count)
+    wins = np.zeros(len(owner) + 1)
+    np.cumsum(known & (np.where(known, by_count, 0) > by_bytes), out=wins[1:])
+    seen = np.concatenate([[0.0], np.cumsum(known)])
+    first = np.searchsorted(owner, owner)
+    share = (1 + wins[:-1] - wins[first]) / (10 + seen[:-1] - seen[first])
+    return np.log1p(-share), np.log(share)
 
 
 def by_length(lengths: np.ndarray) -> list[list[int]]:
@@ -358,65 +327,10 @@ def by_length(lengths: np.ndarray) -> list[list[int]]:
     return out if len(lengths) else []
 
 
-def fitted(code: Code, tables: list[np.ndarray], sample: list[bytes], rounds: int = 6) -> tuple[Model, Slopes]:
-    """A model with weights fitted on ``sample``, and the slopes there before the last step."""
-    model, slopes = Model(code, tables), Slopes(curved=True)
-    for _ in range(rounds if sample else 0):
-        slopes = Slopes(curved=True)
-        for group in by_length(np.array([len(r) for r in sample])):
-            model.costs([sample[k] for k in group], slopes)
-        model.weights, gain = stepped(model.weights, slopes.first, slopes.second)
-        if gain <= ENOUGH * slopes.cost:
-            break
-    return model, slopes
-
-
-def slopes_of(train: DataFrame, model: Model) -> Slopes:
-    """The slopes of all of ``train`` (raw binary, any case), added up by Spark: 81 numbers come back."""
-    sent = train.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        own, sums = sent.value, Slopes()
-        for batch in batches:
-            raws = batch.column(0)
-            for group in by_length(np.asarray(pc.binary_length(raws))):
-                own.costs([raws[k].as_py().lower() for k in group], sums)
-        values = [*sums.first.ravel().tolist(), *sums.seen.tolist(), sums.cost]
-        yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(values)), pa.int32()), "v": pa.array(values, pa.float64())})
-
-    rows = train.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-    sent.destroy()
-    values = np.zeros(16 * SIGNS + 17)
-    for k, v in rows:
-        values[k] = v
-    out = Slopes()
-    out.first, out.seen, out.cost = values[: 16 * SIGNS].reshape(16, SIGNS), values[16 * SIGNS : -1], float(values[-1])
-    return out
-
-
 def model_of(train: DataFrame, pairs: np.ndarray) -> Model:
     """A model of ``train`` (raw binary, any case), given how often each byte followed each other."""
     code = Code(pairs)
-    tables = counted(train, code)
-    some = train.select(F.substring("raw", 1, SAMPLE_BYTES // 50).alias("raw"), F.xxhash64("raw").alias("h"))
-    rows = some.orderBy("h", "raw").limit(SAMPLE_BYTES // 2000).select("raw").collect()
-    sample, room = [], SAMPLE_BYTES
-    for r in rows:
-        if len(r[0]) < room:
-            sample.append(bytes(r[0]).lower())
-            room -= len(r[0])
-    model, near = fitted(code, tables, sample)
-    if not sample:
-        return model
-    # how the slopes bend: a gate's mean in the sample, with all gates' mean where the sample has hardly seen it
-    bend = (near.second + 100 * near.second.sum(axis=0) / near.seen.sum()) / (near.seen + 100)[:, None, None]
-    for _ in range(PASSES):
-        slopes = slopes_of(train, model)
-        weights, gain = stepped(model.weights, slopes.first, bend * slopes.seen[:, None, None])
-        model = Model(code, tables, weights)
-        if gain <= ENOUGH * slopes.cost:
-            break
-    return model
+    return Model(code, counted(train, code))
 
 
 # -- the query --------------------------------------------------------------------------------------------------------
@@ -453,40 +367,51 @@ def gathered(docs: DataFrame) -> DataFrame:
 
 
 def scored(docs: DataFrame, model: Model, head: dict[bytes, int], ends: int, log_total: float) -> DataFrame:
-    """(doc_id, held_out, n_tokens, known, base, score, bits, tail) of ``docs`` (doc_id, held_out, raw); tail has the words that ``head`` has not."""
+    """(doc_id, held_out, n_tokens, n_bytes, known, base, score, tail) of ``docs`` (doc_id, held_out, raw): the score (natural log) without the
+    words that ``head`` has not, which are in tail with how often they occur and, for each time, the bytes' expectation and the weight
+    of the count's (natural logs)."""
     sent = docs.sparkSession.sparkContext.broadcast((model, head))
     end = math.log10(ends + 0.1) - log_total
 
     def run(batches):
         own, counts = sent.value
-        known_words = {w: math.log10(c + 0.1) - log_total for w, c in counts.items()}
-
-        def done(rows):
-            costs = own.costs([r[2] for r in rows])
-            out: list[list] = [[] for _ in range(8)]
-            for (doc_id, held, raw), cost in zip(rows, costs.tolist()):
-                words = raw.split()
-                known, base, tail = int(ends > 0), end, {}
-                for w in words:
-                    hit = known_words.get(w)
-                    if hit is not None:
-                        known += 1
-                        base += hit
-                    else:
-                        tail[w] = tail.get(w, 0) + 1
-                for column, x in zip(out, (doc_id, held, len(words) + 1, known, base, -cost / math.log(10), cost / math.log(2) / (len(raw) + 1), [{"word": w, "k": k} for w, k in tail.items()])):
-                    column.append(x)
-            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, kind)], schema=kind)
+        log_of = {w: math.log10(c + 0.1) - log_total for w, c in counts.items()}
+        nan = math.nan
+
+        def done(ids, held, raws):
+            upto, starts = own.costs(raws)
+            data, _ = laid_out(raws)
+            gap = WHITE[data] | (data == END)
+            edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1  # the first byte is a blank, the last an end
+            s, e = edge[0::2], edge[1::2]
+            words = b" ".join(raws).split()
+            owner = np.searchsorted(starts, s, side="right") - 1
+            base = np.array([log_of.get(w, nan) for w in words], dtype=np.float64)
+            by_bytes, by_count = upto[s] - upto[e], base * math.log(10)
+            less, more = refined(by_bytes, by_count, owner)
+            known = ~np.isnan(base)
+            value = np.where(known, np.logaddexp(by_bytes + less, np.where(known, by_count, 0) + more), 0.0)
+            last = starts + [len(r) + 1 for r in raws]
+            total = lambda x: np.bincount(owner, weights=x, minlength=len(raws))
+            score = upto[starts] - upto[last] - total(by_bytes) + total(value)
+            tail: list[dict] = [{} for _ in raws]
+            for k in np.flatnonzero(~known).tolist():
+                tail[owner[k]].setdefault(words[k], []).append(k)
+            by_bytes += less
+            tails = [[{"word": w, "k": len(ks), "own": by_bytes[ks].tolist(), "more": more[ks].tolist()} for w, ks in t.items()] for t in tail]
+            n = np.bincount(owner, minlength=len(raws))
+            columns = [ids, held, n + 1, [len(r) + 1 for r in raws], total(known) + (ends > 0), total(np.where(known, base, 0)) + end, score, tails]
+            return pa.RecordBatch.from_arrays([pa.array(np.asarray(c).astype(np.int64) if f.name == "known" else c, type=f.type) for c, f in zip(columns, kind)], schema=kind)
 
         for batch in batches:
             ids, held, raws = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             for group in by_length(np.asarray(pc.binary_length(raws))):
-                yield done([(ids[k], held[k], raws[k].as_py().lower()) for k in group])
+                yield done([ids[k] for k in group], [held[k] for k in group], [raws[k].as_py().lower() for k in group])
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, bits double, tail array<struct<word:binary,k:long>>"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, score double, tail array<struct<word:binary,k:long,own:array<float>,more:array<float>>>"
     kind = to_arrow_schema(StructType.fromDDL(schema))
     return docs.select("doc_id", "held_out", "raw").mapInArrow(run, schema)
 
@@ -502,8 +427,9 @@ def scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row: the word model's and the
     mixing model's log10 probability of the whole text, and the latter as bits for each byte (its end counts as one), learned from the rows that are not held out.
 
-    Null texts count as empty: an end alone. A null id hashes as the empty text, and is held out. Repeated rows are scored
-    alike. Without training rows every decision is even and every word unknown. An empty table gives an empty one.
+    Null texts count as empty: an end alone. A text of any length is scored whole. A null id hashes as the empty text, and is held out. Repeated rows are scored
+    alike. Without training rows every decision is even and every word unknown. An empty table gives an empty one;
+    other columns of the input do not come back, whatever their names.
     """
     spark = df.sparkSession
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
@@ -523,14 +449,17 @@ def scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     model = model_of(train, pairs.reshape(256, 256))
     rows = scored(docs, model, head, ends, log_total).withColumn("row", F.monotonically_increasing_id())
     rows = saved(rows, "scores")
-    rest = rows.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.k")
+    rest = rows.select("row", F.explode("tail").alias("t")).select("row", "t.*")
     rest = rest.join(words, "word", "left")
     log = F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1)) - F.lit(log_total)
-    rest = rest.groupBy("row").agg(F.sum(F.col("k") * log).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("found"))
-    out = rows.drop("tail").join(rest, "row", "left")
+    by_count = F.when(F.col("c") > 0, log * F.lit(math.log(10)))
+    either = F.zip_with("own", "more", lambda a, m: F.when(by_count.isNull(), a.cast("double")).otherwise(F.greatest(a, m + by_count) + F.log1p(F.exp(-F.abs(a - m - by_count)))))
+    value = F.aggregate(either, F.lit(0.0), lambda a, x: a + x)
+    rest = rest.groupBy("row").agg(F.sum(F.col("k") * log).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("found"), F.sum(value).alias("value"))
+    out = rows.drop("tail").join(rest, "row", "left").withColumn("score", F.col("score") + F.coalesce("value", F.lit(0.0)))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score", F.col("bits").alias("bits_per_byte"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") / math.log(10)).alias("score"), (-F.col("score") / math.log(2) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 

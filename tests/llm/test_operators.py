@@ -98,53 +98,105 @@ def small_model(rng, size=200_000):
     return ctxmix.Model(code, [ctxmix.small_counts(t) for t in tables]), raws
 
 
-def one_by_one(model, raw):
-    """A text's cost, 64 bytes after 64 bytes, with one correction from its start to its end."""
-    data, starts = ctxmix.laid_out([raw])
-    change, cost = np.zeros(ctxmix.SIGNS), 0.0
-    for start in range(starts[0], len(data), 64):
-        at = np.arange(start, min(start + 64, len(data)))
-        size, place = ctxmix.decisions(model.code, data[at - 1].astype(np.int64) << 8 | data[at])
-        inputs, gate = model._inputs(ctxmix.contexts(data), at, size, place, False)
-        x = np.stack([*inputs, np.full(len(gate), 0.3)], axis=1) * model.code.sign[place][:, None]
-        odds = np.exp(-np.clip((x * (model.weights[gate] + change)).sum(axis=1), -12, 12))
-        cost += np.log1p(odds).sum()
-        change += 0.002 * (odds / (1 + odds)) @ x
-    return cost
-
-
 def test_correction_goes_through_the_whole_text(monkeypatch):
     rng = random.Random(11)
     model, _ = small_model(rng)
     start, rest = prose(rng, 700).encode(), "".join(rng.choice("qxzj ") for _ in range(9000)).encode()
     assert 4096 < len(start) and len(start + rest) < ctxmix.LONG
     texts = [start + rest, start[:100], b"", rest + rest + rest]
-    got = model.costs(texts)
-    assert np.allclose(got, [model.costs([t])[0] for t in texts], rtol=1e-5)
-    assert np.allclose(got, [one_by_one(model, t) for t in texts], rtol=1e-4)  # starting anew each 4,096 bytes is 0.4 % off
+
+    def cost(raws):
+        upto, starts = model.costs(raws)
+        return [float(upto[s + len(r) + 1] - upto[s]) for s, r in zip(starts, raws)]
+
+    got = cost(texts)
+    assert np.allclose(got, [cost([t])[0] for t in texts], rtol=1e-5)
     monkeypatch.setattr(ctxmix, "LONG", 64)  # alone and side by side are one and the same
-    assert np.allclose(got, model.costs(texts), rtol=1e-4)
+    assert np.allclose(got, cost(texts), rtol=1e-4)
 
 
-def test_weights_are_fitted_on_all_training_texts(spark):
-    rng = random.Random(12)
-    model, raws = small_model(rng, 60_000)
-    long = [b" ".join(raws[k : k + 8]) for k in range(0, len(raws) - 8, 4)]  # none below 16,000 bytes
-    assert len(long) > 3 and min(map(len, long)) >= 16_000
-    train = spark.createDataFrame([(bytearray(r),) for r in long], "raw binary").repartition(3)
+def plain_scores(rows):
+    """Scores (log10) of rows (doc_id, text) bit by bit, with counts by whole contexts in place of hashed ones."""
+    low = {i: (t or "").encode().lower() for i, t in rows}
+    train = [t for i, t in low.items() if zlib.crc32(str(i).encode()) % 10]
     pairs = np.zeros((256, 256), dtype=np.int64)
-    for raw in long:
-        data = np.frombuffer(b" " + raw + b"\xff", dtype=np.uint8)
-        np.add.at(pairs, (data[:-1], data[1:]), 1)
-    got = ctxmix.model_of(train, pairs)
-    assert not np.allclose(got.weights, 0.4)
-    sums = ctxmix.slopes_of(train, got)
-    want = ctxmix.Slopes()
-    for raw in long:
-        got.costs([raw], want)
-    assert np.allclose(sums.first, want.first, rtol=1e-3, atol=1) and (sums.seen == want.seen).all()
-    assert sums.cost < ctxmix.slopes_of(train, ctxmix.Model(got.code, got.tables)).cost
-    assert sums.seen.sum() > sum(map(len, long))  # every byte is looked at
+    for t in train:
+        for x, y in zip(b" " + t, t + b"\xff"):
+            pairs[x, y] += 1
+    code = ctxmix.Code(pairs)
+
+    def walk(t):
+        s = b"    " + t + b"\xff"
+        for i in range(4, len(s)):
+            start = i
+            while s[start - 1] not in b" \t\n\v\f\r":
+                start -= 1
+            first, n = code.first[s[i - 1] << 8 | s[i]], code.size[s[i - 1] << 8 | s[i]]
+            yield [([(k, c, int(code.mix[d])) for k, c in enumerate((s[i - 2 : i], s[i - 4 : i], s[start:i]))], code.sign[d]) for d in range(first, first + n)]
+
+    counts = collections.defaultdict(lambda: [0, 0])
+    for t in train:
+        for bits in walk(t):
+            for keys, sign in bits:
+                for key in keys:
+                    counts[key][int(sign > 0)] += 1
+
+    def predicted(key):
+        n = counts.get(key, (0, 0))
+        x = math.log((n[1] + 0.4) / (n[0] + 0.4)) * (1 + 0.3 * (sum(n) >= 255) if 0 in n else 1)
+        x = math.copysign(round(math.log1p(min(abs(x), 9)) / math.log(10) * 31), x)
+        return math.copysign(10 ** (abs(x) / 31) - 1, x), sum(sum(n) >= edge for edge in (1, 3, 16))
+
+    words = collections.Counter(w for t in train for w in t.split())
+    total = sum(words.values()) + len(train)
+    floor = total + 0.1 * (len(words) + 2)
+    out = {}
+    for i, t in low.items():
+        costs, weights, slope = [], np.full((16, 4), 0.4), np.zeros((16, 4))
+        for n, bits in enumerate(walk(t)):
+            if n % 64 == 0:
+                weights, slope = weights + 0.01 * slope, np.zeros((16, 4))
+            cost = 0.0
+            for keys, sign in bits:
+                (x, _), (y, seen), (z, also) = map(predicted, keys)
+                own = sign * np.array([x, y, z, 0.3])
+                odds = math.exp(-max(-12, min(12, own @ weights[seen * 4 + also])))
+                cost += math.log1p(odds)
+                slope[seen * 4 + also] += odds / (1 + odds) * own
+            costs.append(cost)
+        score, won, known = -sum(costs), 0, 0
+        for m in re.finditer(rb"[^ \t\n\v\f\r]+", t):
+            c, by_bytes, share = words[m[0]], -sum(costs[m.start() : m.end()]), (1 + won) / (10 + known)
+            by_count = (c + 0.1) / floor if c else 0.0
+            score += np.logaddexp(by_bytes + math.log1p(-share), math.log(share * by_count) if c else -np.inf) - by_bytes
+            won, known = won + (c > 0 and math.log(by_count) > by_bytes), known + (c > 0)
+        out[i] = score / math.log(10)
+    return out
+
+
+def test_scores_bit_by_bit(spark):
+    rng = random.Random(13)
+    rows = [(i, prose(rng, rng.randrange(1, 150)) + rng.choice(["", "\n\nÉté  é", "\tTHE END"])) for i in range(60)] + [(60, None), (61, ""), (62, " \n"), (63, "never seen before 😀")]
+    rows.append((64, rows[3][1]))
+    got = by_id(ctxmix.scores(spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, text string, head string, score double").repartition(3)))
+    for i, want in plain_scores(rows).items():
+        assert math.isclose(got[i].score, want, rel_tol=2e-3, abs_tol=0.01), (i, got[i].score, want)
+        assert math.isclose(got[i].bits_per_byte * (len((dict(rows)[i] or "").encode()) + 1), -got[i].score * math.log2(10), rel_tol=1e-6)
+
+
+def test_rare_words_are_joined(spark, monkeypatch):
+    """With hardly any word held by tasks the counts of the others still come in, and a held-out text in words of training gains by them."""
+    rng = random.Random(14)
+    vocabulary = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(9)) for _ in range(40)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(100))) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = by_id(ctxmix.scores(frame))
+    monkeypatch.setattr(ctxmix, "HEAD", 1)
+    monkeypatch.setattr(ctxmix.least_count, "__defaults__", (1,))
+    few = by_id(ctxmix.scores(frame))
+    for i, r in few.items():
+        assert (r.n_known, r.n_tokens) == (whole[i].n_known, whole[i].n_tokens) and math.isclose(r.base_score, whole[i].base_score, rel_tol=1e-9)
+        assert r.score <= 0 and math.isfinite(r.score) and abs(r.score - whole[i].score) < 0.2 * abs(whole[i].score)
 
 
 # 2
