@@ -44,6 +44,8 @@ LONG = 1 << 14
 #: Most frequent words that every task holds; counts of others are joined.
 HEAD = 100_000
 END = 255
+#: The hash of two bytes.
+TWO = np.uint32(0x85EBCA6B)
 PAD = 4
 
 
@@ -94,7 +96,7 @@ def contexts(data: np.ndarray) -> list[np.ndarray]:
     two[2:] = wide[1:-1] | wide[:-2] << np.uint32(8)
     four = two.copy()
     four[4:] |= wide[1:-3] << np.uint32(16) | wide[:-4] << np.uint32(24)
-    out.append(two * np.uint32(0x85EBCA6B))
+    out.append(two * TWO)
     out.append((four ^ four >> np.uint32(15)) * np.uint32(0xC2B2AE35))
     up, down = power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
@@ -125,21 +127,38 @@ def slots(context: np.ndarray, mix: np.ndarray, bits: int) -> np.ndarray:
 
 
 # -- counting ---------------------------------------------------------------------------------------------------------
-def count_bits(code: Code, raws: list[bytes], tables: list[np.ndarray]) -> None:
-    """Adds the bits of the texts to ``tables`` (slot * 2 + bit)."""
-    data, starts = laid_out(raws)
-    keep = np.ones(len(data), dtype=bool)
-    for k in range(1, PAD + 1):
-        keep[starts - k] = False
-    at = np.flatnonzero(keep)
-    symbols = data[at - 1].astype(np.int64) << 8 | data[at]
-    size, place = decisions(code, symbols)
-    mix, one = code.mix.take(place, mode="clip"), (code.sign.take(place, mode="clip") > 0).view(np.uint8)
-    for h, bits, out in zip(contexts(data), TABLE_BITS, tables):
-        s = slots(np.repeat(h[at], size), mix, bits).astype(np.intp)
-        s <<= 1
-        s |= one
-        np.add.at(out, s, np.uint32(1))
+class Counts:
+    """Counts of the bits of texts: ``tables`` (slot * 2 + bit) of all contexts, and how often each byte followed each two, from
+    which the first of the tables comes in the end."""
+
+    def __init__(self, code: Code):
+        self.code = code
+        self.tables = [np.zeros(2 << b, dtype=np.uint32) for b in TABLE_BITS]
+        self.triples = np.zeros(1 << 24, dtype=np.uint32)  # only pages that are touched take room
+
+    def add(self, raws: list[bytes]) -> None:
+        data, starts = laid_out(raws)
+        keep = np.ones(len(data), dtype=bool)
+        for k in range(1, PAD + 1):
+            keep[starts - k] = False
+        at = np.flatnonzero(keep)
+        symbols = data[at - 1].astype(np.intp) << 8 | data[at]
+        np.add.at(self.triples, data[at - 2].astype(np.intp) << 16 | symbols, np.uint32(1))
+        size, place = decisions(self.code, symbols)
+        mix, one = self.code.mix.take(place, mode="clip"), (self.code.sign.take(place, mode="clip") > 0).view(np.uint8)
+        for h, bits, out in zip(contexts(data)[1:], TABLE_BITS[1:], self.tables[1:]):
+            s = slots(np.repeat(h[at], size), mix, bits).astype(np.intp)
+            s <<= 1
+            s |= one
+            np.add.at(out, s, np.uint32(1))
+
+    def finish(self) -> list[np.ndarray]:
+        some = np.flatnonzero(self.triples)
+        size, place = decisions(self.code, some & 0xFFFF)
+        two = (some >> 8 & 0xFF | some >> 16 << 8).astype(np.uint32) * TWO
+        s = slots(np.repeat(two ^ two >> np.uint32(16), size), self.code.mix[place], TABLE_BITS[0]).astype(np.intp)
+        np.add.at(self.tables[0], s << 1 | (self.code.sign[place] > 0), np.repeat(self.triples[some], size))
+        return self.tables
 
 
 def small_counts(counts: np.ndarray) -> np.ndarray:
@@ -158,7 +177,7 @@ def counted(train: DataFrame, code: Code) -> list[np.ndarray]:
 
     def fill(batches):
         own = sent.value
-        tables = [np.zeros(2 << b, dtype=np.uint32) for b in TABLE_BITS]
+        counts = Counts(own)
         pending, size, some = [], 0, False
         for batch in batches:
             for t in batch.column(0):
@@ -166,13 +185,13 @@ def counted(train: DataFrame, code: Code) -> list[np.ndarray]:
                 pending.append(raw)
                 size += len(raw)
                 if size > GROUP_BYTES:
-                    count_bits(own, pending, tables)
+                    counts.add(pending)
                     pending, size, some = [], 0, True
         if pending:
-            count_bits(own, pending, tables)
+            counts.add(pending)
             some = True
-        for k, counts in enumerate(tables if some else []):
-            for p, own_part in enumerate(counts.reshape(-1, min(2 * PART, len(counts)))):
+        for k, table_ in enumerate(counts.finish() if some else []):
+            for p, own_part in enumerate(table_.reshape(-1, min(2 * PART, len(table_)))):
                 if own_part.any():
                     planes = np.ascontiguousarray(own_part.view(np.uint8).reshape(-1, 4).T)
                     yield pa.RecordBatch.from_pydict({"part": pa.array([k << 16 | p], pa.int32()), "counts": pa.array([zlib.compress(planes.tobytes(), 1)], pa.binary())})
@@ -368,8 +387,7 @@ def gathered(docs: DataFrame) -> DataFrame:
 
 def scored(docs: DataFrame, model: Model, head: dict[bytes, int], ends: int, log_total: float) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_bytes, known, base, score, tail) of ``docs`` (doc_id, held_out, raw): the score (natural log) without the
-    words that ``head`` has not, which are in tail with how often they occur and, for each time, the bytes' expectation and the weight
-    of the count's (natural logs)."""
+    words that ``head`` has not, which are in tail with the bytes' expectation and the weight of the count's (natural logs)."""
     sent = docs.sparkSession.sparkContext.broadcast((model, head))
     end = math.log10(ends + 0.1) - log_total
 
@@ -394,14 +412,12 @@ def scored(docs: DataFrame, model: Model, head: dict[bytes, int], ends: int, log
             last = starts + [len(r) + 1 for r in raws]
             total = lambda x: np.bincount(owner, weights=x, minlength=len(raws))
             score = upto[starts] - upto[last] - total(by_bytes) + total(value)
-            tail: list[dict] = [{} for _ in raws]
-            for k in np.flatnonzero(~known).tolist():
-                tail[owner[k]].setdefault(words[k], []).append(k)
-            by_bytes += less
-            tails = [[{"word": w, "k": len(ks), "own": by_bytes[ks].tolist(), "more": more[ks].tolist()} for w, ks in t.items()] for t in tail]
+            rare = np.flatnonzero(~known)
+            flat = [pa.array([words[k] for k in rare.tolist()], pa.binary()), pa.array((by_bytes + less)[rare].astype(np.float32)), pa.array(more[rare].astype(np.float32))]
+            tails = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[rare], np.arange(len(raws) + 1)), pa.int32()), pa.StructArray.from_arrays(flat, fields=list(kind.field("tail").type.value_type)))
             n = np.bincount(owner, minlength=len(raws))
-            columns = [ids, held, n + 1, [len(r) + 1 for r in raws], total(known) + (ends > 0), total(np.where(known, base, 0)) + end, score, tails]
-            return pa.RecordBatch.from_arrays([pa.array(np.asarray(c).astype(np.int64) if f.name == "known" else c, type=f.type) for c, f in zip(columns, kind)], schema=kind)
+            columns = [ids, held, n + 1, [len(r) + 1 for r in raws], (total(known) + (ends > 0)).astype(np.int64), total(np.where(known, base, 0)) + end, score, tails]
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, kind)], schema=kind)
 
         for batch in batches:
             ids, held, raws = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
@@ -411,7 +427,7 @@ def scored(docs: DataFrame, model: Model, head: dict[bytes, int], ends: int, log
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, score double, tail array<struct<word:binary,k:long,own:array<float>,more:array<float>>>"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, score double, tail array<struct<word:binary,own:float,more:float>>"
     kind = to_arrow_schema(StructType.fromDDL(schema))
     return docs.select("doc_id", "held_out", "raw").mapInArrow(run, schema)
 
@@ -452,10 +468,9 @@ def scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     rest = rows.select("row", F.explode("tail").alias("t")).select("row", "t.*")
     rest = rest.join(words, "word", "left")
     log = F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1)) - F.lit(log_total)
-    by_count = F.when(F.col("c") > 0, log * F.lit(math.log(10)))
-    either = F.zip_with("own", "more", lambda a, m: F.when(by_count.isNull(), a.cast("double")).otherwise(F.greatest(a, m + by_count) + F.log1p(F.exp(-F.abs(a - m - by_count)))))
-    value = F.aggregate(either, F.lit(0.0), lambda a, x: a + x)
-    rest = rest.groupBy("row").agg(F.sum(F.col("k") * log).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("found"), F.sum(value).alias("value"))
+    by_bytes, by_count = F.col("own").cast("double"), F.col("more") + log * F.lit(math.log(10))
+    value = F.when(F.col("c") > 0, F.greatest(by_bytes, by_count) + F.log1p(F.exp(-F.abs(by_bytes - by_count)))).otherwise(by_bytes)
+    rest = rest.groupBy("row").agg(F.sum(log).alias("more"), F.sum((F.col("c") > 0).cast("long")).alias("found"), F.sum(value).alias("value"))
     out = rows.drop("tail").join(rest, "row", "left").withColumn("score", F.col("score") + F.coalesce("value", F.lit(0.0)))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),

@@ -93,9 +93,9 @@ def small_model(rng, size=200_000):
         data = np.frombuffer(b" " + raw + b"\xff", dtype=np.uint8)
         np.add.at(pairs, (data[:-1], data[1:]), 1)
     code = ctxmix.Code(pairs)
-    tables = [np.zeros(2 << b, dtype=np.uint32) for b in ctxmix.TABLE_BITS]
-    ctxmix.count_bits(code, raws, tables)
-    return ctxmix.Model(code, [ctxmix.small_counts(t) for t in tables]), raws
+    counts = ctxmix.Counts(code)
+    counts.add(raws)
+    return ctxmix.Model(code, [ctxmix.small_counts(t) for t in counts.finish()]), raws
 
 
 def test_correction_goes_through_the_whole_text(monkeypatch):
