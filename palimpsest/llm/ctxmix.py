@@ -39,8 +39,8 @@ PART = 1 << 14
 #: Weights are corrected after so many bytes of a text, from its first to its last.
 STEP = 64
 RATE = 0.01
-#: Texts up to so many bytes are scored side by side, longer ones each alone, in blocks of so many.
-LONG = 1 << 14
+#: Texts up to so many bytes are scored side by side, longer ones each alone, in blocks of so many bytes.
+LONG = 1 << 17
 #: Most frequent words that every task holds; counts of others are joined.
 HEAD = 100_000
 END = 255
