@@ -152,10 +152,11 @@ def ordered(blocks: DataFrame) -> DataFrame:
 
 # -- elements ---------------------------------------------------------------------------------------------------------
 def elements(blocks: DataFrame, modes: DataFrame | None = None) -> DataFrame:
-    """The elements of every page in reading order, with columns, gaps, indents and style."""
-    if blocks.filter("page_w <= 0 or page_h <= 0").limit(1).count():
-        raise ValueError("a page without width or height cannot be composed")
-    blocks = blocks.repartition("doc_id")
+    """The elements of every page in reading order, with columns, gaps, indents and style. A page without width or height is an error of
+    the run that reads it."""
+    flat = (F.col("page_w") <= 0) | (F.col("page_h") <= 0)
+    wide = F.when(flat, F.raise_error(F.lit("a page without width or height cannot be composed")).cast("bigint")).otherwise(F.col("page_w"))
+    blocks = blocks.withColumn("page_w", wide).repartition("doc_id")
     modes = page_modes(blocks) if modes is None else modes
     rows = ordered(resolve(blocks.join(modes, PAGE)))
     page = Window.partitionBy(*PAGE)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
@@ -15,9 +15,21 @@ from .blocks import weak
 ELIGIBLE = ("Text", "Title", "List", "Table")
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """``rows`` as a checkpoint, where the session names a folder for it: an engine then runs once, and what is read of it
+    twice agrees. Without a folder they stay a plan, and an engine that is not deterministic may not agree with itself."""
+    sc = rows.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named:
+            return rows
+        sc.setCheckpointDir(named)
+    return rows.checkpoint()
+
+
 def weak_pages(blocks: DataFrame, threshold: float = RETRY_THRESHOLD) -> DataFrame:
     """All blocks of pages with a weak block."""
-    return blocks.join(blocks.filter(weak(threshold)).select(*PAGE).distinct(), PAGE, "left_semi")
+    return blocks.withColumn("_weak", F.max(weak(threshold)).over(Window.partitionBy(*PAGE))).filter("_weak").drop("_weak")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -45,19 +57,20 @@ def merge_retry(blocks: DataFrame, retried: DataFrame, threshold: float = RETRY_
 
     Weak blocks in order take the most similar unused block of the same type and page (overlap, and a bonus for the same
     reading order), the last of equals; the take holds only if confidence grows by ``gain`` and there is text. Pages meet by
-    number. A fold over a page's few blocks says which takes which; contents come by a join.
+    number. A fold over a page's few blocks says which takes which. Each side is read once.
     """
-    keys = ["block_idx", "block_type", "x", "y", "w", "h", "reading_order", "confidence"]
-    listed = lambda d, *more: F.array_sort(F.collect_list(F.struct(*keys, *more)))
-    own = blocks.groupBy(*PAGE).agg(listed(blocks).alias("_own"))
-    new = retried.groupBy(*PAGE).agg(listed(retried, "content").alias("_new"))
-    picks = own.join(new, PAGE).select(*PAGE, F.explode(takes(threshold, gain)).alias("t")).select(*PAGE, "t.*")
-    better = retried.select(*PAGE, F.col("block_idx").alias("taken"), *[F.col(c).alias(f"_{c}") for c in ("content", "confidence", "layout_confidence", "table")])
-    rows = blocks.join(picks.join(better, [*PAGE, "taken"]), [*PAGE, "block_idx"], "left")
-    got = F.col("taken").isNotNull()
-    pick = lambda c: F.when(got, F.col(f"_{c}")).otherwise(F.col(c))
-    rows = rows.withColumns({"content": pick("content"), "confidence": pick("confidence"), "table": pick("table"), "layout_confidence": F.coalesce("layout_confidence", F.when(got, F.col("_layout_confidence")))})
-    return rows.select(*blocks.columns)
+    listed = lambda: F.array_sort(F.collect_list(F.struct("block_idx", F.struct(*blocks.columns).alias("b"))))
+    plain = lambda name: F.transform(name, lambda s: s["b"])
+    own = blocks.groupBy(*PAGE).agg(listed().alias("_own")).withColumn("_own", plain("_own"))
+    new = retried.select(*blocks.columns).groupBy(*PAGE).agg(listed().alias("_new")).withColumn("_new", plain("_new"))
+    none = F.array().cast("array<struct<block_idx:int,taken:int>>")
+    rows = own.join(new, PAGE, "left").withColumn("_takes", F.when(F.col("_new").isNull(), none).otherwise(takes(threshold, gain)))
+    rows = rows.select("_new", "_takes", F.explode("_own").alias("o"))
+    taken = F.get(F.filter("_takes", lambda t: t["block_idx"] == F.col("o.block_idx")), F.lit(0))["taken"]
+    rows = rows.withColumn("_n", F.get(F.filter("_new", lambda n: n["block_idx"] == taken), F.lit(0))).withColumn("_got", taken.isNotNull())
+    pick = lambda c: F.when(F.col("_got"), F.col(f"_n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
+    better = {"content": pick("content"), "confidence": pick("confidence"), "table": pick("table"), "layout_confidence": F.coalesce("o.layout_confidence", "_n.layout_confidence").alias("layout_confidence")}
+    return rows.select(*[better.get(c, F.col(f"o.{c}")) for c in blocks.columns])
 
 
 class StageError(RuntimeError):
@@ -100,7 +113,8 @@ def confidence_boost(engine: Callable[[DataFrame, str], DataFrame], threshold: f
     """Weak pages go through ``engine`` again in the accurate profile and are merged back."""
 
     def refine(blocks: DataFrame, context: dict) -> DataFrame:
-        return merge_retry(blocks, engine(weak_pages(blocks, threshold), "Accurate"), threshold, gain)
+        blocks = stored(blocks)
+        return merge_retry(blocks, stored(engine(weak_pages(blocks, threshold), "Accurate")), threshold, gain)
 
     return Pass("confidence_boost", "AfterOcr", refine)
 

@@ -9,6 +9,7 @@ from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import blocks as B
 from ..operators import compose as C
+from ..operators.refine import weak_pages as weak_blocks_pages
 from ..sources.fixtures import layout_blocks, layout_sql
 
 
@@ -16,8 +17,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def laid_out(spark: SparkSession, sf_dir: str, images: bool = False) -> DataFrame:
-    return layout_blocks(documents(spark, sf_dir).select("doc_id", "text"), images)
+def laid_out(spark: SparkSession, sf_dir: str, images: bool = False, sure_heads: bool = False) -> DataFrame:
+    return layout_blocks(documents(spark, sf_dir).select("doc_id", "text"), images, sure_heads)
 
 
 def resolve_blocks(spark, sf_dir):
@@ -69,7 +70,7 @@ def element_style(spark, sf_dir):
 
 
 def header_footer(spark, sf_dir):
-    out = C.compose(laid_out(spark, sf_dir))
+    out = C.compose(laid_out(spark, sf_dir, sure_heads=True))
     return out.filter("suspected_header or suspected_footer").select("doc_id", "page_no", "block_idx", "suspected_header", "suspected_footer")
 
 
@@ -94,7 +95,7 @@ def block_confidence(spark, sf_dir):
 
 def weak_pages(spark, sf_dir):
     rows = laid_out(spark, sf_dir)
-    return rows.filter(B.weak(0.10)).select("doc_id", "page_no").distinct()
+    return weak_blocks_pages(rows).select("doc_id", "page_no").distinct()
 
 
 def noisy(spark, sf_dir) -> DataFrame:
@@ -191,13 +192,14 @@ PLACED = """, z AS (SELECT o.* EXCLUDE (position, reading_order), m.mode, CASE W
    CASE WHEN m.mode <> 'VisualPreservation' AND o.two AND NOT o.anchor THEN 2 ELSE 1 END AS tc FROM o JOIN m USING (doc_id, page_no)),
  e AS (SELECT z.*, CASE WHEN tc = 2 AND rgt THEN 1 ELSE 0 END AS ci,
    CASE WHEN tc = 2 THEN lag(y + h) OVER (PARTITION BY doc_id, page_no, anchor, rgt ORDER BY ro) ELSE lag(y + h) OVER (PARTITION BY doc_id, page_no ORDER BY ro) END AS prev FROM z)"""
-ALL = BLOCKS + MODES + ANCHORS + ORDERED + PLACED
+PLACES = MODES + ANCHORS + ORDERED + PLACED
+ALL = BLOCKS + PLACES
 ROLE = "CASE block_type WHEN 'Text' THEN 'Paragraph' WHEN 'Image' THEN 'Figure' WHEN 'List' THEN 'ListItem' ELSE block_type END"
 KIND = f"""CASE WHEN block_type IN ('Text', 'Title', 'List', 'Formula', 'Table') THEN CASE WHEN trim(content) <> '' AND {SURE} THEN 'Text' ELSE 'Raster' END
   WHEN block_type IN ('Image', 'Signature', 'Stamp') THEN 'Image' ELSE 'Empty' END"""
 KEY = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s\-–—_/:]', '', 'g'), '[0-9]', '#', 'g'), '[\s\-–—_/:]+', ' ', 'g'))"
 HEADS = (
-    ALL
+    f"WITH b AS ({layout_sql(sure_heads=True)})" + PLACES
     + f""", k AS (SELECT doc_id, page_no, block_idx, {ROLE} AS role, ci, tc, x, y, w, page_w, {KEY.format("CASE WHEN " + KIND + " = 'Text' THEN trim(content) ELSE '' END")} AS key,
    y <= page_h * 14 // 100 AS head, y + h >= page_h * 88 // 100 AS foot FROM e WHERE mode = 'DocumentReconstruction'),
  s AS (SELECT * FROM k WHERE role IN ('Title', 'Paragraph', 'ListItem', 'Separator') AND key <> '' AND (head OR foot)),
@@ -251,7 +253,7 @@ ORACLES = {
  y1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY ro) - row_number() OVER (PARTITION BY doc_id, page_no, role = 'ListItem' ORDER BY ro) AS run FROM x)
  SELECT doc_id, page_no, count(*) AS items, min(ro) AS first_order FROM y1 WHERE role = 'ListItem' GROUP BY doc_id, page_no, run""",
     "block_confidence": BLOCKS + " SELECT doc_id, page_no, md5(string_agg(content, chr(10) ORDER BY block_idx)) AS content_md5, round(avg(confidence), 9) AS confidence FROM b WHERE trim(content) <> '' GROUP BY 1, 2",
-    "weak_pages": BLOCKS + " SELECT DISTINCT doc_id, page_no FROM b WHERE block_type IN ('Text', 'Title', 'List', 'Table') AND confidence < 0.10",
+    "weak_pages": BLOCKS + " SELECT DISTINCT doc_id, page_no FROM b WHERE block_type IN ('Text', 'Title', 'List', 'Table') AND confidence < 0.78",
     "clean_text": f"SELECT doc_id, md5(trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g'))) AS clean_md5 FROM ({NOISY})",
     "dictionary_fix": f"""WITH n AS (SELECT doc_id, translate(replace(text, 'ﬁ', 'fi'), '’', '''') AS t FROM ({NOISY})),
  w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '') AS ws FROM n)

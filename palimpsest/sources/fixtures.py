@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..schema import TABLE_TYPE
 
 STEPS = [
-    [("page_no", "CAST(line_no DIV 12 + 1 AS INT)"), ("slot", "CAST(line_no % 12 AS INT)"), ("confidence", "CAST((doc_id * 37 + line_no * 11) % 101 AS DOUBLE) / CAST(100 AS DOUBLE)")],
+    [("page_no", "CAST(line_no DIV 12 + 1 AS INT)"), ("slot", "CAST(line_no % 12 AS INT)"), ("confidence", "CASE WHEN {SURE} AND CAST(line_no % 12 AS INT) IN (0, 11) THEN CAST(95 AS DOUBLE) ELSE CAST((doc_id * 37 + line_no * 11) % 101 AS DOUBLE) END / CAST(100 AS DOUBLE)")],
     [("k", "CASE WHEN page_no % 3 = 0 THEN 2 WHEN doc_id % 3 = 0 THEN 0 WHEN doc_id % 3 = 1 THEN 1 ELSE 3 END")],
     [
         ("block_type", """CASE k
@@ -33,7 +33,7 @@ STEPS = [
         ("content", """CASE WHEN k = 1 AND slot = 0 THEN concat('Running head ', CAST(doc_id AS {STRING}))
   WHEN k IN (0, 1) AND slot = 11 THEN concat('Page ', CAST(page_no AS {STRING})) ELSE line END"""),
         ("reading_order", "CAST((slot * 7) % 12 AS BIGINT)"),
-        ("page_w", "CAST(1200 AS BIGINT)"), ("page_h", "CAST(1600 AS BIGINT)"), ("has_image", "{IMAGE}"),
+        ("page_w", "CAST(1200 AS BIGINT)"), ("page_h", "CAST(1800 AS BIGINT)"), ("has_image", "{IMAGE}"),
     ],
 ]
 COLUMNS = ["doc_id", "page_no", "slot", "block_type", "x", "y", "w", "h", "content", "confidence", "reading_order", "page_w", "page_h", "has_image"]
@@ -41,18 +41,19 @@ COLUMNS = ["doc_id", "page_no", "slot", "block_type", "x", "y", "w", "h", "conte
 IMAGE = {False: "FALSE", True: "doc_id % 5 = 0"}
 
 
-def layout_blocks(documents: DataFrame, with_images: bool = False) -> DataFrame:
-    """The blocks of ``documents`` (doc_id, text); texts that are null have none."""
+def layout_blocks(documents: DataFrame, with_images: bool = False, sure_heads: bool = False) -> DataFrame:
+    """The blocks of ``documents`` (doc_id, text); texts that are null have none. ``sure_heads`` raises the confidence of each page's first and
+    last block, so that running heads are read."""
     rows = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     for step in STEPS:
-        rows = rows.selectExpr("*", *[f"{e.format(STRING='STRING', IMAGE=IMAGE[with_images])} AS {n}" for n, e in step])
+        rows = rows.selectExpr("*", *[f"{e.format(STRING='STRING', IMAGE=IMAGE[with_images], SURE=sure_heads)} AS {n}" for n, e in step])
     rows = rows.select(*COLUMNS).withColumnRenamed("slot", "block_idx")
     return rows.withColumn("layout_confidence", F.lit(None).cast("double")).withColumn("table", F.lit(None).cast(TABLE_TYPE))
 
 
-def layout_sql(with_images: bool = False) -> str:
+def layout_sql(with_images: bool = False, sure_heads: bool = False) -> str:
     """The same for the oracle, as the body of a common table expression."""
     sql = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS line_no FROM documents"
     for step in STEPS:
-        sql = f"SELECT *, {', '.join(f'{e.format(STRING="VARCHAR", IMAGE=IMAGE[with_images])} AS {n}' for n, e in step)} FROM ({sql})"
+        sql = f"SELECT *, {', '.join(f'{e.format(STRING="VARCHAR", IMAGE=IMAGE[with_images], SURE=sure_heads)} AS {n}' for n, e in step)} FROM ({sql})"
     return f"SELECT {', '.join(COLUMNS)} FROM ({sql})".replace(" DIV ", " // ").replace("slot,", "slot AS block_idx,", 1)

@@ -52,8 +52,8 @@ def test_modes(spark):
 
 
 def test_zero_page_is_refused(spark):
-    with pytest.raises(ValueError):
-        C.elements(spark.createDataFrame(page(TWO, size=(0, 10)), BLOCKS))
+    with pytest.raises(Exception, match="without width or height"):
+        C.elements(spark.createDataFrame(page(TWO, size=(0, 10)), BLOCKS)).collect()
 
 
 def test_text_functions(spark):
@@ -126,6 +126,9 @@ def test_raster():
     tensor, back_x, back_y = R.layout_tensor(np.zeros((480, 640), np.uint8))
     assert tensor.shape == (1, 3, 1024, 1024) and abs(back_x - 0.625) < 1e-3
     assert R.recognition_tensor(np.zeros((30, 200), np.uint8)).shape == (1, 3, 48, 320) and R.detection_tensor(np.zeros((100, 100), np.uint8)).shape == (1, 3, 128, 128)
+    for shape, value in (((100, 100), 200), ((150, 100), 128), ((700, 900), 255)):  # nothing to straighten: nothing changes
+        even = np.full(shape, value, dtype=np.uint8)
+        assert R.skew_angle(even) == 0 and (R.deskewed(even) == even).all()
     grid = np.zeros((20, 30))
     grid[2:6, 3:9] = 1
     grid[10:18, 20:29] = 1

@@ -5,8 +5,6 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__
-from palimpsest.llm import queries as llm
 from palimpsest.plans import blueprint, operations
 
 DIR = "/root/testdata/sf0.001"
@@ -41,11 +39,3 @@ def test_equals_sql(spark, sql, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, DIR).limit(3).count() > 0
-
-
-@pytest.mark.parametrize("name", sorted(llm.ORACLE_SQL))
-def test_corpus_query_equals_sql(spark, sql, name):
-    assert isinstance(__spark_entry__.oracle_sql()[name], str)
-    got, want = llm.QUERIES[name](spark, DIR).toPandas(), sql.sql(llm.ORACLE_SQL[name]).df()
-    assert sorted(got.columns) == sorted(want.columns)
-    assert rows(got) == rows(want)
