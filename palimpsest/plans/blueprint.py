@@ -198,18 +198,17 @@ ROLE = "CASE block_type WHEN 'Text' THEN 'Paragraph' WHEN 'Image' THEN 'Figure'
 KIND = f"""CASE WHEN block_type IN ('Text', 'Title', 'List', 'Formula', 'Table') THEN CASE WHEN trim(content) <> '' AND {SURE} THEN 'Text' ELSE 'Raster' END
   WHEN block_type IN ('Image', 'Signature', 'Stamp') THEN 'Image' ELSE 'Empty' END"""
 KEY = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s\-–—_/:]', '', 'g'), '[0-9]', '#', 'g'), '[\s\-–—_/:]+', ' ', 'g'))"
-HEADS = (
-    f"WITH b AS ({layout_sql(sure_heads=True)})" + PLACES
-    + f""", k AS (SELECT doc_id, page_no, block_idx, {ROLE} AS role, ci, tc, x, y, w, page_w, {KEY.format("CASE WHEN " + KIND + " = 'Text' THEN trim(content) ELSE '' END")} AS key,
+SURE_BLOCKS = f"WITH b AS ({layout_sql(sure_heads=True)})"
+HEAD_STEPS = f""", k AS (SELECT doc_id, page_no, block_idx, {ROLE} AS role, ci, tc, x, y, w, page_w, {KEY.format("CASE WHEN " + KIND + " = 'Text' THEN trim(content) ELSE '' END")} AS key,
    y <= page_h * 14 // 100 AS head, y + h >= page_h * 88 // 100 AS foot FROM e WHERE mode = 'DocumentReconstruction'),
  s AS (SELECT * FROM k WHERE role IN ('Title', 'Paragraph', 'ListItem', 'Separator') AND key <> '' AND (head OR foot)),
- pg AS (SELECT doc_id, page_no, lag(page_no) OVER w AS p, lead(page_no) OVER w AS n FROM (SELECT DISTINCT doc_id, page_no FROM e WHERE mode = 'DocumentReconstruction') WINDOW w AS (PARTITION BY doc_id ORDER BY page_no))
-SELECT l.doc_id, l.page_no, l.block_idx, bool_or(l.head AND r.head) AS suspected_header, bool_or(l.foot AND r.foot) AS suspected_footer
+ pg AS (SELECT doc_id, page_no, lag(page_no) OVER w AS p, lead(page_no) OVER w AS n FROM (SELECT DISTINCT doc_id, page_no FROM e WHERE mode = 'DocumentReconstruction') WINDOW w AS (PARTITION BY doc_id ORDER BY page_no)),
+ hf AS (SELECT l.doc_id, l.page_no, l.block_idx, bool_or(l.head AND r.head) AS suspected_header, bool_or(l.foot AND r.foot) AS suspected_footer
 FROM s l JOIN pg USING (doc_id, page_no) JOIN s r ON r.doc_id = l.doc_id AND (r.page_no = pg.p OR r.page_no = pg.n) AND r.role = l.role AND r.ci = l.ci AND r.tc = l.tc
 WHERE abs(l.x - r.x) <= r.page_w * 5 // 100 AND abs(l.w - r.w) <= r.page_w * 8 // 100 AND abs(l.y - r.y) <= 36 AND ((l.head AND r.head) OR (l.foot AND r.foot))
   AND (l.key = r.key OR (1 - (levenshtein(l.key, r.key)::FLOAT / greatest(length(l.key), length(r.key))::FLOAT))::FLOAT >= 0.86::FLOAT)
-GROUP BY 1, 2, 3"""
-)
+GROUP BY 1, 2, 3)"""
+HEADS = SURE_BLOCKS + PLACES + HEAD_STEPS + " SELECT * FROM hf"
 SHARE = "w::FLOAT / greatest(page_w, 1)::FLOAT"
 STYLE = f"""SELECT doc_id, page_no, block_idx,
   CASE WHEN {SHARE} >= 0.85::FLOAT THEN 'FullWidth' WHEN {ROLE} = 'Title' AND abs((x + w // 2)::FLOAT - page_w::FLOAT / 2::FLOAT) <= page_w::FLOAT * 0.12::FLOAT THEN 'Center'

@@ -6,14 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import markdown_table, nfc, plain_table
-from ..operators import compose as C
 from ..operators import detect as D
 from ..operators import jobs as J
 from ..operators.engine import block_text, stub_engine
 from ..operators.refine import merge_retry
 from ..schema import TABLE_TYPE
-from ..sinks import json as json_sink
-from ..sinks import latex, pdf
 from ..sources.files import routed
 from ..sources.fixtures import layout_sql
 from .blueprint import laid_out
@@ -264,28 +261,6 @@ def block_preview(spark, sf_dir):
 PREVIEW = B + " SELECT doc_id, page_no, block_idx, '[' || block_type || '] ' || CASE WHEN length(content) > 100 THEN content[:97] || '...' ELSE content END AS preview FROM b"
 
 
-def latex_semantic(spark, sf_dir):
-    return latex.semantic(C.compose(laid_out(spark, sf_dir)))
-
-
-def latex_positioned(spark, sf_dir):
-    return latex.positioned(C.elements(laid_out(spark, sf_dir, True)))
-
-
-def pdf_lines(spark, sf_dir):
-    return pdf.text_lines(C.elements(laid_out(spark, sf_dir))).select("doc_id", "page_no", "reading_order", "line", "value", "hex")
-
-
-def pdf_files(spark, sf_dir):
-    return pdf.files(C.elements(laid_out(spark, sf_dir))).select("doc_id", F.length("pdf").alias("bytes"), F.substring("pdf", 1, 8).cast("string").alias("head"))
-
-
-def json_export(spark, sf_dir):
-    rows = laid_out(spark, sf_dir)
-    ids = rows.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
-    return json_sink.snapshots(ids.select(F.col("doc_id").alias("job_id"), "doc_id", F.lit("Completed").alias("status")), rows)
-
-
 def nfc_text(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", F.md5(nfc(F.replace("text", F.lit("é"), F.lit("é")))).alias("nfc_md5"))
@@ -295,8 +270,7 @@ QUERIES = {
     "nms": nms, "ctc_decode": ctc_decode, "anchor_decode": anchor_decode, "table_grid": table_grid, "table_plain_text": table_plain_text, "table_markdown": table_markdown,
     "otsu_threshold": otsu_threshold, "text_rows": text_rows, "clip_regions": clip_regions, "stub_text": stub_text, "line_merge": line_merge, "retry_merge": retry_merge,
     "job_list": job_list, "job_repair": job_repair, "job_cleanup": job_cleanup, "job_dedup": job_dedup, "job_upsert": job_upsert, "job_last_phase": job_last_phase,
-    "job_settled": job_settled, "event_counts": event_counts, "source_routing": source_routing, "block_preview": block_preview, "latex_semantic": latex_semantic,
-    "latex_positioned": latex_positioned, "pdf_lines": pdf_lines, "pdf_files": pdf_files, "json_export": json_export, "nfc_text": nfc_text,
+    "job_settled": job_settled, "event_counts": event_counts, "source_routing": source_routing, "block_preview": block_preview, "nfc_text": nfc_text,
 }
 ORACLES = {
     "nms": NMS, "ctc_decode": CTC, "anchor_decode": ANCHOR, "table_grid": GRID, "table_plain_text": PLAIN, "table_markdown": MARKDOWN, "otsu_threshold": OTSU, "text_rows": ROWS,

@@ -66,9 +66,42 @@ def document(nodes: Column, packages: tuple[str, ...]) -> Column:
 
 
 def asset(page: Column, place: Column) -> Column:
+    """The file name of an element's picture."""
     return F.concat(F.lit("page"), page.cast("string"), F.lit("_element"), place.cast("string"), F.lit(".png"))
 
 
+def page_asset(page: Column) -> Column:
+    return F.concat(F.lit("page"), page.cast("string"), F.lit("_full.png"))
+
+
+def folder(stem: Column | None = None) -> Column:
+    """The folder of a document's pictures, beside its source: named after the source, by default the document's id."""
+    return F.concat(F.coalesce(F.nullif(F.col("doc_id").cast("string") if stem is None else stem, F.lit("")), F.lit("documento")), F.lit("_assets"))
+
+
+def path(name: Column) -> Column:
+    return F.concat(folder(), F.lit("/"), name)
+
+
+def pictures(elements: DataFrame, documents: DataFrame, images: DataFrame, positions: bool = False) -> DataFrame:
+    """doc_id, name and png of the pictures that ``exported`` names: crops of elements, whole pages of visual documents. ``images`` is
+    (doc_id, page_no, png); what cannot be cut out has none."""
+    from ..operators.raster import crops
+
+    key = ["doc_id", "page_no"]
+    visual = documents.filter("mode = 'VisualPreservation'").select("doc_id")
+    rest = elements.join(visual, "doc_id", "left_anti")
+    if positions:
+        cut = rest.filter((F.col("role").isin(*IMAGES, "Formula") | low_confidence_image()) & F.col("has_image")).withColumn("place", F.col("reading_order") + 1)
+    else:
+        place = F.row_number().over(Window.partitionBy(*key).orderBy("reading_order"))
+        seen = rest.filter("not suspected_header and not suspected_footer").withColumn("place", place)
+        cut = seen.filter(F.col("role").isin(*IMAGES, "Formula") & F.col("content_kind").isin("Image", "Raster"))
+    parts = crops(cut, images).filter("png is not null").join(cut.select(*key, "block_idx", "place"), [*key, "block_idx"])
+    whole = images.join(visual, "doc_id", "left_semi").filter("png is not null").select("doc_id", page_asset(F.col("page_no")).alias("name"), "png")
+    return parts.select("doc_id", asset(F.col("page_no"), F.col("place")).alias("name"), "png").unionByName(whole)
+
+
 def _by_page(rows: DataFrame, packages: tuple[str, ...] = ("graphicx", "geometry", "ragged2e", "array")) -> DataFrame:
     """doc_id and source from nodes (doc_id, page_no, place, node); pages with nodes are parted by breaks."""
     def pile(by, of, name, sep):
@@ -86,7 +119,7 @@ def semantic(elements: DataFrame) -> DataFrame:
     seen = seen.withColumn("place", place).filter("role <> 'Separator'")
     role, text = F.col("role"), F.trim(F.coalesce("text", F.lit("")))
     plain = F.when(text != "", F.concat(paragraph(escape_latex(text)), F.lit("\\par\n")))
-    crop = F.when(F.col("content_kind").isin("Image", "Raster"), figure(asset(F.col("page_no"), F.col("place"))))
+    crop = F.when(F.col("content_kind").isin("Image", "Raster"), figure(path(asset(F.col("page_no"), F.col("place")))))
     node = (
         F.when((role == "Title") & (text != ""), F.concat(F.lit(r"\section*{"), escape_latex(text), F.lit("}\n")))
         .when((role == "ListItem") & (text != ""), F.concat(F.lit(r"\item "), escape_latex(text), F.lit("\n")))
@@ -104,7 +137,7 @@ def semantic(elements: DataFrame) -> DataFrame:
 
 def positioned(elements: DataFrame) -> DataFrame:
     """Every element at its place; weak text as a crop of the page."""
-    name = asset(F.col("page_no"), F.col("reading_order") + 1)
+    name = path(asset(F.col("page_no"), F.col("reading_order") + 1))
     text = F.trim(F.coalesce("text", F.lit("")))
     role = F.col("role")
     picture = F.concat(F.format_string(r"\includegraphics[width=%.2fpt,height=%.2fpt]{", points(F.col("w")), points(F.col("h"))), name, F.lit("}\n"))
@@ -124,7 +157,7 @@ def positioned(elements: DataFrame) -> DataFrame:
 def page_images(elements: DataFrame) -> DataFrame:
     """One picture of each page that has one."""
     pages = elements.filter("has_image").select("doc_id", "page_no", "page_w", "page_h").distinct()
-    node = F.concat(F.format_string(r"\includegraphics[width=%.2fpt,height=%.2fpt]{", points(F.col("page_w")), points(F.col("page_h"))), F.concat(F.lit("page"), F.col("page_no").cast("string"), F.lit("_full.png}\n")))
+    node = F.concat(F.format_string(r"\includegraphics[width=%.2fpt,height=%.2fpt]{", points(F.col("page_w")), points(F.col("page_h"))), path(page_asset(F.col("page_no"))), F.lit("}\n"))
     return _by_page(pages.withColumns({"place": F.lit(0), "node": node}))
 
 

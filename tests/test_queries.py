@@ -5,11 +5,11 @@ import os
 import duckdb
 import pytest
 
-from palimpsest.plans import blueprint, operations
+from palimpsest.plans import blueprint, exports, operations
 
 DIR = "/root/testdata/sf0.001"
-ORACLES = {**blueprint.ORACLES, **operations.ORACLES}
-QUERIES = {**blueprint.QUERIES, **operations.QUERIES}
+ORACLES = {**blueprint.ORACLES, **operations.ORACLES, **exports.ORACLES}
+QUERIES = {**blueprint.QUERIES, **operations.QUERIES, **exports.QUERIES}
 
 
 @pytest.fixture(scope="module")
