@@ -278,4 +278,4 @@ def crops(elements: DataFrame, images: DataFrame) -> DataFrame:
             png = [None if r.png is None else encode_png(cropped(decode_png(r.png), r.x, r.y, r.w, r.h)) for r in part.itertuples()]
             yield part[["doc_id", "page_no", "block_idx"]].assign(png=png)
 
-    return rows.mapInPandas(run, "doc_id long, page_no int, block_idx int, png binary")
+    return rows.mapInPandas(run, f"doc_id {dict(elements.dtypes)['doc_id']}, page_no int, block_idx int, png binary")

@@ -156,4 +156,4 @@ def files(elements: DataFrame, images: DataFrame | None = None) -> DataFrame:
             out.append((r.wide, r.high, "\n".join(x for x in (ops, r.content) if x), pictures))
         return pd.DataFrame({"doc_id": [group["doc_id"].iloc[0]], "pdf": [serialize(out)]})
 
-    return rows.groupBy("doc_id").applyInPandas(one, "doc_id long, pdf binary")
+    return rows.groupBy("doc_id").applyInPandas(one, f"doc_id {dict(elements.dtypes)['doc_id']}, pdf binary")
