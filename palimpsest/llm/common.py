@@ -21,22 +21,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where none is, as in tests."""
+    """The folder that driver and executors share. Where none is named, a temporary one will do only if all run on this machine."""
     sc = spark.sparkContext
     place = sc._jsc.sc().getCheckpointDir()
     if place.isDefined():
         return place.get()
-    named = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="palimpsest-")
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="palimpsest-")
     sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again, which cuts its lineage: what was
-    written survives any executor."""
+    written survives any executor. It goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
