@@ -36,6 +36,5 @@ def test_equals_sql(spark, sql, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_gives_rows(spark, name):
-    assert QUERIES[name](spark, DIR).limit(3).count() > 0
+def test_every_query_has_its_sql():
+    assert set(QUERIES) == set(ORACLES)
