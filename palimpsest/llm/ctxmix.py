@@ -20,7 +20,7 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,10 @@ STEP = 64
 RATE = 0.01
 #: Texts up to so many bytes are scored side by side, longer ones each alone, in blocks of so many bytes.
 LONG = 1 << 17
+#: Words are counted in so many bytes of texts before their counts are handed on.
+WORDS_BYTES = 8 << 20
+#: Contexts are hashed for about so many bytes at a time.
+BLOCK = 1 << 15
 #: Most frequent words that every task holds; counts of others are joined.
 HEAD = 100_000
 END = 255
@@ -51,8 +55,8 @@ PAD = 4
 
 # -- the tree ---------------------------------------------------------------------------------------------------------
 class Code:
-    """Paths of all bytes after all bytes: for symbol = before * 256 + byte, ``size`` decisions from ``first`` on in ``mix`` (a
-    hash of the node) and ``sign`` (+1 or -1)."""
+    """Paths of all bytes after all bytes: for symbol = before * 256 + byte, ``size`` decisions from ``first`` on in ``mix`` (the
+    node, 0 at the root and less than 255) and ``sign`` (+1 or -1)."""
 
     def __init__(self, pairs: np.ndarray):
         size, mix, sign = np.zeros(65536, dtype=np.int64), [], []
@@ -75,11 +79,11 @@ class Code:
                     nodes.append(at)
                     signs.append(s)
                 size[before * 256 + byte] = len(nodes)
-                mix += [n * 0x9E3779B1 & 0xFFFFFFFF for n in reversed(nodes)]
+                mix += [510 - n for n in reversed(nodes)]
                 sign += reversed(signs)
         self.size = size
         self.first = np.concatenate([[0], np.cumsum(size)[:-1]])
-        self.mix, self.sign = np.array(mix, dtype=np.uint32), np.array(sign, dtype=np.float32)
+        self.mix, self.sign = np.array(mix, dtype=np.intp), np.array(sign, dtype=np.float32)
 
 
 def laid_out(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +92,46 @@ def laid_out(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.concatenate([[0], np.cumsum([len(r) + PAD + 1 for r in raws])[:-1]]) + PAD
 
 
-def contexts(data: np.ndarray) -> list[np.ndarray]:
-    """A 32-bit hash of each context before every byte."""
+def gaps(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to no word; the first is a blank, the last an end."""
+    out = WHITE.take(data, mode="clip")
+    out |= data == END
+    return out
+
+
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+    """Where all words begin and end, and the words, each different one held once."""
+    gap = gaps(data)
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    if not len(edge):
+        return edge, edge, pa.array([], pa.binary()).dictionary_encode()
+    parts = pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(data)])  # a word, a gap, a word
+    return edge[0::2], edge[1::2], parts.take(pa.array(np.arange(0, len(edge), 2))).dictionary_encode()
+
+
+def symbols_of(data: np.ndarray) -> np.ndarray:
+    """Each byte with the one before."""
+    out = np.zeros(len(data), dtype=np.intp)
+    out[1:] = data[:-1]
+    out <<= 8
+    out |= data
+    return out
+
+
+def contexts(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """A 32-bit hash of each context before every byte of ``laid_out``; texts are worked on in blocks that stay in the cache."""
+    cuts = [0]
+    for at in (starts - PAD).tolist():
+        if at - cuts[-1] >= BLOCK:
+            cuts.append(at)
+    out = [np.empty(len(data), dtype=np.uint32) for _ in TABLE_BITS]
+    for a, b in zip(cuts, [*cuts[1:], len(data)]):
+        for whole, part in zip(out, _contexts(data[a:b])):
+            whole[a:b] = part
+    return out
+
+
+def _contexts(data: np.ndarray) -> list[np.ndarray]:
     wide = data.astype(np.uint32)
     out = []
     two = np.zeros(len(data), dtype=np.uint32)
@@ -100,29 +142,48 @@ def contexts(data: np.ndarray) -> list[np.ndarray]:
     out.append((four ^ four >> np.uint32(15)) * np.uint32(0xC2B2AE35))
     up, down = power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(BYTE[data] * up[: len(data)], out=sums[1:])
-    start = np.zeros(len(data), dtype=np.int64)
-    blank = np.flatnonzero(WHITE[data[:-1]]) + 1
-    start[blank] = blank
-    np.maximum.accumulate(start, out=start)
-    word = (sums[:-1] - sums[start]) * down[start]
-    out.append((word ^ word >> np.uint64(32)).astype(np.uint32) * np.uint32(0x27D4EB2F))
-    return [x ^ x >> np.uint32(16) for x in out]
-
-
-def decisions(code: Code, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many decisions each symbol takes, and where in the code's lists each of them lies."""
-    size = code.size[symbols]
+    word = BYTE.take(data.astype(np.intp), mode="clip")
+    word *= up[: len(data)]
+    np.cumsum(word, out=sums[1:])
+    blank = np.flatnonzero(WHITE.take(data[:-1], mode="clip")) + 1
+    start = np.repeat(np.concatenate([[0], blank]), np.diff(np.concatenate([[0], blank, [len(data)]])))  # where each byte's word begins
+    np.subtract(sums[:-1], sums.take(start, mode="clip"), out=word)
+    word *= down.take(start, mode="clip")
+    word ^= word >> np.uint64(32)
+    out.append(word.astype(np.uint32) * np.uint32(0x27D4EB2F))
+    for x in out:
+        x ^= x >> np.uint32(16)
+    return out
+
+
+def decisions(code: Code, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each symbol's decisions end; which symbol each decision belongs to; and where in the code's lists it lies."""
+    size = code.size.take(symbols, mode="clip")
     ends = np.cumsum(size)
-    return size, np.arange(ends[-1] if len(ends) else 0) + np.repeat(code.first[symbols] - (ends - size), size)
+    owner = np.repeat(np.arange(len(symbols), dtype=np.intp), size)
+    first = code.first.take(symbols, mode="clip")
+    first -= ends
+    first += size
+    place = first.take(owner, mode="clip")
+    place += np.arange(len(owner))
+    return ends, owner, place
 
 
-def slots(context: np.ndarray, mix: np.ndarray, bits: int) -> np.ndarray:
-    x = context ^ mix
-    x *= np.uint32(0x9E3779B1)
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ``keys``, and how often each occurs; they are sorted in place."""
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1]]))
+    return keys[first], np.diff(first, append=len(keys))
+
+
+def slots(context: np.ndarray, owner: np.ndarray, mix: np.ndarray, bits: int) -> np.ndarray:
+    """The slot of each decision: the nodes of a context lie side by side, so that a byte's path is read from few cache lines."""
+    x = context * np.uint32(0x9E3779B1)
     x ^= x >> np.uint32(15)
     x *= np.uint32(0x85EBCA77)
     x >>= np.uint32(32 - bits)
+    x = x.astype(np.intp).take(owner, mode="clip")
+    x ^= mix
     return x
 
 
@@ -142,22 +203,25 @@ class Counts:
         for k in range(1, PAD + 1):
             keep[starts - k] = False
         at = np.flatnonzero(keep)
-        symbols = data[at - 1].astype(np.intp) << 8 | data[at]
-        np.add.at(self.triples, data[at - 2].astype(np.intp) << 16 | symbols, np.uint32(1))
-        size, place = decisions(self.code, symbols)
-        mix, one = self.code.mix.take(place, mode="clip"), (self.code.sign.take(place, mode="clip") > 0).view(np.uint8)
-        for h, bits, out in zip(contexts(data)[1:], TABLE_BITS[1:], self.tables[1:]):
-            s = slots(np.repeat(h[at], size), mix, bits).astype(np.intp)
+        symbols = symbols_of(data)
+        triples = symbols.copy()
+        triples[1:] |= (symbols[:-1] & 0xFF00) << 8
+        symbols = symbols.take(at)
+        np.add.at(self.triples, triples.take(at), np.uint32(1))
+        for h, bits, out in zip(contexts(data, starts)[1:], TABLE_BITS[1:], self.tables[1:]):
+            some, times = runs(h.take(at).astype(np.uint64) << np.uint64(16) | symbols.view(np.uint64))  # a symbol in a context takes its path once for all
+            _, owner, place = decisions(self.code, (some & np.uint64(0xFFFF)).astype(np.intp))
+            s = slots((some >> np.uint64(16)).astype(np.uint32), owner, self.code.mix.take(place), bits)
             s <<= 1
-            s |= one
-            np.add.at(out, s, np.uint32(1))
+            s |= self.code.sign.take(place) > 0
+            np.add.at(out, s, times.astype(np.uint32).take(owner))
 
     def finish(self) -> list[np.ndarray]:
         some = np.flatnonzero(self.triples)
-        size, place = decisions(self.code, some & 0xFFFF)
+        _, owner, place = decisions(self.code, some & 0xFFFF)
         two = (some >> 8 & 0xFF | some >> 16 << 8).astype(np.uint32) * TWO
-        s = slots(np.repeat(two ^ two >> np.uint32(16), size), self.code.mix[place], TABLE_BITS[0]).astype(np.intp)
-        np.add.at(self.tables[0], s << 1 | (self.code.sign[place] > 0), np.repeat(self.triples[some], size))
+        s = slots(two ^ two >> np.uint32(16), owner, self.code.mix[place], TABLE_BITS[0])
+        np.add.at(self.tables[0], s << 1 | (self.code.sign[place] > 0), self.triples[some].take(owner))
         return self.tables
 
 
@@ -237,12 +301,12 @@ class Model:
     def __init__(self, code: Code, tables: list[np.ndarray]):
         self.code, self.tables = code, tables
 
-    def _inputs(self, hashes: list[np.ndarray], at: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    def _inputs(self, hashes: list[np.ndarray], at: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """The contexts' logits at each decision, and its gate."""
         mix = self.code.mix.take(place, mode="clip")
         inputs, gate = [], None
         for k, (h, bits, table_) in enumerate(zip(hashes, TABLE_BITS, self.tables)):
-            seen = table_.take(slots(np.repeat(h[at], size), mix, bits).astype(np.intp), mode="clip")
+            seen = table_.take(slots(h.take(at, mode="clip"), owner, mix, bits), mode="clip")
             inputs.append(LOGIT.take(seen, mode="clip"))
             if k:
                 seen >>= 6
@@ -250,9 +314,11 @@ class Model:
         return inputs, gate
 
     def costs(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """What each byte of ``laid_out`` costs, bits times ln 2 (0 for blanks before texts), summed up to it; and where each text starts."""
+        """What the bytes of ``laid_out`` cost, bits times ln 2 (0 for blanks before texts), summed up to each place where a word or a text begins or
+        ends (what lies between is not told apart); and where each text starts."""
         data, starts = laid_out(raws)
-        hashes = contexts(data)
+        hashes, symbols, edge = contexts(data, starts), symbols_of(data), gaps(data)
+        edge[1:] = edge[1:] != edge[:-1]
         lengths = np.array([len(r) + 1 for r in raws], dtype=np.int64)
         out = np.zeros(len(data) + 1)
         for k in np.flatnonzero(lengths > LONG).tolist():
@@ -260,28 +326,24 @@ class Model:
         doc = np.flatnonzero(lengths <= LONG)
         doc = doc[np.argsort(-lengths[doc], kind="stable")]  # longest first: those not yet at their end stay in front
         begin, end = starts[doc], starts[doc] + lengths[doc]
-        change = np.zeros((SIGNS, len(doc) * GATES), dtype=np.float32)
+        weights = np.full((SIGNS // 2, len(doc) * GATES), START + 1j * START, dtype=np.complex64)  # two of them as one number: half as many places to look up
         for step in range(0, int(lengths[doc].max(initial=0)), STEP):
             live = int(np.searchsorted(begin - end, -step, side="left"))
             first = begin[:live] + step
             n = np.minimum(end[:live] - first, STEP)
             last = np.cumsum(n)
             at = np.arange(last[-1]) + np.repeat(first - (last - n), n)
-            size, place = decisions(self.code, data[at - 1].astype(np.int64) << 8 | data[at])
-            inputs, gate = self._inputs(hashes, at, size, place)
+            ends, owner, place = decisions(self.code, symbols.take(at, mode="clip"))
+            inputs, gate = self._inputs(hashes, at, owner, place)
             sign = self.code.sign.take(place, mode="clip")
-            ends = np.cumsum(size)
-            bits_to = ends[last - 1]
-            who = np.repeat(np.arange(live, dtype=np.intp) * GATES, np.diff(bits_to, prepend=0))
+            who = np.repeat(np.arange(live, dtype=np.intp) * GATES, n).take(owner, mode="clip")
             who += gate
-            z = change[-1].take(who, mode="clip")
-            z += START
-            z *= BIAS
-            for k, x in enumerate(inputs):
-                w = change[k].take(who, mode="clip")
-                w += START
-                w *= x
-                z += w
+            inputs.append(BIAS)
+            z = np.zeros(len(who), dtype=np.float32)
+            for w, x, y in zip(weights, inputs[::2], inputs[1::2]):
+                w = w.take(who, mode="clip")
+                z += w.real * x
+                z += w.imag * y
             z *= sign
             np.clip(z, -12, 12, out=z)
             np.negative(z, out=z)
@@ -289,10 +351,17 @@ class Model:
             s = z + np.float32(1)
             z /= s
             z *= sign  # the error
-            upto = np.cumsum(np.log(s, out=s), dtype=np.float64)[ends - 1]
-            out[at + 1] = np.diff(upto, prepend=0.0)
-            for k, x in enumerate([*inputs, BIAS]):
-                change[k, : live * GATES] += RATE * np.bincount(who, weights=z * x, minlength=live * GATES)
+            begins = edge.take(at, mode="clip")
+            begins[last - n] = True
+            begins = np.flatnonzero(begins)  # a word or a gap, or what of it lies in this step
+            to = np.append(begins[1:], len(at)) - 1
+            out[at.take(to) + 1] = np.add.reduceat(np.log(s, out=s), np.append(0, ends.take(begins[1:] - 1)))
+            z *= np.float32(RATE)
+            for w, x, y in zip(weights, inputs[::2], inputs[1::2]):
+                both = np.empty(len(who), dtype=np.complex64)
+                np.multiply(z, x, out=both.real)
+                np.multiply(z, y, out=both.imag)
+                np.add.at(w, who, both)
         return np.cumsum(out, out=out), starts
 
     def _alone(self, data: np.ndarray, hashes: list[np.ndarray], begin: int, end: int, out: np.ndarray) -> None:
@@ -300,15 +369,14 @@ class Model:
         change = np.zeros(GATES * SIGNS, dtype=np.float32)
         for start in range(begin, end, LONG):
             at = np.arange(start, min(start + LONG, end))
-            size, place = decisions(self.code, data[at - 1].astype(np.int64) << 8 | data[at])
-            inputs, gate = self._inputs(hashes, at, size, place)
+            to, owner, place = decisions(self.code, data[at - 1].astype(np.int64) << 8 | data[at])
+            inputs, gate = self._inputs(hashes, at, owner, place)
             x = np.empty((len(gate), SIGNS), dtype=np.float32)
             for k, column in enumerate([*inputs, BIAS]):
                 x[:, k] = column
             x *= self.code.sign.take(place, mode="clip")[:, None]
             which = gate.astype(np.intp)[:, None] * SIGNS + np.arange(SIGNS)
             odds = np.empty(len(gate), dtype=np.float32)
-            to = np.cumsum(size)
             a = 0
             for b in [*to[STEP - 1 : -1 : STEP].tolist(), int(to[-1])]:
                 z = np.einsum("nk,nk->n", x[a:b], START + change.take(which[a:b]))
@@ -329,7 +397,8 @@ def refined(by_bytes: np.ndarray, by_count: np.ndarray, owner: np.ndarray) -> tu
     wins = np.zeros(len(owner) + 1)
     np.cumsum(known & (np.where(known, by_count, 0) > by_bytes), out=wins[1:])
     seen = np.concatenate([[0.0], np.cumsum(known)])
-    first = np.searchsorted(owner, owner)
+    times = np.bincount(owner)
+    first = (np.cumsum(times) - times)[owner]  # texts' words lie one after the other
     share = (1 + wins[:-1] - wins[first]) / (10 + seen[:-1] - seen[first])
     return np.log1p(-share), np.log(share)
 
@@ -357,28 +426,31 @@ def gathered(docs: DataFrame) -> DataFrame:
     """(kind, key, n): 0 word counts, 1 counts of a byte after a byte, 2 the number of texts."""
 
     def run(batches):
-        words: Counter = Counter()
         pairs = np.zeros(65536, dtype=np.int64)
-        texts = 0
-
-        def flush():
-            keys, counts = list(words.keys()), list(words.values())
-            words.clear()
-            return pa.RecordBatch.from_pydict({"kind": pa.array([0] * len(keys), pa.int32()), "key": pa.array(keys, pa.binary()), "n": pa.array(counts, pa.int64())})
+        texts = size = 0
+        pending: list[bytes] = []
+
+        def count():
+            data = np.frombuffer(b"".join(pending), dtype=np.uint8)
+            pending.clear()
+            for a in range(1, len(data), GROUP_BYTES):
+                pairs[:] += np.bincount(symbols_of(data[a - 1 : a + GROUP_BYTES])[1:], minlength=65536)
+            pairs[END << 8 | 32] = 0  # the end of a text before the next one; no text has that byte
+            _, _, words = words_of(data)
+            n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), dtype=np.int32)), words.dictionary, pa.array(n, pa.int64())], names=["kind", "key", "n"])
 
         for batch in batches:
             for t in batch.column(0):
                 raw = t.as_py().lower()
                 texts += 1
-                words.update(raw.split())
-                data = np.frombuffer(b" " + raw + b"\xff", dtype=np.uint8).astype(np.int64)
-                pairs += np.bincount(data[:-1] << 8 | data[1:], minlength=65536) if len(data) > 4096 else 0
-                if len(data) <= 4096:
-                    np.add.at(pairs, data[:-1] << 8 | data[1:], 1)
-                if len(words) > 250_000:
-                    yield flush()
+                pending += [b" ", raw, b"\xff"]
+                size += len(raw)
+                if size > WORDS_BYTES:
+                    yield count()
+                    size = 0
         if texts:
-            yield flush()
+            yield count()
             some = np.flatnonzero(pairs).tolist()
             yield pa.RecordBatch.from_pydict({"kind": pa.array([1] * len(some) + [2], pa.int32()), "key": pa.array([k.to_bytes(2, "big") for k in some] + [b""], pa.binary()), "n": pa.array([*pairs[some].tolist(), texts], pa.int64())})
 
@@ -399,12 +471,11 @@ def scored(docs: DataFrame, model: Model, head: dict[bytes, int], ends: int, log
         def done(ids, held, raws):
             upto, starts = own.costs(raws)
             data, _ = laid_out(raws)
-            gap = WHITE[data] | (data == END)
-            edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1  # the first byte is a blank, the last an end
-            s, e = edge[0::2], edge[1::2]
-            words = b" ".join(raws).split()
-            owner = np.searchsorted(starts, s, side="right") - 1
-            base = np.array([log_of.get(w, nan) for w in words], dtype=np.float64)
+            s, e, words = words_of(data)
+            which = words.indices.to_numpy()
+            n = np.diff(np.searchsorted(s, starts), append=len(s))
+            owner = np.repeat(np.arange(len(raws)), n)
+            base = np.fromiter(map(log_of.get, words.dictionary.to_numpy(zero_copy_only=False), repeat(nan)), dtype=np.float64, count=len(words.dictionary)).take(which)
             by_bytes, by_count = upto[s] - upto[e], base * math.log(10)
             less, more = refined(by_bytes, by_count, owner)
             known = ~np.isnan(base)
@@ -413,9 +484,8 @@ def scored(docs: DataFrame, model: Model, head: dict[bytes, int], ends: int, log
             total = lambda x: np.bincount(owner, weights=x, minlength=len(raws))
             score = upto[starts] - upto[last] - total(by_bytes) + total(value)
             rare = np.flatnonzero(~known)
-            flat = [pa.array([words[k] for k in rare.tolist()], pa.binary()), pa.array((by_bytes + less)[rare].astype(np.float32)), pa.array(more[rare].astype(np.float32))]
+            flat = [words.dictionary.take(pa.array(which[rare])), pa.array((by_bytes + less)[rare].astype(np.float32)), pa.array(more[rare].astype(np.float32))]
             tails = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[rare], np.arange(len(raws) + 1)), pa.int32()), pa.StructArray.from_arrays(flat, fields=list(kind.field("tail").type.value_type)))
-            n = np.bincount(owner, minlength=len(raws))
             columns = [ids, held, n + 1, [len(r) + 1 for r in raws], (total(known) + (ends > 0)).astype(np.int64), total(np.where(known, base, 0)) + end, score, tails]
             return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, kind)], schema=kind)
 

@@ -115,6 +115,33 @@ def test_correction_goes_through_the_whole_text(monkeypatch):
     assert np.allclose(got, cost(texts), rtol=1e-4)
 
 
+def test_a_context_keeps_its_nodes_together_and_counts_them_all():
+    rng = random.Random(12)
+    raws = [prose(rng, 60).encode(), b"", b"same words " * 40, "año é".encode(), b"same words " * 40]
+    code = ctxmix.Code(np.random.default_rng(3).integers(0, 9, (256, 256)))
+    counts = ctxmix.Counts(code)
+    counts.add(raws)
+    data, starts = ctxmix.laid_out(raws)
+    at = np.concatenate([np.arange(s, s + len(r) + 1) for s, r in zip(starts, raws)])
+    ends, owner, place = ctxmix.decisions(code, ctxmix.symbols_of(data)[at])
+    for k, h in enumerate(ctxmix.contexts(data, starts)):
+        at_slot = ctxmix.slots(h[at], owner, code.mix[place], ctxmix.TABLE_BITS[k])
+        assert all(len({x >> 8 for x in part.tolist()}) == 1 for part in np.split(at_slot, ends[:-1]))  # one byte, one stretch of 256 slots
+        want = np.zeros(2 << ctxmix.TABLE_BITS[k], dtype=np.uint32)
+        np.add.at(want, at_slot * 2 + (code.sign[place] > 0), 1)
+        assert (want == (counts.finish()[0] if k == 0 else counts.tables[k])).all()
+
+
+def test_words_and_pairs_are_counted_across_groups(spark, monkeypatch):
+    monkeypatch.setattr(ctxmix, "WORDS_BYTES", 9)
+    texts = ["A b  a", "", "  ", "é\tb", "b " * 30, "a"]
+    raws = [t.encode().lower() for t in texts]
+    got = {(r.kind, bytes(r.key)): r.n for r in ctxmix.gathered(spark.createDataFrame([(bytearray(t.encode()),) for t in texts], "raw binary").coalesce(1)).collect()}
+    pairs = collections.Counter((x << 8 | y).to_bytes(2, "big") for r in raws for x, y in zip(b" " + r, r + b"\xff"))
+    words = collections.Counter(w for r in raws for w in r.split())
+    assert got == {(2, b""): len(texts)} | {(1, k): n for k, n in pairs.items()} | {(0, w): n for w, n in words.items()}
+
+
 def plain_scores(rows):
     """Scores (log10) of rows (doc_id, text) bit by bit, with counts by whole contexts in place of hashed ones."""
     low = {i: (t or "").encode().lower() for i, t in rows}
