@@ -14,6 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are worked on in groups of about this many bytes, whatever the size of Arrow's batches.
 GROUP_BYTES = 1 << 20
 SLICE_BYTES = 4 << 20
+#: Rows of an intermediate table's file at least, of narrow rows and of such as hold sketches or sets.
+NARROW_ROWS, WIDE_ROWS = 1 << 17, 1 << 13
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, rows: int | None = None, each: int = NARROW_ROWS) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again, which cuts its lineage: what was
-    written survives any executor. It goes when the application ends."""
+    written survives any executor. It goes when the application ends.
+
+    Where it is known that there are about ``rows`` rows at most, they go to a file for ``each`` of them at most, whatever the number of
+    partitions: on a local folder Hadoop starts a process of the executor, which for a moment counts as large as the executor itself, for
+    every file."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // each)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups_of, map_rows, saved, table
+from .common import WIDE_ROWS, groups_of, map_rows, saved, table
 from .components import components
 from .words import mixed, shingle_sets
 
@@ -176,7 +176,7 @@ def needed(slots: DataFrame, bits: int) -> np.ndarray:
 
 def sets_of(docs: DataFrame, k: int, classes: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, items): the packed sorted shingle hashes of the ``classes`` in ``ids``, from the texts that stand for them."""
-    wanted_ = saved(classes.drop("sketch").join(ids.distinct(), "id", "left_semi"), "wanted")
+    wanted_ = saved(classes.drop("sketch").join(ids.distinct(), "id", "left_semi"), "wanted", classes.count())
     size = min(MOST_BITS, max(1 << 12, 1 << (16 * wanted_.count()).bit_length()))
     slot = lambda d: F.pmod(F.xxhash64(d, "text_hash"), F.lit(size)).alias("slot")
     sent = docs.sparkSession.sparkContext.broadcast(needed(wanted_.select(slot("doc")), size))
@@ -230,13 +230,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return compared(pairs, sets, percent).filter("linked").select("a", "b")
 
 
-def around_homes(homed: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+def around_homes(homed: DataFrame, component: DataFrame, percent: int, most: int) -> DataFrame:
     """The links (a, b) between classes with the same home (``homed`` is ``compared`` pairs of a home and a class) in different
-    components."""
+    components. ``most``: of how many classes at most."""
     named = homed.join(component.withColumnRenamed("node", "b"), "b", "left").withColumn("c", F.coalesce("component", "b"))
     apart = named.filter("not linked").select(F.col("a").alias("home")).distinct()
     own = ["home", "id", "c", "linked", "lacks", "adds", "size", "lacked", "added"]
-    named = saved(named.withColumnRenamed("a", "home").withColumnRenamed("b", "id").join(apart, "home", "left_semi").select(*own), "homed")
+    named = saved(named.withColumnRenamed("a", "home").withColumnRenamed("b", "id").join(apart, "home", "left_semi").select(*own), "homed", most, WIDE_ROWS)
     due = f"({percent} * adds + 100 * lacks - {100 - percent} * size)"  # above 0 where a class is not linked to its home
 
     # pairs that what both may lack is enough for, by kinds of classes
@@ -304,12 +304,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     # one row stands for a class: the smallest id's, null ones last
     stands = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash", "sketch")).alias("s")
     classes = rows.filter("n > 0").groupBy("h1", "h2", "n").agg(stands).select("h1", "h2", "n", F.col("s.doc_id").alias("doc"), F.col("s.text_hash").alias("text_hash"), F.col("s.sketch").alias("sketch"))
-    classes = saved(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    classes = saved(classes.withColumn("id", F.monotonically_increasing_id()), "classes", rows.count(), WIDE_ROWS)
+    most = classes.count()
     sketches = classes.select("id", "n", "sketch")
 
     bands = banded(sketches)
     company = bands.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1")
-    buckets = saved(bands.join(company, "key"), "buckets")
+    buckets = saved(bands.join(company, "key"), "buckets", BANDS * most)
     known = buckets.groupBy("id").agg(F.sum("rows").alias("known"))
     centres = buckets.join(known, "id").groupBy("key").agg(F.max(F.struct("known", (-F.col("id")).alias("m"))).alias("top")).select("key", (-F.col("top.m")).alias("centre"), "top.known")
     sizes = f"least(na, nb) * 100 >= greatest(na, nb) * {percent}"
@@ -319,19 +320,19 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     stars = buckets.join(centres, "key").filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     hopeful = likely(stars, sketches, SAME_GROUP).join(known.select(F.col("id").alias("a"), "known"), "a")
     home, near = F.struct("known", "est", (-F.col("a")).alias("m")), F.struct("est", "known", (-F.col("a")).alias("m"))
-    best = saved(hopeful.groupBy("b").agg(F.max(home).alias("h"), F.max(near).alias("n")).select("b", (-F.col("h.m")).alias("home"), (-F.col("n.m")).alias("near"), "n.est"), "homes")
+    best = saved(hopeful.groupBy("b").agg(F.max(home).alias("h"), F.max(near).alias("n")).select("b", (-F.col("h.m")).alias("home"), (-F.col("n.m")).alias("near"), "n.est"), "homes", most)
     first = best.select(F.col("home").alias("a"), "b").union(best.filter(f"near <> home and est >= {least}").select(F.col("near").alias("a"), "b"))
     sets = sets_of(docs, shingle, classes, first.select(F.col("a").alias("id")).union(first.select("b")))
-    tried = saved(compared(first, sets, percent), "tried")
+    tried = saved(compared(first, sets, percent), "tried", 2 * most, WIDE_ROWS)
     links = tried.filter("linked").select("a", "b")
     found = components(links)
 
     # second pass: what is not yet in one component, around the same home or in the same bucket
     homed = tried.join(best.select(F.col("home").alias("a"), "b"), ["a", "b"], "left_semi")
-    links = saved(links.union(around_homes(homed, found, percent)), "around")
+    links = saved(links.union(around_homes(homed, found, percent, most)), "around")
     found = components(links)
     named = buckets.select("key", "id").join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    named = saved(named.join(best.select(F.col("b").alias("id"), "home"), "id", "left").join(sketches.select("id", "n"), "id"), "named")
+    named = saved(named.join(best.select(F.col("b").alias("id"), "home"), "id", "left").join(sketches.select("id", "n"), "id"), "named", BANDS * most)
     parts = named.groupBy("key", "c").agg(F.count("*").alias("rows")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("rows", "c")).alias("top"))
     open_ = parts.filter("parts > 1").select("key", F.col("top.c").alias("top"))
     members = named.join(open_, "key")

@@ -3,9 +3,11 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import time
+import urllib.parse
 import zlib
 
 import numpy as np
@@ -13,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe, ctph, ctxmix, mixing, pages, pii, quality, setsketch, sharding, substrings
+from palimpsest.llm.common import shared_dir
 from palimpsest.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -574,6 +577,27 @@ def test_components(spark):
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_files_follow_rows(spark, docs):
+    """Intermediate tables of a few rows are a few files, however many partitions Spark deals them to."""
+    place = urllib.parse.urlparse(shared_dir(spark)).path
+    before, held = set(os.listdir(place)), {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        chain = spark.createDataFrame([(k, k + 1) for k in range(200)], "a long, b long").repartition(40)
+        assert {r.component for r in components(chain).collect()} == {0}
+        near = by_id(setsketch.near_duplicates(docs))
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert {k: r.component_id for k, r in near.items()} == {k: r.component_id for k, r in by_id(setsketch.near_duplicates(docs)).items()}
+    made = collections.defaultdict(list)
+    for name in set(os.listdir(place)) - before:
+        made[name.rsplit("-", 1)[0]].append(sum(x.startswith("part-") for x in os.listdir(f"{place}/{name}")))
+    assert all(max(made[k]) <= 1 for k in ("links", "classes", "buckets", "homes", "wanted", "tried", "homed", "named"))
+
+
 # 8
 def test_tokens(docs, texts, nothing):
     import public_tokenizers
